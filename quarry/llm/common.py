@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the executors once a session."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_quarry_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}-src", "zip", package.parent, package.name))
+        sc._quarry_sent = True
+    return df.mapInArrow(run, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

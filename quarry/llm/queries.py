@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import rules
-from quarry.llm.common import documents
+from quarry.llm import packing, records, rules
+from quarry.llm.common import arrow, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = records.write(documents(spark, sf_dir), tokenizer())
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("ids").to_pylist()
+            sums = [pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), *sums], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return arrow(records.read(spark, folder), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer())
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), carry_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
