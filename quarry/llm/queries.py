@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import packing, records, rules
+from quarry.llm import minhash, packing, records, rules
 from quarry.llm.common import arrow, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,21 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow(records.read(spark, folder), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = minhash.with_next(minhash.fingerprints(docs), ["text", "signature"])
+    both = rows.withColumn("edited", minhash.edited(F.col("text"), F.col("next_text"))).withColumn("edited_signature", minhash.signature(F.col("edited")))
+    return both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        minhash.packed(F.col("edited_signature")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
