@@ -16,9 +16,9 @@ import pyarrow as pa
 
 LETTER, NUMBER, SIGN, SPACE, BLANK, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Characters that are cut and encoded at a time; longer texts are cut at a single space between words.
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 #: Distinct pieces a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 220_000
 
 
 class Encoder:
@@ -195,3 +195,11 @@ def encoder(path: str, end_id: int | None = 0) -> Encoder:
     if (path, end_id) not in _encoders:
         _encoders[path, end_id] = Encoder(path, end_id)
     return _encoders[path, end_id]
+
+
+def encoded(encoder: Encoder, batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, ids and numbers of ids of parts of a batch (key, text); Python strings exist for a few rows at a time."""
+    for k in range(0, batch.num_rows, rows):
+        part = batch.slice(k, rows)
+        for first, ids, counts in encoder.encode(part.column(1).to_pylist()):
+            yield part.column(0).slice(first, len(counts)), ids, counts

@@ -58,8 +58,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(tokenizer, end_id)
         for batch in batches:
-            keys = batch.column(0)
-            for first, ids, counts in encoder.encode(batch.column(1).to_pylist()):
+            for keys, ids, counts in bpe.encoded(encoder, batch):
                 data = memoryview(ids.tobytes())
                 heads = np.where(counts % limit, counts % limit, np.minimum(counts, limit))
                 each = np.maximum(-(-counts // limit), 1)
@@ -69,7 +68,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: in
                 start = np.where(piece == 0, 0, heads[doc] + (piece - 1) * limit)
                 at = (np.cumsum(counts) - counts)[doc] + start
                 cuts = [data[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-                columns = [keys.take(pa.array(doc + first)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
+                columns = [keys.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in cuts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array([bytes(x) for x in cuts], pa.binary())] if with_ids else [])], names=names)
 
     return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import minhash, packing, records, rules, simhash
-from quarry.llm.common import arrow, documents
+from quarry.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,13 +22,8 @@ def tokenizer() -> str:
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.write(documents(spark, sf_dir), tokenizer())
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            sums = [pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), *sums], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return arrow(records.read(spark, folder), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = F.col("ids")
+    return records.read(spark, folder).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
 
 
 def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

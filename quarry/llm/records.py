@@ -110,14 +110,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
                 store.create_dir(base, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.rec"
                 out = store.open_output_stream(f"{base}/{name}")
-            keys = batch.column(0).to_pylist()
             rows = []
-            for first, ids, counts in encoder.encode(batch.column(1).to_pylist()):
+            for keys, ids, counts in bpe.encoded(encoder, batch):
                 ends = np.cumsum(counts).tolist()
-                for k, (end, n) in enumerate(zip(ends, counts.tolist(), strict=True), first):
-                    data = frame(keys[k], ids[end - n : end], width)
+                for key, end, n in zip(keys.to_pylist(), ends, counts.tolist(), strict=True):
+                    data = frame(key, ids[end - n : end], width)
                     out.write(data)
-                    rows.append((name, part, record, at, len(data), keys[k], n, before))
+                    rows.append((name, part, record, at, len(data), key, n, before))
                     at, record, before = at + len(data), record + 1, before + n
             columns = list(zip(*rows, strict=True))
             kinds = (pa.string(), pa.int32(), *[pa.int64()] * 6)
@@ -158,7 +157,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     start += len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(starts, pa.int64())], names=["doc_id", "ids", "start"])
 
-    return arrow(spans.repartition(F.col("file"), F.col("at")), run, "doc_id long, ids binary, start long")
+    # The rows are few and small but stand for much work: a given number of partitions isn't coalesced.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return arrow(spans.repartition(parts, "file", "at"), run, "doc_id long, ids binary, start long")
 
 
 def pick(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
