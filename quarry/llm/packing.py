@@ -24,8 +24,8 @@ from quarry.llm import bpe
 from quarry.llm.common import arrow, materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Items of a class that one lane ranks, about.
-LANE = 20_000
+#: A task's share of the items, at least, is split into so many lanes of a class.
+LANES = 4
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,8 @@ def pack(pieces: DataFrame, capacity: Capacity | None = None, keys: tuple[str, .
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row a length
     runs, _ = plan(counts, capacity)
-    lanes = max(1, -(-max(counts.values(), default=1) // LANE))
+    share = sum(counts.values()) // (LANES * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
+    lanes = -(-max(counts.values(), default=1) // share)
     lane = F.pmod(F.xxhash64(*keys), F.lit(lanes)).cast("int")
     rows = pieces.withColumn("lane_", lane)
     upto = Window.partitionBy("length").orderBy("lane_")
