@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import minhash, packing, records, rules, secrets, simhash
@@ -48,7 +48,11 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     return rows.select("doc_id", *counts, F.sha2(secrets.joined(F.col("spans"), base=True), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
