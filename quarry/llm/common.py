@@ -19,6 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer() -> str:
+    """The tokenizer file of the registered queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the one that driver and executors share.
 

@@ -8,17 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import minhash, packing, records, rules, secrets, simhash
-from quarry.llm.common import documents
+from quarry.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.write(documents(spark, sf_dir), tokenizer())
 
