@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import minhash, packing, records, rules, secrets, simhash
+from quarry.llm import lm, minhash, packing, records, rules, secrets, simhash
 from quarry.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is the documents labelled as of good quality."""
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    return lm.cross_entropy_difference(documents(spark, sf_dir), good)
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = records.write(documents(spark, sf_dir), tokenizer())
 
