@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import lm, minhash, packing, records, rules, secrets, simhash
+from quarry.llm import licences, lm, minhash, packing, records, rules, secrets, simhash
 from quarry.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, folder).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "licence", "dice", "line", "n_matches")
+
+
 def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = minhash.with_next(minhash.fingerprints(docs), ["text", "signature"])
