@@ -158,6 +158,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         columns = [batch.column(i).to_numpy() for i in range(3)]
+        columns[1] = columns[1].view(np.uint64)  # bits of signed numbers count by absolute value
         at = columns[0]
         last = int(np.searchsorted(at, at[-1]))  # sorted: the last place's rows start here
         if held and held[0][0][0] == at[-1] and last == 0:
@@ -173,12 +174,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def far_links(fps: DataFrame, n: int) -> DataFrame:
     """Links (a, b) between the labels of fingerprints (fp, label) of different labels that chain all of those at most RADIUS bits apart."""
+
+    def ball(base: Column, flips: Column) -> Column:
+        return F.transform(flips, lambda m: base.bitwiseXOR(m))
+
     keys = []
     for i, mask in enumerate(blocks(n)):
         kept = [1 << b for b in range(BITS) if not mask >> b & 1]
         name = (0x9E3779B97F4A7C15 * (i + 1)) & mask  # tells the blocks' places apart; a chance meeting is verified like any
         base = F.col("fp").bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ mask))).bitwiseOR(F.lit(_signed(name)))
-        keys.append(F.transform(_longs([0, *kept]), lambda m, base=base: base.bitwiseXOR(m)))
+        keys.append(ball(base, _longs([0, *kept])))
     emitted = fps.select(F.explode(F.concat(*keys)).alias("at"), "fp", "label")
     return arrow(emitted.repartition("at").sortWithinPartitions("at"), _verify, "a long, b long").distinct()
 
