@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licences, lm, minhash, packing, records, rules, secrets, simhash
+from quarry.llm import licences, lm, minhash, packing, records, rules, secrets, simhash, toolcalls
 from quarry.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,19 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is taken as a call of a tool, with turn and text as arguments, that needs the user turn before it; what the assistant says next is its result."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    name = lambda turn: F.concat_ws("-", F.lit("call"), "conv_id", turn)
+    arguments = F.to_json(F.struct("turn", "text"))
+    calls = turns.filter("role = 'user'").select("conv_id", "turn", F.lit(0).alias("n"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.array(name(F.col("turn") - 2)).alias("after"))
+    results = turns.filter("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    params = "array(struct('text' as name, 'string' as type, true as required, cast(array() as array<string>) as options), struct('turn' as name, 'integer' as type, true as required, cast(array() as array<string>) as options))"
+    tools = spark.range(1).select(F.lit("reply").alias("name"), F.expr(params).alias("params"))
+    linked = toolcalls.link(calls, results, tools)
+    return linked.select("conv_id", "call_id", "turn", F.col("place.turn").alias("place"), "step", "status", "n_results", F.size("errors").alias("n_errors"), "message")
+
+
 def op8_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
@@ -77,4 +90,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from quarry.llm import sql
 
-    return {"op10_quality_rules": sql.OP10}
+    return {"op7_tool_calls": sql.OP7, "op10_quality_rules": sql.OP10}

@@ -41,3 +41,12 @@ def _rules(table: str) -> str:
 
 OP10 = f"""WITH {_rules("documents").strip()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
+
+OP7 = """WITH calls AS (SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+    results AS (SELECT conv_id, 'call-' || conv_id || '-' || (turn - 1) AS call_id, count(*) AS n_results, min(turn) AS turn, arg_min(text, (turn, text)) AS content
+        FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.turn, r.turn) AS place, 0::BIGINT AS step,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, coalesce(r.n_results, 0) AS n_results,
+    CASE WHEN c.call_id IS NOT NULL THEN CASE WHEN c.text IS NULL THEN 1 ELSE 0 END END::INTEGER AS n_errors,
+    '{' || concat_ws(',', '"arguments":{"text":' || to_json(c.text) || ',"turn":' || c.turn || '}', '"id":' || to_json(coalesce(c.call_id, r.call_id)), CASE WHEN c.call_id IS NOT NULL THEN '"name":"reply"' END, '"result":' || to_json(r.content)) || '}' AS message
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id"""
