@@ -1,7 +1,8 @@
 """Cross-entropy difference (Moore and Lewis, 2010): a target and a background bigram model of one vocabulary.
 
-Words are split at white space and lower-cased. The vocabulary is the VOCABULARY most frequent words of
-all documents, ties by spelling; others are one unknown word. Both models are matched: same
+Words are split at white space and lower-cased. The vocabulary is the most frequent words of all
+documents, VOCABULARY at most: all words that occur more often than the least number of times that
+keeps to this, and twice at least; others are one unknown word. Both models are matched: same
 vocabulary, same smoothing. A bigram's probability is its count, smoothed towards the unigram's;
 unigrams get half a count each. Bigram counts are kept in SLOTS hashed counters, so a model has a
 fixed size however large the corpus, and every document is counted.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow
+from quarry.llm.common import arrow, materialise
 
 VOCABULARY = 1 << 16
 SLOTS = 1 << 20
@@ -43,7 +44,7 @@ def words(text: str | None) -> Iterator[list[bytes]]:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all documents; the driver gets at most size."""
+    """The most frequent words of all documents, in order of spelling; the driver gets at most size, and the numbers of words by count up to where they exceed it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -62,7 +63,16 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
             yield out()
 
     counts = arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = materialise(counts.filter("n > 1"), "words")
+    # Counts of counts: the most frequent words have few distinct counts between them, size at most.
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1).collect()
+    least, total = 0, 0
+    for r in by_count:
+        total += r["words"]
+        if total > size:
+            least = r["n"]
+            break
+    return sorted(bytes(r["word"]) for r in counts.filter(F.col("n") > least).select("word").toLocalIterator())
 
 
 class Index:
@@ -99,29 +109,29 @@ class Models:
     contexts: np.ndarray
     bigrams: np.ndarray
 
-    def losses(self, before: np.ndarray, now: np.ndarray, held_out: tuple[bool, bool]) -> np.ndarray:
-        """Negative log-probabilities of the words of a text after the words before them: a row for each model.
+    def losses(self, before: np.ndarray, now: np.ndarray, counted: bool) -> np.ndarray:
+        """Negative log-probabilities of the words of a text after the words before them: rows of the target, of the target if it has counted the text, and of the background.
 
-        held_out: whether each model counted this text; its own counts are then taken off, so that a
-        text's score does not depend on whether it was among the target's.
+        counted: whether the models were fitted on the text. What they counted of it is then taken off,
+        so a text's score does not depend on whether it was among the target's.
         """
-        off = np.array(held_out, np.float64)[:, None]
+        rows = np.array([0, 0, 1])
+        off = np.array([0.0, counted, counted])[:, None]
         places = slot(before, now, self.bigrams.shape[1])
 
         def left(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
             _, which, own = np.unique(at, return_inverse=True, return_counts=True)
-            return np.maximum(counts[:, at] - off * own[which], 0)
+            return np.maximum(counts[:, at][rows] - off * own[which], 0)
 
-        total = self.unigrams.sum(1, keepdims=True) - off * len(now)
+        total = self.unigrams.sum(1, dtype=np.float64)[rows, None] - off * len(now)
         p = (left(self.unigrams, now) + 0.5) / (total + 0.5 * self.unigrams.shape[1])
         context = left(self.contexts, before)
         pair = np.minimum(left(self.bigrams, places), context)
         return -np.log((pair + BACKOFF * p) / (context + BACKOFF))
 
 
-def fit(docs: DataFrame, is_target: str, size: int = VOCABULARY, slots: int = SLOTS) -> Models:
-    """Both models, from all of docs (text and a boolean column): the background counts every document, the target those marked; null is not marked."""
-    known = vocabulary(docs, size)
+def fit(docs: DataFrame, is_target: str, known: list[bytes], slots: int = SLOTS) -> Models:
+    """Both models, from all of docs (text and a boolean column): the background counts every document, the target those marked; null is not marked. known: the vocabulary."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(known)
     n = len(known) + 2
@@ -152,19 +162,19 @@ def fit(docs: DataFrame, is_target: str, size: int = VOCABULARY, slots: int = SL
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, counts[0, at], counts[1, at])], names=["at", "target", "background"])
 
     sums = arrow(docs.select("text", is_target), run, "at long, target long, background long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = sums.toArrow()  # at most 2 * size + slots + 4 rows
+    table = sums.toArrow()  # at most two rows a known word, and slots
     counts = np.zeros((2, 2 * n + slots), np.float32)
     at = table.column("at").to_numpy()
     counts[0, at], counts[1, at] = table.column("target").to_numpy(), table.column("background").to_numpy()
     return Models(known, counts[:, :n], counts[:, n : 2 * n], counts[:, 2 * n :])
 
 
-def score(docs: DataFrame, models: Models, is_target: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of docs: mean losses of a token in nats, and the target's less the background's; lower is more like the target.
+def score(docs: DataFrame, models: Models, counted: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, own_target_loss, background_loss) of docs: mean losses of a token in nats.
 
-    is_target: the column by which the models were fitted on these documents, whose own counts are
-    then taken off; without it the documents are new to the models. Texts without words, null ones
-    too, have no losses and no score.
+    counted: the models were fitted on these documents, whose own counts are taken off; own_target_loss
+    is then that of the target if the document is one of its own. Texts without words, null ones too,
+    have no losses.
     """
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -174,24 +184,29 @@ def score(docs: DataFrame, models: Models, is_target: str | None = None) -> Data
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                sums, sizes = np.zeros((2, part.num_rows)), np.zeros(part.num_rows, np.int64)
-                hot = part.column(2).to_pylist()
+                sums, sizes = np.zeros((3, part.num_rows)), np.zeros(part.num_rows, np.int64)
                 for i, text in enumerate(part.column(1).to_pylist()):
                     if found := list(index.pairs(text)):
                         now, before = (np.concatenate(x) for x in zip(*found, strict=True))
-                        sums[:, i] = m.losses(before, now, (bool(hot[i]), hot[i] is not None)).sum(1)
+                        sums[:, i] = m.losses(before, now, counted).sum(1)
                         sizes[i] = len(now)
-                none = sizes == 0
                 mean = sums / np.maximum(sizes, 1)
-                columns = [pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                columns = [pa.array(x, mask=sizes == 0) for x in mean]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names=["doc_id", "n_tokens", "target_loss", "own_target_loss", "background_loss"])
 
-    hot = F.coalesce(F.col(is_target), F.lit(False)) if is_target else F.lit(None).cast("boolean")
-    return arrow(docs.select(F.col("doc_id").cast("long"), "text", hot.alias("hot")), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, target_loss double, own_target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """score() of docs (doc_id, text) by models fitted on them, whose target is the documents with an id in target_ids (doc_id). Ids may repeat on either side; an empty table gives an empty one."""
-    marks = target_ids.select(F.col("doc_id").alias("t_id")).distinct().withColumn("hot_", F.lit(True))
-    marked = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("t_id"), "left")
-    return score(marked, fit(marked, "hot_"), "hot_")
+    """(doc_id, n_tokens, target_loss, background_loss, score) of docs (doc_id, text), by models fitted on them whose target is the documents with an id in target_ids (doc_id).
+
+    score is the target's loss less the background's; lower is more like the target. Texts without
+    words have neither losses nor score. Ids may repeat on either side; an empty table gives an empty
+    one. The ids of the target grow with the corpus, so texts meet them in one merge join.
+    """
+    marks = target_ids.select(F.col("doc_id").cast("long").alias("t_id")).distinct().withColumn("hot_", F.lit(True)).hint("merge")
+    marked = lambda df: df.join(marks, F.col("doc_id") == F.col("t_id"), "left")
+    models = fit(marked(docs.select("doc_id", "text")), "hot_", known=vocabulary(docs))
+    loss = F.when(F.col("hot_"), F.col("own_target_loss")).otherwise(F.col("target_loss"))
+    rows = marked(score(docs, models, counted=True)).select("doc_id", "n_tokens", loss.alias("target_loss"), "background_loss")
+    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
