@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import licences, lm, minhash, packing, records, rules, secrets, simhash, toolcalls
+from quarry.llm import licences, lm, minhash, packing, pieces, records, rules, secrets, simhash, toolcalls
 from quarry.llm.common import documents, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,14 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), verify=True)
+    ids = F.col("piece_ids")
+    return rows.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_pieces"), F.crc32(ids).alias("ids_crc32"), "lossless")
+
+
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn is taken as a call of a tool, with turn and text as arguments, that needs the user turn before it; what the assistant says next is its result."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
