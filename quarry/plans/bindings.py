@@ -108,16 +108,16 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS = "paths AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^?#]+)', 1), '/$', '') AS path, length(html)::BIGINT AS loc FROM pages)"
 
 
-def edges(spark: SparkSession, sf_dir: str, keep: int = 40) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, keep: int = 283) -> DataFrame:
     """Line items as imports between files, one for each supplier; a rule thins them to about two from each file."""
     n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
-    li = table(spark, sf_dir, "lineitem").filter(f"(7 * l_orderkey + l_linenumber) % {keep * 7} = 0")
+    li = table(spark, sf_dir, "lineitem").filter(f"(7 * l_orderkey + l_linenumber) % {keep} = 0")
     pair = li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst"), (F.col("l_linenumber") == 7).alias("deferred"))
     return pair.filter("src <> dst").groupBy("src", "dst").agg(F.bool_and("deferred").alias("deferred"))
 
 
-def _edges_sql(keep: int = 40) -> str:
-    return f"edges AS (SELECT src, dst, bool_and(l_linenumber = 7) AS deferred FROM (SELECT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst, l_linenumber FROM lineitem WHERE (7 * l_orderkey + l_linenumber) % {keep * 7} = 0) WHERE src <> dst GROUP BY ALL)"
+def _edges_sql(keep: int = 283) -> str:
+    return f"edges AS (SELECT src, dst, bool_and(l_linenumber = 7) AS deferred FROM (SELECT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst, l_linenumber FROM lineitem WHERE (7 * l_orderkey + l_linenumber) % {keep} = 0) WHERE src <> dst GROUP BY ALL)"
 
 
 EDGES = _edges_sql()

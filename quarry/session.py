@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quarry", **conf: str) -> SparkSession:
@@ -11,3 +13,11 @@ def session(name: str = "quarry", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that all executors share, with its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
