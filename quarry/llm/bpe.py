@@ -13,10 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTER, NUMBER, SIGN, SPACE, BLANK, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Characters that are cut and encoded at a time; longer texts are cut at a single space between words.
 CHUNK = 3 << 19
+#: Pieces the library gets at a time.
+ROW = 4096
 #: Distinct pieces a worker remembers in each of two generations.
 REMEMBERED = 220_000
 
@@ -79,48 +82,48 @@ class Encoder:
                 at[nxt[kind[nxt] == LETTER]] = True
         return np.flatnonzero(at)
 
-    def _ask(self, pieces: list[str]) -> Iterator[bytes]:
-        """What the library gives for each piece.
+    def _ask(self, pieces: list[str], sizes: np.ndarray) -> list[bytes]:
+        """What the library gives for each piece; sizes: in bytes.
 
         A piece of a space and other signs is cut off alone also where it follows another piece, so
-        such pieces go in rows of 256, and their ids are told apart by the bytes each id stands for.
+        such pieces go in long rows, and their ids are told apart by the bytes each id stands for.
         """
-        rows: list[list[str]] = []
-        for p in pieces:
-            if rows and len(p) > 1 and p[0] == " " and not p[1].isspace() and len(rows[-1]) < 256:
-                rows[-1].append(p)
-            else:
-                rows.append([p])
-        for k in range(0, len(rows), 64):
-            part = rows[k : k + 64]
-            for row, e in zip(part, self.tokenizer.encode_batch_fast(["".join(r) for r in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                data = ids.tobytes()
-                if len(row) == 1:
-                    yield data
-                    continue
-                upto = np.cumsum(self.id_bytes[ids])
-                ends = np.cumsum([len(p.encode()) for p in row])
-                cut = np.searchsorted(upto, ends) + 1
-                if not np.array_equal(upto[cut - 1], ends):
-                    raise ValueError("a piece was not cut off alone")
-                at = 0
-                for c in (cut * 4).tolist():
-                    yield data[at:c]
-                    at = c
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        got = [self.new.get(p) for p in pieces]
-        missing = [i for i, x in enumerate(got) if x is None]
+        out: list[bytes] = [b""] * len(pieces)
+        apart = [i for i, p in enumerate(pieces) if len(p) < 2 or p[0] != " " or p[1].isspace()]
+        for k in range(0, len(apart), ROW):
+            part = apart[k : k + ROW]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        alone = set(apart)
+        joint = [i for i in range(len(pieces)) if i not in alone]
+        for k in range(0, len(joint), ROW):
+            part = joint[k : k + ROW]
+            (e,) = self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in part])], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            upto, ends = np.cumsum(self.id_bytes[ids]), np.cumsum(sizes[part])
+            cut = np.searchsorted(upto, ends) + 1
+            if not np.array_equal(upto[cut - 1], ends):
+                raise ValueError("a piece was not cut off alone")
+            data, cut = ids.tobytes(), (cut * 4).tolist()
+            for i, a, b in zip(part, [0, *cut], cut, strict=False):
+                out[i] = data[a:b]
+        return out
+
+    def _ids(self, pieces: list[str], sizes: np.ndarray) -> list[bytes]:
+        got = list(map(self.new.get, pieces))
         unknown = []
-        for i in missing:
+        for i in [i for i, x in enumerate(got) if x is None]:
             x = self.old.get(pieces[i])
             if x is None:
                 unknown.append(i)
             else:
                 got[i] = self.new[pieces[i]] = x
-        for i, x in zip(unknown, self._ask([pieces[i] for i in unknown]), strict=True):
-            got[i] = self.new[pieces[i]] = x
+        if unknown:
+            asked = [pieces[i] for i in unknown]
+            found = self._ask(asked, sizes[unknown])
+            self.new.update(zip(asked, found, strict=True))
+            for i, x in zip(unknown, found, strict=True):
+                got[i] = x
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
         return got
@@ -138,14 +141,14 @@ class Encoder:
         np.cumsum(size, out=place[1:])
         offsets = np.append(place[starts], place[-1:]).astype(np.int32)
         strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(text.encode())).dictionary_encode()
-        known = self._ids(strings.dictionary.to_pylist())
+        known = self._ids(strings.dictionary.to_pylist(), pc.binary_length(strings.dictionary).to_numpy())
         which = strings.indices.to_numpy()
         ends = np.searchsorted(starts, firsts + lengths)  # pieces up to the end of each text
         if end and self.end:
             which = np.insert(which, ends, len(known))
             known = [*known, self.end]
             ends = ends + np.arange(1, len(ends) + 1)
-        sizes = np.fromiter((len(x) >> 2 for x in known), np.int64, len(known))
+        sizes = np.array(list(map(len, known)), np.int64) >> 2
         flat = np.frombuffer(b"".join(known), "<u4")
         at = np.cumsum(sizes) - sizes
         each = sizes[which]
