@@ -168,6 +168,8 @@ def judge(docs: DataFrame, policy: Policy | None = None, carry_text: bool = True
     chosen = {n: F.when(F.col("rows") >= policy.min_rows, F.col(f"c_{n}")).when(F.col("lang_rows") >= policy.min_rows, F.col(f"l_{n}")).otherwise(F.lit(whole[f"c_{n}"]).cast("long")) for n in names}
     table = fine.join(coarse, F.col("lang").eqNullSafe(F.col("l_")), "left")
     table = table.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[c.alias(f"t_{n}") for n, c in chosen.items()])
+    # Written, the table has a size the planner knows: a small one is broadcast and no text is shuffled, a large one is not.
+    table = materialise(table, "cutoffs")
     joined = rows.join(table, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     over = F.lit(False)
     for n in names:
