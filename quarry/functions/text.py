@@ -53,7 +53,7 @@ def area(path: Column | str) -> Column:
 def lines(text: Column | str) -> Column:
     """The lines of a text: any line break counts, and one at the end starts no line."""
     t = F.regexp_replace(F.coalesce(col(text), F.lit("")), "\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]", "\n")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n$", ""), "\n"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
 
 
 def word_set(text: Column | str) -> Column:

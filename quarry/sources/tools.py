@@ -25,7 +25,8 @@ def _parsed(docs: DataFrame, schema: str) -> DataFrame:
 
 def flat_json(docs: DataFrame) -> DataFrame:
     """Documents (value) that are arrays of objects, with the usual names of fields."""
-    rows = _parsed(docs, "array<struct<file:string,filename:string,path:string,line:string,line_no:string,row:string,message:string,text:string,reason:string>>").withColumn("e", F.explode("j"))
+    item = "struct<file:string,filename:string,path:string,line:string,line_no:string,row:string,message:string,text:string,reason:string>"
+    rows = _parsed(docs, "array<string>").withColumn("e", F.explode("j")).withColumn("e", F.from_json("e", item))  # one by one, for odd ones among them
     some = lambda *names: F.coalesce(*[F.when(~F.col(f"e.{n}").isin("", "0"), F.col(f"e.{n}")) for n in names])
     return _entries(rows, some("file", "filename", "path"), some("line", "line_no", "row"), some("message", "text", "reason"))
 
