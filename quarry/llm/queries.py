@@ -98,4 +98,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from quarry.llm import sql
 
-    return {"op7_tool_calls": sql.OP7, "op10_quality_rules": sql.OP10}
+    return {"op3_licence_scan": sql.OP3, "op7_tool_calls": sql.OP7, "op10_quality_rules": sql.OP10}

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from quarry.llm import licences
+
 _RATES = ("symbol", "bang", "upper", "dup_line", "repeat")
 _MARGINS = {"symbol": 300, "bang": 300, "upper": 2500, "dup_line": 4000, "repeat": 3000}
 
@@ -50,3 +52,20 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
     CASE WHEN c.call_id IS NOT NULL THEN CASE WHEN c.text IS NULL THEN 1 ELSE 0 END END::INTEGER AS n_errors,
     '{' || concat_ws(',', '"arguments":{"text":' || to_json(c.text) || ',"turn":' || c.turn || '}', '"id":' || to_json(coalesce(c.call_id, r.call_id)), CASE WHEN c.call_id IS NOT NULL THEN '"name":"reply"' END, '"result":' || to_json(r.content)) || '}' AS message
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id"""
+
+
+def _licences(least: float = licences.LEAST) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in licences._table())
+    return f"""WITH templates(licence, grams) AS (VALUES {rows}),
+    whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    lines AS (SELECT doc_id, u.i AS line, ls[u.i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM whole), LATERAL unnest(range(1, len(ls) + 1)) AS u(i)),
+    segments AS (SELECT doc_id, line::INTEGER AS line, text FROM lines UNION ALL SELECT doc_id, 0, text FROM whole WHERE contains(text, chr(10))),
+    words AS (SELECT doc_id, line, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+(?:[.]\\p{{N}}+)*') AS w FROM segments),
+    grams AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1),
+    hits AS (SELECT doc_id, line, licence, 2.0::DOUBLE * len(list_intersect(b, t.grams)) / (len(b) + len(t.grams)) AS dice FROM grams g JOIN templates t ON len(b) >= {least / (2 - least)} * len(t.grams) - 1e-9 AND len(b) <= {(2 - least) / least} * len(t.grams) + 1e-9),
+    good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence, line) AS r, count(DISTINCT line) OVER (PARTITION BY doc_id) AS n FROM hits WHERE dice >= {least})
+    SELECT d.doc_id, g.licence, g.dice, g.line, coalesce(g.n, 0)::BIGINT AS n_matches FROM documents d LEFT JOIN (SELECT * FROM good WHERE r = 1) g ON d.doc_id = g.doc_id"""
+
+
+OP3 = _licences()
