@@ -109,7 +109,9 @@ def dict_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.schema_drift(rows)
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id AS id, lang AS dimension, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS ws FROM documents)
+SELECT x.dimension, x.id AS a, y.id AS b, len(list_intersect(x.ws, y.ws)) / len(list_distinct(list_concat(x.ws, y.ws))) AS likeness FROM w x JOIN w y ON x.dimension = y.dimension AND x.id < y.id AND least(len(x.ws), len(y.ws)) >= 0.8 * greatest(len(x.ws), len(y.ws)) AND len(x.ws) > 0
+WHERE len(list_intersect(x.ws, y.ws)) >= 0.8 * len(list_distinct(list_concat(x.ws, y.ws)))""")
 def review_merge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as issues: those of one language with nearly the same words."""
     rows = b.corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("dimension"), word_set("content").alias("words"))
