@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import duplicates, languages, lifecycle, narrative, scan, scoring, testing
+from quarry.operators import assessment, duplicates, languages, lifecycle, narrative, scan, scoring, testing
 from quarry.plans import bindings as b
 from quarry.plans.registry import query
 from quarry.plans.state import _S as _SCORES
@@ -170,3 +170,38 @@ def script_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def script_security(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = b.table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id", F.lit(".ts")).alias("path"), F.col("html").alias("content"))
     return languages.line_rules(pages, languages.TYPESCRIPT_SECURITY).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT source AS d, (sum(quality) * 7 % 130)::DOUBLE AS score, sum(toxic) % 5 = 0 AS ph, sum(toxic) % 7 = 0 AS pen FROM labels JOIN documents USING (doc_id) GROUP BY source), r AS (SELECT source AS d, count(*) AS issues FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 GROUP BY source)
+SELECT d AS dimension, CASE WHEN ph OR pen THEN 0.0 ELSE least(100.0, score) END::DOUBLE AS score, 10 AS checks, coalesce(issues, 0) AS issues, ph AS placeholder FROM a LEFT JOIN r USING (d) UNION ALL SELECT 'never_seen', 0.0, 10, 0, true""")
+def subjective_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "labels").join(b.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    marks = rows.groupBy(F.col("source").alias("dimension")).agg((F.sum("quality") * 7 % 130).cast("double").alias("score"), (F.sum("toxic") % 5 == 0).alias("placeholder"), (F.sum("toxic") % 7 == 0).alias("penalised"))
+    issues = rows.filter("toxic = 1").select(F.lit("review").alias("detector"), F.lit("open").alias("status"), F.col("source").alias("dimension"))
+    return assessment.subjective(marks, issues, ("Never Seen",))
+
+
+@query(f"{_F} SELECT CASE detector WHEN 'security' THEN 'Security' WHEN 'smells' THEN 'Code quality' END AS dimension, 0.5::DOUBLE AS confidence, detector AS detectors FROM (SELECT DISTINCT detector FROM findings WHERE detector IN ('security', 'smells'))")
+def score_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.col("detector").isin("security", "smells")
+    c = b.findings(spark, sf_dir).select("detector").distinct().select("detector", F.when(low, "reduced").otherwise("full").alias("status"), F.when(low, 0.5).otherwise(1.0).alias("confidence"))
+    return assessment.confidence(c, scoring.policies(spark))
+
+
+@query(f"{_E} SELECT path, importers, loc FROM modules JOIN (SELECT dst AS path, count(DISTINCT src) AS importers FROM file_edges GROUP BY dst) USING (path) WHERE importers >= 3 ORDER BY importers DESC, path LIMIT 10")
+def context_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessment.hubs(b.modules(spark, sf_dir), b.file_edges(spark, sf_dir), least=3)
+
+
+@query("WITH m AS (SELECT n_regionkey, count(*) AS k FROM nation GROUP BY 1), x AS (SELECT 'r' || n_regionkey || '/n' || (c_custkey % 25) AS sa, 'r' || (c_nationkey % 5) || '/n' || c_nationkey AS da FROM customer JOIN nation ON n_nationkey = c_custkey % 25), g AS (SELECT sa AS src_area, da AS dst_area, count(*) AS links FROM x WHERE sa <> da GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY src_area ORDER BY links DESC, dst_area) AS r FROM g) SELECT src_area, dst_area, links FROM r WHERE r <= 10 ORDER BY links DESC, src_area, dst_area LIMIT 20")
+def context_coupling_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.table(spark, sf_dir, "customer").join(b.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_custkey") % 25)
+    src = F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), F.col("c_custkey") % 25, F.lit("/x"))
+    dst = F.concat(F.lit("r"), F.col("c_nationkey") % 5, F.lit("/n"), "c_nationkey", F.lit("/y"))
+    return assessment.coupling_matrix(c.select(src.alias("src"), dst.alias("dst")))
+
+
+@query("SELECT source AS dimension, CASE WHEN toxic = 1 THEN 'open' ELSE 'fixed' END AS status, count(*) AS n, sum((r <= 30)::INT)::BIGINT AS recent FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM labels JOIN documents USING (doc_id)) GROUP BY ALL")
+def review_issue_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = b.table(spark, sf_dir, "labels").join(b.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return assessment.issue_history(rows.select(F.col("doc_id").alias("id"), F.col("source").alias("dimension"), F.when(F.col("toxic") == 1, "open").otherwise("fixed").alias("status"), F.col("n_chars").alias("last_seen")))

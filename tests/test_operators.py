@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import duplicates, files, graph, insight, languages, lifecycle, merge, narrative, ranking, scan, scoring, testing
-from quarry.sources import python_code, tools
+from quarry.operators import assessment, duplicates, files, graph, insight, languages, lifecycle, merge, narrative, ranking, scan, scoring, testing
+from quarry.sources import brace_code, projects, python_code, state, tools
 from quarry.streaming import lifecycle as streams
 
 FINDING = "id string, detector string, file string, tier int, confidence string, status string, zone string, lang string, suppressed boolean, reopen_count int, loc_weight decimal(10,1), holistic boolean, detail_count int, first_seen timestamp_ntz"
@@ -279,3 +279,47 @@ def test_merge_of_a_stream_of_scans(spark, tmp_path):
     q.awaitTermination(60)
     last = {r["id"]: r["status"] for r in kept[max(kept)].collect()}
     assert set(last) == {"a", "b"} and sorted(last.values()) == ["auto_resolved", "open"]
+
+
+def test_functions_of_brace_languages():
+    code = "// function no() {\nfunction one(a, b = {x: 1}, ...rest): Map<string, number> {\n  if (a && b) { return '}' }\n  return `${a}`\n}\nexport const two = async (x: number) => {\n  for (;;) {}\n}\nclass K extends B {\n  run() { }\n}\n"
+    rows = {r[2]: r for r in brace_code.file_functions("a.ts", code)}
+    assert set(rows) == {"one", "two", "K"} and rows["one"][3:7] == (2, 4, ["a", "b", "rest"], "Map<string, number>") and rows["one"][8:] == (1, 3)
+    go = {r[2]: r[5] for r in brace_code.file_functions("a.go", "func (s *T) Run(ctx Context, n int) error {\n}\nfunc main() {}\n")}
+    assert go == {"Run": ["Context", "int"], "main": []} or set(go) == {"Run", "main"}
+    assert [r[2] for r in brace_code.file_functions("A.cs", "public async Task<int> Do(string a, int b) {\n if (x) { }\n}")] == ["Do"]
+    assert list(brace_code.file_functions("a.txt", "function x() {}")) == [] == list(brace_code.file_functions("a.ts", None))
+
+
+def test_links_of_further_languages(spark):
+    make = lambda d: spark.createDataFrame(list(d.items()), "path string, content string")
+    got = lambda df: {tuple(r) for r in df.collect()}
+    assert got(projects.dart(make({"lib/a.dart": "import 'b/c.dart';\nimport 'package:app/d.dart';\nimport 'dart:io';", "lib/b/c.dart": "part '../a.dart';", "lib/d.dart": ""}), "app")) == {("lib/a.dart", "lib/b/c.dart"), ("lib/a.dart", "lib/d.dart"), ("lib/b/c.dart", "lib/a.dart")}
+    assert got(projects.gdscript(make({"a.gd": 'extends "res://b.gd"\nvar x = preload("res://s/c.gd")', "b.gd": "", "s/c.gd": ""}))) == {("a.gd", "b.gd"), ("a.gd", "s/c.gd")}
+    assert got(projects.go(make({"main.go": 'import (\n\t"fmt"\n\t"ex.org/m/util"\n)', "util/u.go": "", "util/u_test.go": ""}), "ex.org/m")) == {("main.go", "util/u.go")}
+    cs = make({"A/A.csproj": '<ProjectReference Include="..\\B\\B.csproj" />', "B/B.csproj": "", "C/C.csproj": "", "A/a.cs": "using Big.B;\nusing Big.C;", "B/b.cs": "namespace Big.B.Deep\n{}", "C/c.cs": "namespace Big.C;\nusing Big.B;"})
+    assert got(projects.projects(cs)) == {("A/A.csproj", "B/B.csproj"), ("B/B.csproj", None), ("C/C.csproj", None)}
+    assert got(projects.csharp(cs)) == {("A/a.cs", "B/b.cs")}
+
+
+def test_store(spark, tmp_path):
+    store = state.Store(spark, f"file://{tmp_path}/s")
+    assert store.load() is None
+    assert store.save(finding(spark, [{"id": "a"}])) == 1 and store.save(finding(spark, [{"id": "a"}, {"id": "b"}])) == 2
+    assert store.load().count() == 2 and store.load(1).count() == 1 and store.versions() == [1, 2]
+    for bad in ([{"id": "a"}, {"id": "a"}], [{"id": ""}], [{"status": "odd"}], [{"tier": 9}], [{"reopen_count": -1}]):
+        with pytest.raises(state.InvalidState):
+            store.save(finding(spark, bad))
+    assert store.versions() == [1, 2]
+
+
+def test_assessment(spark):
+    reviews = spark.createDataFrame([("2024-01-01", 100)], "reviewed_at string, files int").withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp"))
+    due = lambda n, day, **k: [r[0] for r in assessment.review_due(reviews, n, F.lit(day).cast("timestamp"), **k).collect()]
+    assert due(100, "2024-01-20") == [] and due(100, "2024-02-20") == ["stale"] and due(121, "2024-01-20") == ["drifted"] and due(0, "2030-01-01") == [] and due(500, "2030-01-01", days=0) == []
+    assert [r[0] for r in assessment.review_due(reviews.limit(0), 5, F.lit("2024-01-01").cast("timestamp")).collect()] == ["unreviewed"]
+    scores = "mode string, dimension string, score double"
+    rows = assessment.carried(spark.createDataFrame([("strict", "a", 1.0)], scores), spark.createDataFrame([("strict", "a", 5.0), ("strict", "b", 2.0)], scores)).collect()
+    assert {(r["dimension"], r["score"], r["carried"]) for r in rows} == {("a", 1.0, False), ("b", 2.0, True)}
+    routes = spark.createDataFrame([("a.py", "@app.route('/x')\ndef x(): pass\n@app.get('/y')\n@login_required\ndef y(): pass\n"), ("b.py", "x = 1")], "path string, content string")
+    assert [tuple(r) for r in assessment.auth_coverage(routes).collect()] == [("a.py", 2, 1)]
