@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quarry.llm.common import held
+
 LETTER, NUMBER, SIGN, SPACE, BLANK, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Characters that are cut and encoded at a time; longer texts are cut at a single space between words.
 CHUNK = 3 << 19
@@ -190,14 +192,9 @@ class Encoder:
         return ids, np.array([len(ids)])
 
 
-_encoders: dict[tuple[str, int | None], Encoder] = {}
-
-
 def encoder(path: str, end_id: int | None = 0) -> Encoder:
     """The worker's encoder for a file; a worker keeps it from task to task."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    return held(("bpe", path, end_id), lambda: Encoder(path, end_id))
 
 
 def encoded(encoder: Encoder, batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:

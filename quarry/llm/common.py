@@ -5,7 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,14 +48,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch at most: whole texts are large, and a batch exists on both sides.
+BATCH = 8 << 20
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """What a worker keeps from task to task: one thing at a time, the last asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _tidy() -> None:
+    """Give memory that a task has freed back to the system; the worker lives on, beside others."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with this package sent to the executors once a session."""
-    sc = df.sparkSession.sparkContext
+    """df.mapInArrow(run, schema), with this package sent to the executors once a session and batches kept small."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not getattr(sc, "_quarry_sent", False):
         package = Path(__file__).resolve().parents[1]
         sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}-src", "zip", package.parent, package.name))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
         sc._quarry_sent = True
-    return df.mapInArrow(run, schema)
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _tidy()
+
+    return df.mapInArrow(tidied, schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

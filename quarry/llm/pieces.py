@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow
+from quarry.llm.common import arrow, held
 
 SHARPNESS, COST = 0.001, 1.0
 SPACE = "▁"
@@ -258,13 +258,8 @@ class Lattice:
         return data.removeprefix(" ")
 
 
-_lattices: dict[str, Lattice] = {}
-
-
 def lattice(path: str) -> Lattice:
-    if path not in _lattices:
-        _lattices[path] = Lattice(path)
-    return _lattices[path]
+    return held(("pieces", path), lambda: Lattice(path))
 
 
 def encode(docs: DataFrame, model: str, seed: int = 0, key: str = "doc_id", verify: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import crf
-from quarry.llm.common import arrow
+from quarry.llm.common import arrow, held
 
 #: Kinds in their order among spans of equal start.
 KINDS = ("assign", "access", "hex", "crf")
@@ -217,9 +217,6 @@ def redacted(text: str, spans: list[Span], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-_scanners: dict[bytes, Scanner] = {}
-
-
 def scan(docs: DataFrame, redact: str | None = None) -> DataFrame:
     """docs with spans, an array of (kind, start, end) in code points, end exclusive; a column of that name is replaced.
 
@@ -231,10 +228,7 @@ def scan(docs: DataFrame, redact: str | None = None) -> DataFrame:
     own = [c for c in docs.columns if c != "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = weights.tobytes()
-        if key not in _scanners:
-            _scanners[key] = Scanner(crf.Model(weights, moves))
-        scanner = _scanners[key]
+        scanner = held(("crf", weights.tobytes()), lambda: Scanner(crf.Model(weights, moves)))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
