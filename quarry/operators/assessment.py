@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import age_days, area
+from quarry.session import small
 
 # Weights of dimensions of judgment.
 WEIGHTS = {
@@ -37,7 +38,7 @@ def subjective(assessments: DataFrame, findings: DataFrame, defaults: tuple[str,
     """
     given = assessments.select(key(F.col("dimension")).alias("dimension"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce("score", F.lit(0.0)))).alias("score"), F.coalesce("placeholder", F.lit(False)).alias("placeholder"), F.coalesce("penalised", F.lit(False)).alias("penalised"))
     spark = assessments.sparkSession
-    every = spark.createDataFrame([(d,) for d in defaults], "dimension string").select(key(F.col("dimension")).alias("dimension"))
+    every = small(spark, [(d,) for d in defaults], "dimension string").select(key(F.col("dimension")).alias("dimension"))
     rows = given.join(every, "dimension", "full")
     open_ = findings.filter("detector = 'review' and status = 'open'").groupBy(key(F.col("dimension")).alias("dimension")).agg(F.count("*").alias("issues"))
     rows = rows.join(open_, "dimension", "left")

@@ -64,7 +64,7 @@ def line_rules(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(path, line_no, kind, name, severity): what the rules find in each line that is not a comment."""
     line = F.col("line")
     rows = files.select("path", F.posexplode(lines("content")).alias("n", "line")).filter(~line.rlike(r"^\s*(?://|#|\*|/\*)"))
-    found = F.array(*[F.when(line.rlike(r.pattern) & (line.rlike(r.also) if r.also else F.lit(True)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"))) for r in rules])
+    found = F.array(*[F.when(r.hits(line), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"))) for r in rules])
     return rows.select("path", (F.col("n") + 1).alias("line_no"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("path", "line_no", "f.*")
 
 

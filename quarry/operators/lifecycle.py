@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import age_days, glob_regex
+from quarry.session import small
 
 
 def selects(pattern: str) -> Column:
@@ -110,7 +111,7 @@ STALE = {
 
 def stale_dimensions(changed: DataFrame) -> DataFrame:
     """(dimension, detectors): dimensions to judge again, by the detectors whose findings (detector) changed."""
-    table = changed.sparkSession.createDataFrame([(d, x) for d, xs in STALE.items() for x in xs], "detector string, dimension string")
+    table = small(changed.sparkSession, [(d, x) for d, xs in STALE.items() for x in xs], "detector string, dimension string")
     rows = changed.select("detector").distinct().join(F.broadcast(table), "detector")
     return rows.groupBy("dimension").agg(F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("detectors"))
 

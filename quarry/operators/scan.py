@@ -39,30 +39,38 @@ class Rule:
     pattern: str
     severity: str = "high"
     also: str | None = None
+    hint: str = ""
+
+    def hits(self, line: Column) -> Column:
+        """Whether a line matches; a hint, a string in every match, spares most lines the pattern."""
+        out = line.rlike(self.pattern)
+        out = line.contains(self.hint) & out if self.hint else out
+        return out & line.rlike(self.also) if self.also else out
 
 
 # Patterns of secrets and unsafe calls.
 SECRET_FORMATS = (
-    Rule("secret", "AWS access key", r"AKIA[0-9A-Z]{16}", "critical"),
-    Rule("secret", "GitHub token", r"gh[ps]_[A-Za-z0-9_]{36,}", "critical"),
-    Rule("secret", "Private key block", r"-----BEGIN\s+(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "critical"),
-    Rule("secret", "Stripe key", r"[sr]k_(?:live|test)_[0-9a-zA-Z]{20,}"),
-    Rule("secret", "Slack token", r"xox[bpas]-[0-9a-zA-Z-]+"),
-    Rule("secret", "JWT token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", "medium"),
-    Rule("secret", "Database connection string with password", r"(?:postgres|mysql|mongodb|redis)://\w+:[^@\s]{3,}@", "critical"),
+    Rule("secret", "AWS access key", r"AKIA[0-9A-Z]{16}", "critical", hint="AKIA"),
+    Rule("secret", "GitHub token", r"gh[ps]_[A-Za-z0-9_]{36,}", "critical", hint="gh"),
+    Rule("secret", "Private key block", r"-----BEGIN\s+(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "critical", hint="PRIVATE KEY"),
+    Rule("secret", "Stripe key", r"[sr]k_(?:live|test)_[0-9a-zA-Z]{20,}", hint="k_"),
+    Rule("secret", "Slack token", r"xox[bpas]-[0-9a-zA-Z-]+", hint="xox"),
+    Rule("secret", "JWT token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", "medium", hint="eyJ"),
+    Rule("secret", "Database connection string with password", r"(?:postgres|mysql|mongodb|redis)://\w+:[^@\s]{3,}@", "critical", hint="://"),
 )
 UNSAFE = (
-    Rule("random", "insecure random", r"(?:Math\.random|random\.random|random\.randint)\s*\(", "medium", also=r"(?i)(?:token|key|nonce|session|salt|secret|password|otp|csrf|auth)"),
-    Rule("crypto", "TLS verification disabled", r"verify\s*=\s*False"),
-    Rule("crypto", "Unverified SSL context", r"ssl\._create_unverified_context\s*\("),
-    Rule("crypto", "TLS rejection disabled", r"rejectUnauthorized\s*:\s*false"),
-    Rule("crypto", "TLS rejection disabled via env", r"NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]0['\"]"),
+    Rule("random", "insecure random", r"(?:Math\.random|random\.random|random\.randint)\s*\(", "medium", also=r"(?i)(?:token|key|nonce|session|salt|secret|password|otp|csrf|auth)", hint="random"),
+    Rule("crypto", "TLS verification disabled", r"verify\s*=\s*False", hint="verify"),
+    Rule("crypto", "Unverified SSL context", r"ssl\._create_unverified_context\s*\(", hint="ssl._create"),
+    Rule("crypto", "TLS rejection disabled", r"rejectUnauthorized\s*:\s*false", hint="rejectUnauthorized"),
+    Rule("crypto", "TLS rejection disabled via env", r"NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]0['\"]", hint="NODE_TLS"),
     Rule(
         "log",
         "sensitive data in log",
         r"(?:console\.(?:log|warn|error|info|debug)|log(?:ger)?\.(?:info|debug|warning|error|critical)|logging\.(?:info|debug|warning|error|critical)|\bprint)\s*\(",
         "medium",
         also=r"(?i)(?:password|token|secret|api_key|apikey|credentials|private_key|access_key|authorization)",
+        hint="(",
     ),
 )
 SECRET_NAME = r"(?i)(?:password|passwd|secret|api_key|apikey|token|credentials|auth_token|private_key|access_key|client_secret|secret_key)"
@@ -90,7 +98,9 @@ def named_secrets(line: Column) -> Column:
     environment = F.lit(False)
     for e in ENVIRONMENT:
         environment = environment | line.contains(e)
-    return F.when(environment, F.array().cast("array<string>")).otherwise(F.transform(F.filter(pairs, real), lambda p: p["name"]))
+    # Most lines have neither such a word nor a literal after a sign, and are not taken apart.
+    plausible = line.rlike("""[:=]\\s*['"`]""") & line.rlike(SECRET_NAME)
+    return F.when(environment | ~plausible, F.array().cast("array<string>")).otherwise(F.transform(F.filter(pairs, real), lambda p: p["name"]))
 
 
 def security(files: DataFrame, skip_zones: tuple[str, ...] = ("generated", "vendor")) -> DataFrame:
@@ -98,8 +108,8 @@ def security(files: DataFrame, skip_zones: tuple[str, ...] = ("generated", "vend
     rows = numbered(files.filter(~F.coalesce("zone", F.lit("production")).isin(*skip_zones)))
     line = F.col("line")
     item = lambda r: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"))
-    formats = [F.when(line.rlike(r.pattern), item(r)) for r in SECRET_FORMATS]
-    unsafe = [F.when(line.rlike(r.pattern) & (line.rlike(r.also) if r.also else F.lit(True)), item(r)) for r in UNSAFE]
+    formats = [F.when(r.hits(line), item(r)) for r in SECRET_FORMATS]
+    unsafe = [F.when(r.hits(line), item(r)) for r in UNSAFE]
     named = F.transform(named_secrets(line), lambda n: F.struct(F.lit("secret_name").alias("kind"), n.alias("name"), F.lit("high").alias("severity")))
     code = F.concat(named, F.array(*unsafe))
     found = F.concat(F.array(*formats), F.when(is_comment(line), F.slice(code, 1, 0)).otherwise(code))
@@ -123,7 +133,7 @@ MATCHES = 50
 def smells(files: DataFrame, rules: tuple[Rule, ...] = PYTHON_SMELLS) -> DataFrame:
     """(smell_id, path, severity, n, lines): smells by file; a line counts once for each, and of each smell the first fifty by path and line, as the rule has it."""
     line = F.col("line")
-    found = F.array(*[F.when(line.rlike(r.pattern), F.struct(F.lit(r.name).alias("smell_id"), F.lit(r.severity).alias("severity"))) for r in rules])
+    found = F.array(*[F.when(r.hits(line), F.struct(F.lit(r.name).alias("smell_id"), F.lit(r.severity).alias("severity"))) for r in rules])
     rows = numbered(files).select("path", "line_no", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("s")).select("path", "line_no", "s.*")
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("smell_id").orderBy("path", "line_no"))).filter(F.col("r") <= MATCHES)
     return first.groupBy("smell_id", "path", "severity").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("line_no")), 1, 10).alias("lines"))

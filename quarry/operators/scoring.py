@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schema
+from quarry.session import small
 
 
 def policies(spark: SparkSession) -> DataFrame:
     rows = [(d.name, d.dimension, d.file_based, d.loc_weight, list(d.no_zones)) for d in schema.DETECTORS if d.dimension or d.name in schema.NEVER_SCORED]
-    return spark.createDataFrame(rows, "detector string, dimension string, file_based boolean, use_loc boolean, no_zones array<string>")
+    return small(spark, rows, "detector string, dimension string, file_based boolean, use_loc boolean, no_zones array<string>")
 
 
 def modes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, s) for m, ss in schema.FAILS.items() for s in ss], "mode string, status string")
+    return small(spark, [(m, s) for m, ss in schema.FAILS.items() for s in ss], "mode string, status string")
 
 
 def merge_potentials(potentials: DataFrame) -> DataFrame:
@@ -50,14 +51,15 @@ def file_cap(n: Column) -> Column:
 def weighted_failures(findings: DataFrame) -> DataFrame:
     """(mode, detector, weighted, issues). Detectors by file count each file up to a cap: by its number of findings, or the first finding's size weight; findings on the whole project weigh ten times and are not capped."""
     rows = failures(findings)
-    whole = F.col("holistic") & (F.col("file") == ".")
-    plain = rows.filter(~F.col("file_based")).groupBy("mode", "detector").agg(F.sum("weight").alias("weighted"), F.count("*").alias("issues"))
-    by_file = rows.filter(F.col("file_based") & ~F.coalesce(whole, F.lit(False))).groupBy("mode", "detector", "file").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.min_by("weight", "id").alias("first"), F.first("use_loc").alias("use_loc"))
-    capped = by_file.groupBy("mode", "detector").agg(F.sum(F.least("w", F.when(F.col("use_loc"), F.col("first")).otherwise(file_cap(F.col("n"))))).alias("weighted"), F.sum("n").alias("issues"))
-    holistic = rows.filter(F.col("file_based") & whole).groupBy("mode", "detector").agg(F.sum(F.col("weight") * schema.HOLISTIC_MULTIPLIER).alias("weighted"), F.count("*").alias("issues"))
+    whole = F.coalesce(F.col("holistic") & (F.col("file") == "."), F.lit(False))
+    by_file = F.col("file_based") & ~whole
+    # One pass: files of detectors that count by file are units of their own, all else is one unit of its detector.
+    rows = rows.withColumns({"whole": F.col("file_based") & whole, "unit": F.when(by_file, F.col("file"))})
+    units = rows.groupBy("mode", "detector", "file_based", "use_loc", "whole", "unit").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.min_by("weight", "id").alias("first"))
     d = "decimal(20,1)"
-    parts = [x.select("mode", "detector", F.col("weighted").cast(d).alias("weighted"), "issues") for x in (plain, capped, holistic)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("mode", "detector").agg(F.sum("weighted").alias("weighted"), F.sum("issues").alias("issues"))
+    capped = F.least("w", F.when(F.col("use_loc"), F.col("first")).otherwise(file_cap(F.col("n"))))
+    counted = F.when(F.col("whole"), F.col("w") * schema.HOLISTIC_MULTIPLIER).when(F.col("file_based"), capped).otherwise(F.col("w")).cast(d)
+    return units.groupBy("mode", "detector").agg(F.sum(counted).cast(d).alias("weighted"), F.sum("n").alias("issues"))
 
 
 def detector_stats(findings: DataFrame, potentials: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import files, graph
 from quarry.plans import bindings as b
 from quarry.plans.registry import query
+from quarry.session import small
 
 _C, _P, _E = f"WITH {b.CORPUS}", f"WITH {b.PATHS}", f"WITH {b.FILE_EDGES}"
 _LOC = "CASE WHEN content = '' THEN 0 ELSE len(string_split(regexp_replace(content, '\\n$', ''), chr(10))) END"
@@ -23,8 +24,8 @@ def zone_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {b.FINDINGS} SELECT id, zone, CASE WHEN zone = 'test' AND detector = 'structural' THEN 'low' ELSE confidence END AS confidence FROM findings WHERE NOT ((zone = 'generated' AND detector IN ('smells', 'dupes')) OR (zone = 'vendor' AND detector = 'security'))")
 def zone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skip = spark.createDataFrame([("generated", "smells"), ("generated", "dupes"), ("vendor", "security")], "zone string, detector string")
-    down = spark.createDataFrame([("test", "structural")], "zone string, detector string")
+    skip = small(spark, [("generated", "smells"), ("generated", "dupes"), ("vendor", "security")], "zone string, detector string")
+    down = small(spark, [("test", "structural")], "zone string, detector string")
     return files.zone_policy(b.findings(spark, sf_dir), skip, down).select("id", "zone", "confidence")
 
 

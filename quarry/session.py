@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +23,11 @@ def settled(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-"))
     return df.checkpoint()
+
+
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few given rows that the planner has at hand, with no job to make it."""
+    names = [c.split()[0] for c in re.split(r",\s*(?=\w+ \w)", schema)]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows]), schema)
