@@ -32,7 +32,7 @@ class Policy:
     quantile_den: int = 4
     reach: int = 3
     min_rows: int = 200
-    margins: dict[str, int] = field(default_factory=lambda: {"symbol": 300, "bang": 300, "upper": 2500, "dup_line": 4000, "repeat": 3000})
+    margins: dict[str, int] = field(default_factory=lambda: {"symbol": 500, "bang": 800, "upper": 3500, "dup_line": 4000, "repeat": 3000})
 
 
 def repeat_positions(words: Column) -> Column:

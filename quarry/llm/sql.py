@@ -3,7 +3,7 @@
 from quarry.llm import licences
 
 _RATES = ("symbol", "bang", "upper", "dup_line", "repeat")
-_MARGINS = {"symbol": 300, "bang": 300, "upper": 2500, "dup_line": 4000, "repeat": 3000}
+_MARGINS = {"symbol": 500, "bang": 800, "upper": 3500, "dup_line": 4000, "repeat": 3000}
 
 
 def _rules(table: str) -> str:
