@@ -29,7 +29,7 @@ def grep_names(files: DataFrame, names: DataFrame) -> DataFrame:
 
 def count_files(files: DataFrame, word: str) -> DataFrame:
     """One row: how many files have the word."""
-    return files.filter(F.col("content").rlike(rf"(?U)\b{word}\b")).agg(F.count("*").alias("files"))
+    return files.filter(F.col("content").rlike(rf"(?U)\b\Q{word}\E\b")).agg(F.count("*").alias("files"))
 
 
 @dataclass(frozen=True)

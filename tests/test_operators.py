@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import assessment, duplicates, files, graph, insight, languages, lifecycle, merge, narrative, ranking, scan, scoring, testing
-from quarry.sources import brace_code, projects, python_code, state, tools
+from quarry.sources import brace_code, corpus, projects, python_code, state, tools
 from quarry.streaming import lifecycle as streams
 
 FINDING = "id string, detector string, file string, tier int, confidence string, status string, zone string, lang string, suppressed boolean, reopen_count int, loc_weight decimal(10,1), holistic boolean, detail_count int, first_seen timestamp_ntz"
@@ -323,3 +323,14 @@ def test_assessment(spark):
     assert {(r["dimension"], r["score"], r["carried"]) for r in rows} == {("a", 1.0, False), ("b", 2.0, True)}
     routes = spark.createDataFrame([("a.py", "@app.route('/x')\ndef x(): pass\n@app.get('/y')\n@login_required\ndef y(): pass\n"), ("b.py", "x = 1")], "path string, content string")
     assert [tuple(r) for r in assessment.auth_coverage(routes).collect()] == [("a.py", 2, 1)]
+
+
+def test_corpus(spark, tmp_path):
+    for p, data in {"a.py": b"x = 1\ny = 2\n", "s/b.py": b"\xff\xfeok", "s/c.txt": b"no", "node_modules/d.py": b"no", "gen/e.py": b"no", "big.py": b"#" * 2000}.items():
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_bytes(data)
+    found = corpus.files(spark, f"file://{tmp_path}", (".py",), ("gen",), limit=1000)
+    rows = {r["path"]: r["content"] for r in found.collect()}
+    assert set(rows) == {"a.py", "s/b.py"} and rows["s/b.py"].endswith("ok") and "\ufffd" in rows["s/b.py"]
+    assert tuple(corpus.metrics(found).first()) == (2, 3, 2)
+    assert scan.count_files(found, "x").first()[0] == 1
