@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import assessment, duplicates, languages, lifecycle, narrative, scan, scoring, testing
+from quarry.operators import assessment, duplicates, factories, graph, languages, lifecycle, narrative, scan, scoring, testing
 from quarry.plans import bindings as b
 from quarry.plans.registry import query
 from quarry.plans.state import _S as _SCORES
@@ -205,3 +205,19 @@ def context_coupling_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_issue_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.table(spark, sf_dir, "labels").join(b.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
     return assessment.issue_history(rows.select(F.col("doc_id").alias("id"), F.col("source").alias("dimension"), F.when(F.col("toxic") == 1, "open").otherwise("fixed").alias("status"), F.col("n_chars").alias("last_seen")))
+
+
+@query(f"""{_E}, n AS (SELECT dst AS path, count(DISTINCT src) AS n FROM file_edges GROUP BY dst) SELECT 'orphaned::' || path AS id, 'orphaned' AS detector, path AS file, 3 AS tier, 'medium' AS confidence, 'Nothing imports these ' || loc || ' lines' AS summary FROM modules WHERE loc >= 10 AND path NOT IN (SELECT path FROM n)
+UNION ALL SELECT 'facade::' || path, 'facade', path, 2, CASE WHEN n IS NULL THEN 'high' ELSE 'medium' END, 'Only passes on imports, to ' || coalesce(n, 0) || ' files' FROM modules LEFT JOIN n USING (path) WHERE loc % 3 = 0 AND coalesce(n, 0) <= 2""")
+def findings_of_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, e = b.modules(spark, sf_dir), b.file_edges(spark, sf_dir)
+    alone = factories.from_orphans(graph.orphans(m, e))
+    return alone.unionByName(factories.from_facades(graph.facades(m.withColumn("is_facade", F.col("loc") % 3 == 0), e)))
+
+
+@query(f"""{_C}, l AS (SELECT path, unnest(CASE WHEN content = '' THEN [] ELSE string_split(regexp_replace(content, '\\n$', ''), chr(10)) END) AS line FROM corpus), m AS (SELECT path, count(*) AS n FROM l WHERE regexp_matches(line, '[*]{{3}}') GROUP BY path)
+SELECT 'smells::' || path || '::marks' AS id, 'smells' AS detector, path AS file, 2 AS tier, 'medium' AS confidence, n || 'x marks' AS summary FROM m""")
+def findings_of_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("line")
+    rows = scan.numbered(b.corpus(spark, sf_dir).select("path", "content")).filter(line.rlike("[*]{3}")).groupBy("path").agg(F.count("*").alias("n"))
+    return factories.from_smells(rows.select(F.lit("marks").alias("smell_id"), "path", F.lit("high").alias("severity"), "n"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import assessment, duplicates, files, graph, insight, languages, lifecycle, merge, narrative, ranking, scan, scoring, testing
+from quarry.operators import assessment, duplicates, factories, files, graph, insight, languages, lifecycle, merge, narrative, ranking, scan, scoring, testing
 from quarry.sources import brace_code, corpus, projects, python_code, state, tools
 from quarry.streaming import lifecycle as streams
 
@@ -334,3 +334,15 @@ def test_corpus(spark, tmp_path):
     assert set(rows) == {"a.py", "s/b.py"} and rows["s/b.py"].endswith("ok") and "\ufffd" in rows["s/b.py"]
     assert tuple(corpus.metrics(found).first()) == (2, 3, 2)
     assert scan.count_files(found, "x").first()[0] == 1
+
+
+def test_findings_of_detectors(spark):
+    rows = spark.createDataFrame([("./a.py", "f", 12, "b.py", "g", 3, 1.0), ("a.py", "h", 4, "b.py", "i", 5, 1.0), ("c.py", "x", 30, "a.py", "y", 31, 0.93)], "file_a string, name_a string, loc_a int, file_b string, name_b string, loc_b int, similarity double")
+    found = {r["id"]: (r["tier"], r["confidence"]) for r in factories.from_duplicates(rows).collect()}
+    assert found == {"dupes::a.py::./a.py:f|b.py:g": (2, "high"), "dupes::c.py::a.py:y|c.py:x": (3, "low")}
+    cycles = spark.createDataFrame([("a", "z", 2), ("z", "z", 2), ("k", "q", 5)], "node string, cycle string, size long")
+    assert {(r["file"], r["tier"]) for r in factories.from_cycles(cycles).collect()} == {("a", 3), ("k", 4)}
+    smells = spark.createDataFrame([("s", "a.py", "high", 3), ("t", "a.py", "low", 1)], "smell_id string, path string, severity string, n long")
+    assert {(r["id"], r["tier"], r["confidence"]) for r in factories.from_smells(smells).collect()} == {("smells::a.py::s", 2, "medium"), ("smells::a.py::t", 3, "low")}
+    unused = spark.createDataFrame([("a.py", "os", "import"), ("a.py", "x", "variable")], "path string, name string, kind string")
+    assert [r["tier"] for r in factories.from_unused(unused).orderBy("tier").collect()] == [1, 2]
