@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,12 +89,29 @@ def large(files: DataFrame, threshold: int = 500) -> DataFrame:
 
 @dataclass(frozen=True)
 class Signal:
-    """What a match of a pattern, in a whole text, beyond a threshold adds to a file's complexity."""
+    """What a match of a pattern, in a whole text, beyond a threshold adds to a file's complexity; compute, a function of the text's column, counts instead of a pattern."""
 
     name: str
     pattern: str
     weight: int
     threshold: int
+    compute: Callable[[Column], Column] | None = None
+
+    def count(self, text: Column) -> Column:
+        return self.compute(text) if self.compute else F.regexp_count(text, F.lit("(?m)" + self.pattern))
+
+
+def deepest_indent(text: Column) -> Column:
+    """How many units the deepest line is indented; a unit is the greatest common divisor of indents up to 16."""
+    widths = F.transform(F.filter(lines(text), lambda x: F.trim(x) != ""), lambda x: F.length(F.regexp_extract(F.replace(x, F.lit("\t"), F.lit("    ")), "^ *", 0)))
+
+    def unit(w: Column) -> Column:
+        small = F.array_distinct(F.filter(w, lambda n: n.between(1, 16)))
+        # The divisor is at most 16, so each is tried.
+        found = F.array_max(F.filter(F.sequence(F.lit(1), F.lit(16)), lambda d: F.forall(small, lambda n: n % d == 0)))
+        return F.when(F.size(small) == 0, 4).otherwise(found)
+
+    return F.element_at(F.transform(F.array(widths), lambda w: F.coalesce(F.floor(F.array_max(w) / unit(w)), F.lit(0)).cast("int")), 1)
 
 
 # Signals of Python files by pattern.
@@ -102,13 +120,14 @@ PYTHON_SIGNALS = (
     Signal("many_classes", r"^class\s+\w+", 3, 3),
     Signal("nested_comprehensions", r"\[[^\]]*\bfor\b[^\]]*\bfor\b[^\]]*\]|\{[^}]*\bfor\b[^}]*\bfor\b[^}]*\}", 2, 2),
     Signal("TODOs", r"#\s*(?:TODO|FIXME|HACK|XXX)", 2, 0),
+    Signal("deep_nesting", "", 3, 4, deepest_indent),
 )
 
 
 def complexity(files: DataFrame, signals: tuple[Signal, ...], threshold: int = 15, min_loc: int = 50) -> DataFrame:
     """(path, loc, score, signals) of files with a signal and a score of the threshold at least. A signal's count beyond its threshold, times its weight, is added."""
     rows = with_size(files).filter(F.col("loc") >= min_loc)
-    counts = {s.name: F.regexp_count("content", F.lit("(?m)" + s.pattern)) for s in signals}
+    counts = {s.name: s.count(F.col("content")) for s in signals}
     rows = rows.withColumns({f"n_{n}": c for n, c in counts.items()})
     over = {s.name: F.greatest(F.col(f"n_{s.name}") - s.threshold, F.lit(0)) for s in signals}
     score = sum((over[s.name] * s.weight for s in signals), F.lit(0))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry import schema
 
-JUDGMENT = tuple(d.name for d in schema.DETECTORS if d.judgment)
-ACTIONS = {d.name: d.action for d in schema.DETECTORS}
+
+def judging() -> tuple[str, ...]:
+    """Detectors whose findings ask for judgment."""
+    return tuple(d.name for d in schema.DETECTORS if d.judgment)
 
 
 def _confidence():
@@ -40,7 +42,7 @@ def planned(findings: DataFrame, order: DataFrame, skipped: DataFrame) -> DataFr
 
 def clusters(findings: DataFrame, least: int = 2) -> DataFrame:
     """(cluster, n, files, tier): groups of open findings of a detector: by smell where they have one, by file for size findings, else by the detector's action."""
-    action = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[F.col("detector")]
+    action = F.create_map(*[F.lit(x) for d in schema.DETECTORS for x in (d.name, d.action)])[F.col("detector")]
     base = F.element_at(F.split("file", "/"), -1)
     key = (
         F.when(F.col("detector") == "smells", F.concat_ws("::", F.lit("typed"), "detector", "smell_id"))
@@ -55,7 +57,7 @@ def clusters(findings: DataFrame, least: int = 2) -> DataFrame:
 def concerns_by_file(findings: DataFrame) -> DataFrame:
     """(file, n, detectors, kind, fingerprint) of files that need a look: two detectors that ask for judgment, or one among three findings. Detector sets of a file are bounded by the registry."""
     rows = findings.filter("status = 'open' and not suppressed and file <> '.'")
-    judged = F.col("detector").isin(*JUDGMENT)
+    judged = F.col("detector").isin(*judging())
     agg = rows.groupBy("file").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(judged, F.col("detector")))).alias("detectors"), F.max(F.when(F.col("detector") == "structural", F.col("detail_count"))).alias("size"))
     agg = agg.filter((F.size("detectors") >= 2) | ((F.size("detectors") >= 1) & (F.col("n") >= 3)))
     has = lambda x: F.array_contains("detectors", x)
@@ -66,7 +68,7 @@ def concerns_by_file(findings: DataFrame) -> DataFrame:
 
 def concerns_across_files(findings: DataFrame, least: int = 3) -> DataFrame:
     """(detectors, files): sets of two or more judging detectors that open findings of three or more files share."""
-    rows = findings.filter("status = 'open' and not suppressed and file <> '.'").filter(F.col("detector").isin(*JUDGMENT))
+    rows = findings.filter("status = 'open' and not suppressed and file <> '.'").filter(F.col("detector").isin(*judging()))
     sets = rows.groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("detectors"), F.countDistinct("detector").alias("k"))
     return sets.filter("k >= 2").groupBy("detectors").agg(F.count("*").alias("files")).filter(F.col("files") >= least)
 

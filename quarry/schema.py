@@ -31,7 +31,7 @@ class Detector:
 
 _Q, _D = "Code quality", "Duplication"
 # Detectors with their action, whether they need judgment, and how they are scored.
-DETECTORS = (
+DETECTORS: list[Detector] = [
     Detector("unused", "auto_fix", False, _Q),
     Detector("logs", "auto_fix", False, _Q),
     Detector("exports", "manual_fix", False, _Q),
@@ -64,9 +64,15 @@ DETECTORS = (
     Detector("security", "manual_fix", False, "Security", file_based=True, no_zones=("test", "config", "generated", "vendor")),
     Detector("review", "refactor", False, None, file_based=True),
     Detector("subjective_review", "manual_fix", False, "Test health", file_based=True),
-)
+]
 NEVER_SCORED = ("review", "concerns")
 
+
+def register(detector: Detector) -> None:
+    """Add a detector, or replace the one of its name; scores, queues and concerns made afterwards know it."""
+    DETECTORS[:] = [d for d in DETECTORS if d.name != detector.name] + [detector]
+
+
 ZONES = ("production", "test", "config", "generated", "script", "vendor")
 
 #: Findings, the fact table of scans, merges and scores.

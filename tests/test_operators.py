@@ -4,6 +4,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import schema
 from quarry.functions import text
 from quarry.operators import assessment, duplicates, factories, files, graph, insight, languages, lifecycle, merge, narrative, ranking, scan, scoring, testing
 from quarry.sources import brace_code, corpus, projects, python_code, state, tools
@@ -346,3 +347,24 @@ def test_findings_of_detectors(spark):
     assert {(r["id"], r["tier"], r["confidence"]) for r in factories.from_smells(smells).collect()} == {("smells::a.py::s", 2, "medium"), ("smells::a.py::t", 3, "low")}
     unused = spark.createDataFrame([("a.py", "os", "import"), ("a.py", "x", "variable")], "path string, name string, kind string")
     assert [r["tier"] for r in factories.from_unused(unused).orderBy("tier").collect()] == [1, 2]
+
+
+def test_registered_detectors_count(spark):
+    kept = list(schema.DETECTORS)
+    try:
+        schema.register(schema.Detector("own", "refactor", True, "Code quality"))
+        rows = finding(spark, [{"detector": "own"}, {"detector": "own", "file": "b.py"}, {"detector": "smells"}, {"detector": "dupes"}])
+        pots = spark.createDataFrame([("p", "own", 4)], "lang string, detector string, potential long")
+        assert scoring.dimension_scores(scoring.detector_stats(rows, pots)).filter("mode = 'lenient'").first()["score"] == 50.0
+        assert "dupes,own,smells" in {r["detectors"] for r in ranking.concerns_by_file(rows).collect()}
+    finally:
+        schema.DETECTORS[:] = kept
+
+
+def test_computed_signals(spark):
+    texts = ["def f():\n  if x:\n    if y:\n      pass\n", "a\n\tb\n\t\tc", "", "x = 1", "a\n   b\n      c\n         d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string")
+    got = [r[0] for r in df.orderBy("i").select(files.deepest_indent(F.col("content"))).collect()]
+    assert got == [3, 2, 0, 0, 3] == [python_code.nesting(t) for t in texts]
+    deep = spark.createDataFrame([("a.py", "\n".join("  " * i + "x" for i in range(60)))], "path string, content string")
+    assert files.complexity(deep, files.PYTHON_SIGNALS).first()["signals"] == "deep_nesting"
