@@ -1,11 +1,14 @@
 """Cross-entropy difference (Moore and Lewis, 2010): a target and a background bigram model of one vocabulary.
 
-Words are split at white space and lower-cased. The vocabulary is the most frequent words of all
-documents, VOCABULARY at most: all words that occur more often than the least number of times that
-keeps to this, and twice at least; others are one unknown word. Both models are matched: same
-vocabulary, same smoothing. A bigram's probability is its count, smoothed towards the unigram's;
-unigrams get half a count each. Bigram counts are kept in SLOTS hashed counters, so a model has a
-fixed size however large the corpus, and every document is counted.
+Words are split at white space and lower-cased. The vocabulary is every word that occurs twice or more
+in all documents; others are one unknown word. Both models are matched: same vocabulary, same smoothing.
+A bigram's probability is its count, smoothed towards the unigram's; unigrams get half a count each.
+Counts of bigrams, words and contexts are exact and kept in tables, so models grow with the corpus; the
+driver gets the size of the vocabulary only. Texts are dealt into blocks. A block sends what it has of
+each bigram and word, all blocks' counts are summed by bigram and word, and the sums of those that other
+blocks have too go back to the block, which scores its texts; what a block alone has it knows. So a
+very common bigram costs a row a block, not a row a document. Words go by 64-bit hashes: among 100
+million distinct words two have the same with a chance of 3 in 10,000.
 """
 
 from __future__ import annotations
@@ -16,19 +19,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow, materialise
 
-VOCABULARY = 1 << 16
-SLOTS = 1 << 20
 #: Weight of the unigram in a bigram's probability, in counts.
 BACKOFF = 20.0
-#: Distinct words a task holds before it hands them on.
+#: Distinct words a task holds before it hands them on or forgets them.
 HELD = 200_000
+#: Bytes of text in a block, but for a longer text, which is one by itself.
+BLOCK = 16 << 20
 CHUNK = 4 << 20
 _BLANK = b" \t\n\x0b\x0c\r"
+#: Hashes that stand for the start of a text and for an unknown word.
+START, UNKNOWN = 0, 1
 
 
 def words(text: str | None) -> Iterator[list[bytes]]:
@@ -43,8 +49,31 @@ def words(text: str | None) -> Iterator[list[bytes]]:
         at = end
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words of all documents, in order of spelling; the driver gets at most size, and the numbers of words by count up to where they exceed it."""
+def word_hash(word: bytes) -> int:
+    """The 64-bit hash of a word as a signed number, other than START and UNKNOWN."""
+    import xxhash
+
+    x = xxhash.xxh64_intdigest(word)
+    x = x + 2 if x in (START, UNKNOWN) else x
+    return x - (1 << 64) if x >> 63 else x
+
+
+class _Hashes(dict):
+    """Hashes of words, held while they are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = found = word_hash(word)
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        parts = [np.fromiter((self[w] for w in part), np.int64, len(part)) for part in words(text)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
+    """The most frequent words of all documents, in order of spelling, for models of a bound the caller sets; the driver gets at most size, and the numbers of words by count up to where they exceed it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -75,138 +104,240 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     return sorted(bytes(r["word"]) for r in counts.filter(F.col("n") > least).select("word").toLocalIterator())
 
 
-class Index:
-    """Ids of words: 0 is the start of a text, 1 an unknown word."""
+def slot(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """One number for each pair of numbers below 2^32, another for every pair."""
+    return ((before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)).astype(np.int64)
 
-    def __init__(self, known: list[bytes]):
-        self.ids = {w: i + 2 for i, w in enumerate(known)}
-        self.size = len(known) + 2
 
-    def pairs(self, text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of the words of a text and of the word before each."""
-        last, get = 0, self.ids.get
-        for part in words(text):
-            if part:
-                now = np.fromiter((get(w, 1) for w in part), np.int64, len(part))
-                yield now, np.concatenate([[last], now[:-1]])
-                last = int(now[-1])
+#: Texts have no number of their own, as ids may repeat or be null. What a word that occurs once is
+#: sent to need not be its text alone, for others don't have the word.
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
-def slot(before: np.ndarray, now: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """The hashed counter of a bigram. slots: a power of two."""
-    x = (before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) & np.uint64(slots - 1)).astype(np.int64)
+def _word_counts(docs: DataFrame, each: bool) -> DataFrame:
+    """(word, key, n) of the words of docs: of every text if each, else of a batch of texts, with the key of one of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            step = 1 if each else 1024
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                found = [hashes.of(text.as_py()) for text in part.column(1)]
+                word, at, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
+                key = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])[at]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, key, n)], names=["word", "key", "n"])
 
-@dataclass
-class Models:
-    """Counts of words, of words as contexts, and of hashed bigrams: rows of the target (0) and of the background (1)."""
+    return arrow(docs.select(_key().alias("key"), "text"), run, "word long, key long, n long")
+
+
+_TEXTS = "block long, doc_id long, hot boolean, text string, unknown array<long>"
 
-    known: list[bytes]
-    unigrams: np.ndarray
-    contexts: np.ndarray
-    bigrams: np.ndarray
 
-    def losses(self, before: np.ndarray, now: np.ndarray, counted: bool) -> np.ndarray:
-        """Negative log-probabilities of the words of a text after the words before them: rows of the target, of the target if it has counted the text, and of the background.
+def _blocks(docs: DataFrame, unknown: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """A written table of docs in blocks, with the words that unknown (key, word) has for them; hot: (key) of the target, if docs has no column hot."""
+    more = unknown.groupBy("key").agg(F.collect_list("word").alias("unknown"))
+    if hot is not None:
+        more = more.join(hot.withColumn("hot", F.lit(True)), "key", "full")
+    rows = docs.withColumn("key", _key()).join(more.hint("merge"), "key", "left")
+    rows = rows.select(F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long"), (F.coalesce("hot", F.lit(False)) & F.col("doc_id").isNotNull()).alias("hot"), "text", "unknown")
 
-        counted: whether the models were fitted on the text. What they counted of it is then taken off,
-        so a text's score does not depend on whether it was among the target's.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = None, 0
+        for batch in batches:
+            sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(3)).to_pylist()]
+            names = batch.column(0).to_pylist()
+            for i, n in enumerate(sizes):
+                if block is None or size + n > BLOCK:
+                    block, size = names[i], 0  # the number of its first row
+                size += n
+                names[i] = block
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *batch.columns[1:]], names=batch.schema.names)
+
+    return materialise(arrow(rows, run, _TEXTS), "blocks")
+
+
+class _Block:
+    """The texts of a block as numbers, and its counts."""
+
+    def __init__(self, texts: pa.Table, hashes: _Hashes):
+        ids = []
+        for text, unknown in zip(texts.column("text"), texts.column("unknown"), strict=True):
+            found = hashes.of(text.as_py())
+            ids.append(np.where(np.isin(found, unknown.values.to_numpy()), UNKNOWN, found) if unknown.is_valid else found)
+        self.sizes = np.array([len(x) for x in ids], np.int64)
+        self.text = np.repeat(np.arange(len(ids)), self.sizes)
+        flat = np.concatenate([[START], *ids]).astype(np.int64)
+        self.words, at = np.unique(flat, return_inverse=True)
+        start, self.now = at[0], at[1:]
+        self.before = np.concatenate([[start], self.now[:-1]])[: len(self.now)]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = start
+        self.pairs, self.pair = np.unique(self.before * len(self.words) + self.now, return_inverse=True)
+        hot = np.array(texts.column("hot").to_pylist(), bool)[self.text]
+        both = lambda at, n: np.stack([np.bincount(at[hot], minlength=n), np.bincount(at, minlength=n)])
+        self.bigrams, self.unigrams, self.contexts = both(self.pair, len(self.pairs)), both(self.now, len(self.words)), both(self.before, len(self.words))
+        self.totals = np.array([hot.sum(), len(hot)])
+
+    def rows(self) -> list[np.ndarray]:
+        """Columns before, now, t, g, ct, cg: of bigrams, of words (now is null; ct, cg as contexts), and of all words (both START)."""
+        a, b = self.words[self.pairs // len(self.words)], self.words[self.pairs % len(self.words)]
+        none = np.zeros((2, len(self.pairs) + 1), np.int64)
+        n = len(self.words)
+        now = pa.array(np.concatenate([b, [START], np.zeros(n, np.int64)]), mask=np.arange(len(b) + 1 + n) > len(b))
+        counts = np.concatenate([self.bigrams, self.totals[:, None], self.unigrams], 1), np.concatenate([none, self.contexts], 1)
+        return [np.concatenate([a, [START], self.words]), now, *counts[0], *counts[1]]
+
+    def learn(self, sums: pa.Table, only: bool) -> None:
+        """Replaces counts by sums, rows as of rows(). only: what has no sum has none, else the block's own."""
+        if only:
+            for x in (self.bigrams, self.unigrams, self.contexts, self.totals):
+                x[:] = 0
+        if not sums.num_rows:
+            return
+        before, t, g, ct, cg = (sums.column(c).to_numpy() for c in ("before", "t", "g", "ct", "cg"))
+        now = sums.column("now").fill_null(START).to_numpy()
+        word = sums.column("now").is_null().to_numpy()
+        whole = ~word & (now == START)
+        at = np.searchsorted(self.words, before)
+        pair = ~word & ~whole
+        place = np.searchsorted(self.pairs, at[pair] * len(self.words) + np.searchsorted(self.words, now[pair]))
+        self.bigrams[:, place] = t[pair], g[pair]
+        self.unigrams[:, at[word]] = t[word], g[word]
+        self.contexts[:, at[word]] = ct[word], cg[word]
+        if whole.any():
+            self.totals[:] = t[whole][0], g[whole][0]
+
+    def losses(self, size: int, counted: bool) -> np.ndarray:
+        """Mean negative log-probabilities of the words of each text: rows of the target, of the target less the text's own counts, and of the background less these.
+
+        counted: whether the models were fitted on the texts; if not, nothing is taken off.
         """
+        sums, ends = np.zeros((3, len(self.sizes))), np.cumsum(self.sizes)
         rows = np.array([0, 0, 1])
-        off = np.array([0.0, counted, counted])[:, None]
-        places = slot(before, now, self.bigrams.shape[1])
+        off = np.array([0, counted, counted])[:, None]
+        first = 0
+        while first < len(ends):
+            # Some texts at a time, as own counts take room.
+            begin = ends[first] - self.sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 18), "right")))
+            part = slice(begin, ends[last - 1])
+            text, now, before, pair = (x[part] for x in (self.text, self.now, self.before, self.pair))
 
-        def left(counts: np.ndarray, at: np.ndarray) -> np.ndarray:
-            _, which, own = np.unique(at, return_inverse=True, return_counts=True)
-            return np.maximum(counts[:, at][rows] - off * own[which], 0)
+            def left(counts: np.ndarray, at: np.ndarray, text: np.ndarray = text) -> np.ndarray:
+                _, which, own = np.unique(text * counts.shape[1] + at, return_inverse=True, return_counts=True)
+                return counts[:, at][rows].astype(np.float64) - off * own[which]
 
-        total = self.unigrams.sum(1, dtype=np.float64)[rows, None] - off * len(now)
-        p = (left(self.unigrams, now) + 0.5) / (total + 0.5 * self.unigrams.shape[1])
-        context = left(self.contexts, before)
-        pair = np.minimum(left(self.bigrams, places), context)
-        return -np.log((pair + BACKOFF * p) / (context + BACKOFF))
+            total = np.maximum(self.totals[rows, None] - off * self.sizes[text], 0)
+            # What is taken off the target of a text that it has not counted may leave less than nothing; that row is not used for it.
+            p = (np.maximum(left(self.unigrams, now), 0) + 0.5) / (total + 0.5 * size)
+            context = np.maximum(left(self.contexts, before), 0)
+            loss = -np.log((np.maximum(left(self.bigrams, pair), 0) + BACKOFF * p) / (context + BACKOFF))
+            for k in range(3):
+                sums[k] += np.bincount(text, loss[k], len(self.sizes))
+            first = last
+        return sums / np.maximum(self.sizes, 1)
 
 
-def fit(docs: DataFrame, is_target: str, known: list[bytes], slots: int = SLOTS) -> Models:
-    """Both models, from all of docs (text and a boolean column): the background counts every document, the target those marked; null is not marked. known: the vocabulary."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(known)
-    n = len(known) + 2
+_COUNTS = "before long, now long, t long, g long, ct long, cg long"
+
+
+def _counts(blocks: DataFrame) -> DataFrame:
+    """(block and _COUNTS) of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value)
-        # Counters 0..n are words, n..2n contexts, then bigrams.
-        counts = np.zeros((2, 2 * n + slots), np.int64)
+        hashes, held = _Hashes(), []
 
-        def add(row: int, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
-            if held:
-                now, before = (np.concatenate(x) for x in zip(*held, strict=True))
-                counts[row] += np.bincount(np.concatenate([now, n + before, 2 * n + slot(before, now, slots)]), minlength=counts.shape[1])
+        def out() -> Iterator[pa.RecordBatch]:
+            texts = pa.Table.from_batches(held)
+            rows = _Block(texts, hashes).rows()
+            block = pa.array(np.full(len(rows[0]), texts.column("block")[0].as_py()))
+            whole = pa.RecordBatch.from_arrays([block, *map(pa.array, rows)], names=["block", *(x.split()[0] for x in _COUNTS.split(", "))])
+            yield from (whole.slice(k, 1 << 16) for k in range(0, whole.num_rows, 1 << 16))
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part, held = batch.slice(k, 1024), ([], [])
-                for text, hot in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = list(index.pairs(text))
-                    held[1].extend(found)
-                    if hot:
-                        held[0].extend(found)
-                add(0, held[0])
-                add(1, held[1])
-        some = np.flatnonzero(counts[1])
-        for k in range(0, len(some), 1 << 16):
-            at = some[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, counts[0, at], counts[1, at])], names=["at", "target", "background"])
-
-    sums = arrow(docs.select("text", is_target), run, "at long, target long, background long").groupBy("at").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = sums.toArrow()  # at most two rows a known word, and slots
-    counts = np.zeros((2, 2 * n + slots), np.float32)
-    at = table.column("at").to_numpy()
-    counts[0, at], counts[1, at] = table.column("target").to_numpy(), table.column("background").to_numpy()
-    return Models(known, counts[:, :n], counts[:, n : 2 * n], counts[:, 2 * n :])
-
-
-def score(docs: DataFrame, models: Models, counted: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, own_target_loss, background_loss) of docs: mean losses of a token in nats.
-
-    counted: the models were fitted on these documents, whose own counts are taken off; own_target_loss
-    is then that of the target if the document is one of its own. Texts without words, null ones too,
-    have no losses.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+            names = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and held[-1].column(0)[0].as_py() != names[a]:
+                    yield from out()
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from out()
+
+    return arrow(blocks, run, f"block long, {_COUNTS}")
+
+
+def _scores(blocks: DataFrame, sums: DataFrame, size: int, counted: bool) -> DataFrame:
+    """(doc_id, hot, n_tokens, target_loss, own_target_loss, background_loss) of the texts of blocks, by the sums (block and _COUNTS) that their counts have."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        block = _Block(texts, _Hashes())
+        block.learn(found.combine_chunks(), not counted)
+        columns = [pa.array(x, mask=block.sizes == 0) for x in block.losses(size, counted)]
+        return pa.table([texts.column("doc_id"), texts.column("hot"), pa.array(block.sizes), *columns], names=names)
+
+    schema = "doc_id long, hot boolean, n_tokens long, target_loss double, own_target_loss double, background_loss double"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, schema)
+
+
+@dataclass
+class Models:
+    """The vocabulary, its words by hashes (word) and with start and unknown word the number of them, and the counts (_COUNTS) of both models."""
+
+    known: DataFrame
+    size: int
+    counts: DataFrame
+
+
+def _unknown(docs: DataFrame, known: DataFrame) -> DataFrame:
+    return _word_counts(docs, True).join(known, "word", "left_anti")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        index = Index(m.known)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                sums, sizes = np.zeros((3, part.num_rows)), np.zeros(part.num_rows, np.int64)
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    if found := list(index.pairs(text)):
-                        now, before = (np.concatenate(x) for x in zip(*found, strict=True))
-                        sums[:, i] = m.losses(before, now, counted).sum(1)
-                        sizes[i] = len(now)
-                mean = sums / np.maximum(sizes, 1)
-                columns = [pa.array(x, mask=sizes == 0) for x in mean]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], names=["doc_id", "n_tokens", "target_loss", "own_target_loss", "background_loss"])
 
-    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, target_loss double, own_target_loss double, background_loss double")
+def fit(docs: DataFrame, is_target: str, known: list[bytes]) -> Models:
+    """Both models, from all of docs (doc_id, text and a boolean column): the background counts every document, the target those marked; null is not marked. known: the vocabulary."""
+    table = docs.sparkSession.createDataFrame([(word_hash(w),) for w in known], "word long")
+    marked = docs.select("doc_id", "text", F.col(is_target).alias("hot"))
+    sums = _counts(_blocks(marked, _unknown(docs, table))).groupBy("before", "now").agg(*[F.sum(c).alias(c) for c in ("t", "g", "ct", "cg")])
+    return Models(table, len(known) + 2, materialise(sums, "model"))
+
+
+def score(docs: DataFrame, models: Models) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, own_target_loss, background_loss) of docs that the models have not counted: mean losses of a token in nats.
+
+    own_target_loss is that of the target less the text's own counts, here none. Texts without words,
+    null ones too, have no losses.
+    """
+    blocks = _blocks(docs.select("doc_id", "text", F.lit(False).alias("hot")), _unknown(docs, models.known))
+    asked = _counts(blocks).select("block", F.col("before").alias("before_"), F.col("now").alias("now_"))
+    sums = asked.join(models.counts, F.col("before_").eqNullSafe(F.col("before")) & F.col("now_").eqNullSafe(F.col("now")))
+    return _scores(blocks, sums.drop("before_", "now_"), models.size, counted=False).drop("hot")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of docs (doc_id, text), by models fitted on them whose target is the documents with an id in target_ids (doc_id).
 
-    score is the target's loss less the background's; lower is more like the target. Texts without
-    words have neither losses nor score. Ids may repeat on either side; an empty table gives an empty
-    one. The ids of the target grow with the corpus, so texts meet them in one merge join.
+    score is the target's loss less the background's; lower is more like the target. What the models
+    counted of a document is taken off before it is scored, so a text's score does not depend on
+    whether it was among the target's. Texts without words have neither losses nor score. Ids may
+    repeat on either side; an empty table gives an empty one. The ids of the target grow with the
+    corpus, so texts meet them in one merge join, with their unknown words.
     """
-    marks = target_ids.select(F.col("doc_id").cast("long").alias("t_id")).distinct().withColumn("hot_", F.lit(True)).hint("merge")
-    marked = lambda df: df.join(marks, F.col("doc_id") == F.col("t_id"), "left")
-    models = fit(marked(docs.select("doc_id", "text")), "hot_", known=vocabulary(docs))
-    loss = F.when(F.col("hot_"), F.col("own_target_loss")).otherwise(F.col("target_loss"))
-    rows = marked(score(docs, models, counted=True)).select("doc_id", "n_tokens", loss.alias("target_loss"), "background_loss")
+    docs = docs.select("doc_id", "text")
+    counts = _word_counts(docs, False).groupBy("word").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+    # A word that occurs once is unknown, and in one text; of others their number is needed.
+    once = F.col("n") == 1
+    counts = materialise(counts.select(F.when(once, F.col("word")).alias("word"), F.when(once, F.col("key")).alias("key")), "words")
+    size = counts.filter("word is null").count() + 2
+    marks = target_ids.select(F.col("doc_id").cast("long").alias("key")).filter("key is not null").distinct()
+    blocks = _blocks(docs, counts.filter("word is not null"), marks)
+    w = Window.partitionBy("before", "now")
+    sums = _counts(blocks).select("block", "before", "now", *[F.sum(c).over(w).alias(c) for c in ("t", "g", "ct", "cg")], F.count("*").over(w).alias("n_"))
+    rows = _scores(blocks, sums.filter("n_ > 1").drop("n_"), size, counted=True)
+    loss = F.when(F.col("hot"), F.col("own_target_loss")).otherwise(F.col("target_loss"))
+    rows = rows.select("doc_id", "n_tokens", loss.alias("target_loss"), "background_loss")
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))

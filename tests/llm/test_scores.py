@@ -74,6 +74,30 @@ def test_new_texts_and_small_vocabulary(spark, labelled, empty_docs):
     assert lm.cross_entropy_difference(empty_docs, empty_docs.select("doc_id")).count() == 0
 
 
+def test_every_repeated_word_and_bigram_counts(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(70_000)]
+    tokens = words + words
+    rng.shuffle(tokens)
+    texts = [tokens[k : k + 1000] + ["common", "pair"] * 3 for k in range(0, len(tokens), 1000)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    hot = set(range(0, len(texts), 2))
+    rows = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in hot], "doc_id long")).collect()}
+    size = len(words) + 4  # and common, pair, start and unknown
+
+    def loss(i, group):
+        u, c, b = Counter(), Counter(), Counter()
+        for j in group - {i}:
+            u.update(texts[j]), c.update(["", *texts[j][:-1]]), b.update(zip(["", *texts[j]], texts[j], strict=False))
+        out = 0.0
+        for v, w in zip(["", *texts[i]], texts[i], strict=False):
+            out -= math.log((b[v, w] + lm.BACKOFF * (u[w] + 0.5) / (u.total() + 0.5 * size)) / (c[v] + lm.BACKOFF))
+        return out / len(texts[i])
+
+    for i in (0, 1, 139):
+        assert rows[i]["target_loss"] == pytest.approx(loss(i, hot), rel=1e-9) and rows[i]["background_loss"] == pytest.approx(loss(i, set(range(len(texts)))), rel=1e-9)
+
+
 def dice(a, b):
     x, y = (set(zip(w, w[1:], strict=False)) for w in (a, b))
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
