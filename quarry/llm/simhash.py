@@ -221,7 +221,11 @@ def hex_digits(fp: Column) -> Column:
 
 def deduplicate(docs: DataFrame, size: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their class, one row of each; a class of null ids keeps one."""
-    rows = near_duplicates(docs, size)
+    return one_of_each(docs, near_duplicates(docs, size))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the component_id that rows (doc_id, component_id) have for it, one row of each."""
     kept = materialise(rows.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_")), "kept")
     once = kept.distinct().hint("merge")  # the ids kept grow with the input, so texts are dealt out once at any size
     same = docs["doc_id"].cast("long").eqNullSafe(once["kept_"])

@@ -48,6 +48,43 @@ def test_stages_equal_plain_python(spark, folder):
         assert zlib.crc32(ids.tobytes()) == r["ids_crc32"]
 
 
+def shingled(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+def test_near_dedup_takes_edited_copies(spark):
+    """Copies with 1 to 10 of 100 words changed, in small groups and in one of 60, and unlike texts with a common passage: what stays is what exact comparison of all pairs keeps."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(40)]
+    texts = []
+
+    def edited(words, share):
+        words = list(words)
+        at = rng.randrange(len(words) - 60)
+        for k in range(max(1, round(share * len(words)))):
+            words[at + k if share > 0.02 else rng.randrange(len(words))] = word()
+        return words
+
+    for percent in range(1, 11):
+        one = [word() for _ in range(rng.randint(200, 500))]
+        texts += [one, edited(one, percent / 100), edited(one, percent / 100)]
+    big = [word() for _ in range(300)]
+    texts += [edited(big, 0.01) for _ in range(60)] + [[word() for _ in range(100)] + passage for _ in range(20)]
+    texts = [" ".join(t) for t in texts] + ["", None, "one two", "One  two", "three"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    sets, label = [shingled(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or 10 * len(x & sets[j]) >= 8 * len(x | sets[j]):
+                label = [label[j] if n == label[i] else n for n in label]
+    want = {min(i for i, n in enumerate(label) if n == k) for k in label}
+    assert len(want) < len(texts) - 70
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
 def test_run_applies_all_stages(spark, folder):
     sf_dir, _ = folder
     docs, want = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
