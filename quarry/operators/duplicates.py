@@ -53,6 +53,23 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("members")).join(best, "component").withColumnRenamed("component", "cluster")
 
 
+def near_members(functions: DataFrame, threshold: float = 0.9, min_loc: int = 15) -> DataFrame:
+    """(id, cluster, similarity) of every body (id, body) that has a copy or is in a near pair: cluster is the least id of its class, the similarity that of the closest two of the class."""
+    body = functions.select("id", lines("body").alias("ls")).filter(F.size("ls") >= min_loc).select("id", F.md5(F.array_join("ls", "\n")).alias("h"))
+    copies = body.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    near = clusters_of(near_pairs(functions, threshold, min_loc))
+    named = copies.join(near, F.col("first") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "first")).filter("n > 1 or component is not null")
+    best = named.groupBy("cluster").agg(F.max(F.when(F.col("n") > 1, 1.0).otherwise(F.col("similarity"))).alias("similarity"))
+    return body.join(named.select("h", "cluster"), "h").join(best, "cluster").select("id", "cluster", "similarity")
+
+
+def clusters_of(pairs: DataFrame) -> DataFrame:
+    """(node, component, similarity) of all in pairs (a, b, similarity): the similarity is that of the closest pair of the component."""
+    found = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    best = pairs.join(found, pairs["a"] == found["node"]).groupBy("component").agg(F.max("similarity").alias("similarity"))
+    return found.join(best, "component").select("node", "component", "similarity")
+
+
 def signature_variance(functions: DataFrame, least: int = 3) -> DataFrame:
     """(name, files, occurrences, signatures, returns) of names in three files with two signatures, or two return types. functions: (name, file, params, returns); private and test names don't count, and self and cls are no parameters."""
     rows = functions.filter(~F.col("name").startswith("test_") & (~F.col("name").startswith("_") | F.col("name").startswith("_phase_")))

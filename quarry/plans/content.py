@@ -91,8 +91,8 @@ def dupes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dupes_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of documents with nearly the same lines; matching in order has no counterpart in SQL."""
-    return duplicates.clusters(duplicates.near_pairs(b.corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("content").alias("body")), threshold=0.8, min_loc=5))
+    """Documents with nearly the same lines, copies too, and their classes; matching in order has no counterpart in SQL."""
+    return duplicates.near_members(b.corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("content").alias("body")), threshold=0.8, min_loc=5)
 
 
 @query("""WITH f AS (SELECT 'fn_' || p_size AS name, p_brand AS file, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('self', 'cls')), ',') AS sig, p_type AS returns FROM part)

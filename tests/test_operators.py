@@ -121,6 +121,17 @@ def test_review_pairs_equal_brute_force(spark):
     assert {(r["a"], r["b"]) for r in duplicates.review_pairs(issues).collect()} == want and want
 
 
+def test_near_duplicates_name_every_member(spark, tmp_path):
+    """Copies of one text without an edited sibling, a text with copies and a sibling, and one alone."""
+    from quarry.plans.content import dupes_near
+
+    bodies = ["\n".join(f"{k} line {i}" for i in range(12)) for k in "abc"]
+    texts = [bodies[0]] * 3 + [bodies[1], bodies[1], bodies[1].replace("b line 3", "other")] + [bodies[2], "short"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = {(r["id"], r["cluster"], r["similarity"]) for r in dupes_near(spark, f"file://{tmp_path}").collect()}
+    assert found == {(0, 0, 1.0), (1, 0, 1.0), (2, 0, 1.0), (3, 3, 1.0), (4, 3, 1.0), (5, 3, 1.0)}
+
+
 def test_schema_drift(spark):
     rows = [(i, ["name", "size", "kind", "path", "mode"]) for i in range(9)] + [(9, ["name", "size", "kind", "path", "modes"]), (10, ["a", "b", "c"]), (11, ["name", "size", "kind", "path", "mode", "mdoe"])]
     found = {(r["key"], r["id"], r["suggestion"]) for r in duplicates.schema_drift(spark.createDataFrame(rows, "id long, keys array<string>"), alike=0.6).collect()}
