@@ -81,16 +81,22 @@ def signature_variance(functions: DataFrame, least: int = 3) -> DataFrame:
 def schema_drift(literals: DataFrame, alike: float = 0.8, least: int = 3) -> DataFrame:
     """(cluster, key, id, suggestion): keys of few members in groups of dict literals (id, keys) with alike key sets.
 
-    Equal key sets are one member with its number of literals, and key sets meet where they share a key,
-    so work grows with distinct key sets. A key counts as the group's own from three tenths of literals
+    Equal key sets are one member with its number of literals, and key sets meet at their rarest keys: of
+    two alike to the threshold, a key among the first by rarity, all but alike of them and one, is in
+    both lists of such keys. So work grows with distinct key sets. A key counts as the group's own from three tenths of literals
     on; a rare key is reported with the group's own key that it nearly is, the first by name.
     """
     sets = literals.filter(F.size("keys") >= 3).select("id", F.array_sort(F.array_distinct("keys")).alias("keys"))
     kinds = sets.groupBy("keys").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    keyed = kinds.select("id", "keys", F.explode("keys").alias("key"))
-    b = keyed.select(F.col("id").alias("id_b"), F.col("keys").alias("keys_b"), "key")
-    low = F.size("keys") * alike
-    pairs = keyed.join(b, "key").filter((F.col("id") < F.col("id_b")) & (F.size("keys_b").between(low, F.size("keys") / alike))).select("id", "keys", "id_b", "keys_b").distinct()
+    keyed = kinds.select("id", F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("k"))
+    ranked = keyed.join(often, "key").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("r"))
+    keep = (F.col("size") - F.ceil(F.lit(alike) * F.col("size") - 1e-9) + 1).cast("int")
+    rare = ranked.select("id", "size", F.explode(F.slice("r", F.lit(1), keep)).alias("x")).select("id", "size", "x.key")
+    b = rare.select(F.col("id").alias("id_b"), F.col("size").alias("size_b"), "key")
+    close = F.col("size_b").between(F.col("size") * alike, F.col("size") / alike)
+    pairs = rare.join(b, "key").filter((F.col("id") < F.col("id_b")) & close).select("id", "id_b").distinct()
+    pairs = pairs.join(kinds.select("id", "keys"), "id").join(kinds.select(F.col("id").alias("id_b"), F.col("keys").alias("keys_b")), "id_b")
     links = pairs.filter(jaccard(F.col("keys"), F.col("keys_b")) >= alike).select(F.col("id").alias("src"), F.col("id_b").alias("dst"))
     found = components(links).withColumnRenamed("node", "id")
     members = kinds.join(found, "id")

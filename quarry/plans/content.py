@@ -104,8 +104,8 @@ def signature_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dict_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first lines of documents as keys of literals."""
-    rows = b.corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), word_set(F.split("content", "\n")[0]).alias("keys"))
+    """Words of documents as keys of literals."""
+    rows = b.corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), word_set("content").alias("keys"))
     return duplicates.schema_drift(rows)
 
 

@@ -132,6 +132,14 @@ def test_near_duplicates_name_every_member(spark, tmp_path):
     assert found == {(0, 0, 1.0), (1, 0, 1.0), (2, 0, 1.0), (3, 3, 1.0), (4, 3, 1.0), (5, 3, 1.0)}
 
 
+def test_schema_drift_of_whole_texts(spark, tmp_path):
+    from quarry.plans.content import dict_schema_drift
+
+    texts = ["title\n" + "\n".join(f"key{i}" for i in range(20)) for _ in range(9)] + ["title\n" + "\n".join(f"key{i}" for i in range(19)) + "\nkye19", "title alone here"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert {(r["cluster"], r["key"], r["id"]) for r in dict_schema_drift(spark, f"file://{tmp_path}").collect()} == {(0, "kye19", 9)}
+
+
 def test_schema_drift(spark):
     rows = [(i, ["name", "size", "kind", "path", "mode"]) for i in range(9)] + [(9, ["name", "size", "kind", "path", "modes"]), (10, ["a", "b", "c"]), (11, ["name", "size", "kind", "path", "mode", "mdoe"])]
     found = {(r["key"], r["id"], r["suggestion"]) for r in duplicates.schema_drift(spark.createDataFrame(rows, "id long, keys array<string>"), alike=0.6).collect()}
