@@ -19,7 +19,7 @@ from quarry.llm.common import held
 
 LETTER, NUMBER, SIGN, SPACE, BLANK, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Characters that are cut and encoded at a time; longer texts are cut at a single space between words.
-CHUNK = 3 << 19
+CHUNK = 6 << 20
 #: Pieces the library gets at a time.
 ROW = 4096
 #: Distinct pieces a worker remembers in each of two generations.
@@ -27,13 +27,13 @@ REMEMBERED = 220_000
 
 
 class Encoder:
-    """Encodes with a byte-level tokenizers file. Special tokens' strings count as ordinary text."""
+    """Encodes with a byte-level tokenizers file, as the library does by default: strings of added tokens become these tokens."""
 
     def __init__(self, path: str, end_id: int | None = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
         vocabulary = self.tokenizer.get_vocab()
@@ -136,13 +136,10 @@ class Encoder:
         firsts = np.cumsum(lengths) - lengths
         some = np.flatnonzero(lengths > 0)
         starts = self._starts(cp, firsts[some]) if len(some) else np.zeros(0, np.int64)
-        size = np.ones(len(cp), np.int32)
-        for top in (0x80, 0x800, 0x10000):
-            size += cp >= top
-        place = np.zeros(len(cp) + 1, np.int32)
-        np.cumsum(size, out=place[1:])
-        offsets = np.append(place[starts], place[-1:]).astype(np.int32)
-        strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(text.encode())).dictionary_encode()
+        data = text.encode()
+        place = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # bytes that characters start with
+        offsets = np.append(place[starts], len(data)).astype(np.int32)
+        strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         known = self._ids(strings.dictionary.to_pylist(), pc.binary_length(strings.dictionary).to_numpy())
         which = strings.indices.to_numpy()
         ends = np.searchsorted(starts, firsts + lengths)  # pieces up to the end of each text
@@ -162,16 +159,18 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Parts of the texts in order: index of the first, ids of all in a row, number of ids of each.
 
-        Null counts as empty. Each text's ids end with the end id.
+        Null counts as empty. Each text's ids end with the end id. Texts with strings of added tokens
+        are left to the library as a whole.
         """
         first, group, total = 0, [], 0
         for i, text in enumerate(texts):
             text = text or ""
-            if group and total + len(text) > CHUNK:
+            odd = any(t in text for t in self.added)
+            if group and (odd or total + len(text) > CHUNK):
                 yield first, *self._encode("".join(group), np.array([len(x) for x in group], np.int64), True)
                 first, group, total = i, [], 0
-            if len(text) > CHUNK:
-                yield i, *self._long(text)
+            if odd or len(text) > CHUNK:
+                yield i, *(self._whole(text) if odd else self._long(text))
                 first = i + 1
                 continue
             group.append(text)
@@ -179,6 +178,11 @@ class Encoder:
         if group:
             yield first, *self._encode("".join(group), np.array([len(x) for x in group], np.int64), True)
 
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        ids = np.concatenate([ids, np.frombuffer(self.end, "<u4")])
+        return ids, np.array([len(ids)])
+
     def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         parts, at = [], 0
         while at < len(text):
@@ -197,7 +201,7 @@ def encoder(path: str, end_id: int | None = 0) -> Encoder:
     return held(("bpe", path, end_id), lambda: Encoder(path, end_id))
 
 
-def encoded(encoder: Encoder, batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def encoded(encoder: Encoder, batch: pa.RecordBatch, rows: int = 4096) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Keys, ids and numbers of ids of parts of a batch (key, text); Python strings exist for a few rows at a time."""
     for k in range(0, batch.num_rows, rows):
         part = batch.slice(k, rows)

@@ -7,8 +7,9 @@ there; from the end of the text backwards, pieces are drawn by these. The number
 the row's key, the seed and the place, so a row has the same segmentation on every run and machine.
 
 No piece of the model reaches over the start of a run of spaces or a line feed, so lattices fall into
-short units. The distinct units of a batch are filtered together, place by place, and all of its units
-are sampled together, step by step.
+short units. The distinct units of a batch are filtered together, place by place, and stay in a worker's
+store for later batches; all units of a batch are sampled together, step by step. Bounds of draws are
+whole numbers, found unit by unit, so what is in the store or in a batch has no influence.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ from quarry.llm.common import arrow, held
 
 SHARPNESS, COST = 0.001, 1.0
 SPACE = "▁"
-#: Bits of a place in a table of pieces.
-TABLE = 19
 #: Characters sampled at a time; a longer text is taken apart between units.
 CHUNK = 1 << 21
+#: Nodes of lattices that a worker remembers, but for those of the last chunk.
+NODES = 2_000_000
+#: The code of what is no beginning of a piece.
+UNBEGUN = -2
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -35,9 +40,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def draws(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Numbers from 0 to below 1 for keys and places."""
+    """Numbers of 32 bits, but for the largest, for keys and places."""
     x = _mixed(key + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.minimum((x >> np.uint64(32)).astype(np.uint32), np.uint32(0xFFFFFFFE))
 
 
 def row_key(key: object, seed: int) -> int:
@@ -79,25 +84,32 @@ class Lattice:
             for k in range(1, len(text)):
                 known.setdefault(text[:k], -1)
             known[text] = int(np.frombuffer(data, "<u4")[0])
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
         rest = np.array([self._hash(t) for t in known], np.uint64)
         if len(np.unique(rest)) < len(rest) or not rest.all():
             raise ValueError("two pieces have one hash")
         value = np.array(list(known.values()), np.int32)
         while len(rest):  # what finds its place taken goes to the next table
-            hashes, pieces = np.zeros(1 << TABLE, np.uint64), np.full(1 << TABLE, -1, np.int32)
-            _, first = np.unique(self._spot(rest, len(self.tables)), return_index=True)
-            spot = self._spot(rest[first], len(self.tables))
+            bits = max(8, len(rest).bit_length() + 3)
+            hashes, pieces = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            _, first = np.unique(self._spot(rest, len(self.tables), bits), return_index=True)
+            spot = self._spot(rest[first], len(self.tables), bits)
             hashes[spot], pieces[spot] = rest[first], value[first]
-            self.tables.append((hashes, pieces))
+            self.tables.append((bits, hashes, pieces))
             rest, value = np.delete(rest, first), np.delete(value, first)
         self.weight = np.zeros(size)
         for w, data in self.pieces.values():
             self.weight[np.frombuffer(data, "<u4")[0]] = w
+        # The store of lattices: of each node its first edge; of each edge its bound, where it starts in its
+        # unit, and its code; where the nodes of a level of units filtered together start; the places of units.
+        self.first_edge, self.level_at = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.bound, self.start, self.code = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.units: dict[str, int] = {}
+        self.filled = 0, 0, 0
 
     @staticmethod
-    def _spot(h: np.ndarray, table: int) -> np.ndarray:
-        return (h * np.uint64((0xD6E8FEB86659FD93 + 2 * table) * (table + 1) & 0xFFFFFFFFFFFFFFFF | 1)) >> np.uint64(64 - TABLE)
+    def _spot(h: np.ndarray, table: int, bits: int) -> np.ndarray:
+        return (h * np.uint64((0xD6E8FEB86659FD93 + 2 * table) * (table + 1) & 0xFFFFFFFFFFFFFFFF | 1)) >> np.uint64(64 - bits)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -106,66 +118,104 @@ class Lattice:
             h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def _edges(self, cp: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and codes of all pieces in units that stand in a row; stops: where each character's unit ends.
+    def _edges(self, cp: np.ndarray, level: np.ndarray, many: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and codes of all pieces in units, by end, the longest of an end first.
 
-        A code is the id of a piece, or the character plus the number of ids, for its bytes.
+        Characters stand level by level: the first ones of all units, then the second ones, the longest
+        units first, so many[k] units have a character k, from first[k] on. A code is the id of a piece,
+        or the character plus the number of ids, for its bytes.
         """
-        at, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
+        at = end = np.arange(len(cp))
+        up, column, h = level, at - first[level], np.zeros(len(cp), np.uint64)
         found = []
         for size in range(1, self.longest + 1):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + (cp[at + size - 1].astype(np.uint64) + np.uint64(1))
-            begun, code = np.zeros(len(h), bool), np.full(len(h), -1, np.int64)
-            for i, (hashes, pieces) in enumerate(self.tables):
-                spot = self._spot(h, i)
-                hit = hashes[spot] == h
-                begun |= hit
+            h = h * np.uint64(0x9E3779B97F4A7C15) + (cp[end].astype(np.uint64) + np.uint64(1))
+            code = np.full(len(h), UNBEGUN, np.int64)
+            for i, (bits, hashes, pieces) in enumerate(self.tables):
+                spot = self._spot(h, i, bits)
+                hit = np.flatnonzero(hashes[spot] == h)
                 code[hit] = pieces[spot[hit]]
+            begun = code != UNBEGUN
             if size == 1:
                 code = np.where(code < 0, self.size + cp.astype(np.int64), code)
             whole = code >= 0
-            found.append((at[whole], at[whole] + size, code[whole]))
-            on = begun & (at + size < stops[at])
-            at, h = at[on], h[on]
-            if not len(at):
+            found.append((at[whole], end[whole], code[whole]))
+            up = up + 1
+            on = np.flatnonzero(begun & (column < many[up]))
+            if not len(on):
                 break
-        starts, ends, codes = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(ends, kind="stable")
+            at, up, column, h = at[on], up[on], column[on], h[on]
+            end = first[up] + column
+        starts, ends, codes = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
+        order = np.argsort(ends, kind="stable")  # of few sorted runs
         return starts[order], ends[order], codes[order]
 
-    def _filtered(self, cp: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward filtering of units (firsts: their starts): by edge, in the order of ends, its start, its code, and how likely it or an earlier one ends there."""
-        sizes = np.diff(np.append(firsts, len(cp)))
-        begin = np.repeat(firsts, sizes)
-        starts, ends, codes = self._edges(cp, np.repeat(firsts + sizes, sizes))
+    def _filtered(self, units: list[str]) -> None:
+        """Forward filtering: puts the lattices of units, none empty, into the store."""
+        units = sorted(units, key=len, reverse=True)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        levels = int(sizes[0])
+        many = np.append(len(units) - np.searchsorted(sizes[::-1], np.arange(levels), side="right"), 0)
+        first = np.cumsum(many) - many
+        level = np.repeat(np.arange(levels), many[:-1])
+        begin = np.cumsum(sizes) - sizes
+        cp = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
+        cp = cp[begin[np.arange(len(cp)) - first[level]] + level]
+        starts, ends, codes = self._edges(cp, level, many, first)
         wide = 1 + (codes >= self.size + 0x80) + (codes >= self.size + 0x800) + (codes >= self.size + 0x10000)
         weights = np.where(codes < self.size, self.weight[np.minimum(codes, self.size - 1)], self.byte_weight * wide)
-        rank = ends - begin[ends - 1]  # places are filtered from left to right, those of all units at once
-        order = np.argsort(rank, kind="stable")
-        cuts = np.searchsorted(rank[order], np.arange(1, rank.max() + 2))
-        total, upto = np.zeros(len(cp)), np.ones(len(starts))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            e = order[a:b]
-            w = weights[e]
-            if a:
-                w = w + np.where(starts[e] > begin[ends[e] - 1], total[starts[e] - 1], 0.0)
-            heads = np.flatnonzero(np.append(True, ends[e[1:]] != ends[e[:-1]]))
-            many = np.diff(np.append(heads, len(e)))
-            top = np.maximum.reduceat(w, heads)
-            share = np.exp(w - np.repeat(top, many))
-            whole = np.add.reduceat(share, heads)
-            total[ends[e[heads]] - 1] = top + np.log(whole)
-            running = np.cumsum(share)
-            running -= np.repeat(running[heads] - share[heads], many)
-            running /= np.repeat(whole, many)
-            np.minimum(running, 1.0, out=running)
-            running[np.append(heads[1:], len(e)) - 1] = 1.0
-            upto[e] = running
-        return starts, codes, ends - 1 + upto
+        heads = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))  # a character always ends some piece
+        each = np.diff(np.append(heads, len(ends)))
+        from_ = level[starts]
+        # What a piece follows is the character a level before; before the first one there is nothing.
+        before = np.where(from_ > 0, first[np.maximum(from_ - 1, 0)] + (starts - first[from_]), len(cp))
+        total, share = np.zeros(len(cp) + 1), np.empty(len(ends))
+        for k in range(levels):
+            x, y = first[k], first[k] + many[k]
+            a, b = heads[x], heads[y] if y < len(heads) else len(ends)
+            w = weights[a:b] + total[before[a:b]]
+            top = np.maximum.reduceat(w, heads[x:y] - a)
+            w = np.exp(w - np.repeat(top, each[x:y]))
+            whole = np.add.reduceat(w, heads[x:y] - a)
+            total[x:y] = top + np.log(whole)
+            share[a:b] = w / np.repeat(whole, each[x:y])
+        # Upper bounds of draws, one edge of every end after another; the last one of an end takes all that is left.
+        upto, rank = share, 1
+        while len(of := np.flatnonzero(each > rank)):
+            spot = heads[of] + rank
+            upto[spot] += upto[spot - 1]
+            rank += 1
+        bounds = np.minimum(upto * 2.0**32, 2.0**32 - 2).astype(np.uint32)
+        bounds[heads + each - 1] = 0xFFFFFFFF
+        nodes, edges, steps = self.filled
+        if len(self.first_edge) < nodes + len(cp):
+            self.first_edge = np.concatenate([self.first_edge[:nodes], np.empty(max(nodes, len(cp)), np.int32)])
+        if len(self.bound) < edges + len(ends):
+            self.bound, self.start, self.code = (np.concatenate([x[:edges], np.empty(max(edges, len(ends)), x.dtype)]) for x in (self.bound, self.start, self.code))
+        if len(self.level_at) < steps + levels:
+            self.level_at = np.concatenate([self.level_at[:steps], np.empty(max(steps, levels), np.int32)])
+        self.first_edge[nodes : nodes + len(cp)] = heads + edges
+        self.bound[edges : edges + len(ends)], self.start[edges : edges + len(ends)], self.code[edges : edges + len(ends)] = bounds, from_, codes
+        self.level_at[steps : steps + levels] = first[:-1] + nodes
+        self.units.update(zip(units, range(steps << 32, (steps << 32) + len(units)), strict=True))
+        self.filled = nodes + len(cp), edges + len(ends), steps + levels
+
+    def _stored(self, units: list[str]) -> np.ndarray:
+        """Where the lattices of units are: the rows of their first places in level_at times 2^32, plus their columns. Lattices are kept until they are many."""
+        found = list(map(self.units.get, units))
+        new = [u for u, x in zip(units, found, strict=True) if x is None]
+        if new:
+            if self.filled[0] > NODES:
+                self.units.clear()
+                self.filled, new = (0, 0, 0), units
+            self._filtered(new)
+            found = list(map(self.units.__getitem__, units))
+        return np.array(found, np.int64)
 
     def sample(self, text: str, firsts: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (none empty) that stand in a row in text, and the number of each. places: of each text's start in its row."""
         cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        data = text.encode()
         n = len(cp)
         space, feed = cp == 32, cp == 10
         cut = feed.copy()
@@ -173,40 +223,37 @@ class Lattice:
         cut[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
         cut[firsts] = True
         starts = np.flatnonzero(cut)
-        wide = np.ones(n, np.int32)
-        for top in (0x80, 0x800, 0x10000):
-            wide += cp >= top
-        place = np.zeros(n + 1, np.int32)
-        np.cumsum(wide, out=place[1:])
-        offsets = np.append(place[starts], place[-1:]).astype(np.int32)
-        strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(text.encode())).dictionary_encode()
+        place = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # bytes that characters start with
+        offsets = np.append(place[starts], len(data)).astype(np.int32)
+        strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         which = strings.indices.to_numpy()
-        units = strings.dictionary.to_pylist()
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        first_node = np.cumsum(lengths) - lengths
-        begins, codes, upto = self._filtered(np.frombuffer("".join(units).encode("utf-32-le"), "<u4"), first_node)
-        begins = begins - np.repeat(first_node, lengths)[(np.ceil(upto) - 1).astype(np.int64)]
+        at = self._stored(strings.dictionary.to_pylist())[which]
         doc = np.searchsorted(firsts, starts, side="right") - 1
         key, shift = keys[doc], (places - firsts)[doc]
-        chosen = np.full(n + 1, -1, np.int64)
-        base, node, end = starts, first_node[which], lengths[which]
+        chosen = np.full(n + 1, -1, np.int32)
+        base, end, row, column = starts, np.diff(np.append(starts, n)), at >> 32, at & 0xFFFFFFFF
         while len(base):
             spot = base + end
-            edge = np.searchsorted(upto, node + end - 1 + draws(key, spot + shift), side="right")
-            chosen[spot] = edge
-            end = begins[edge]
-            on = end > 0
-            base, node, end, key, shift = base[on], node[on], end[on], key[on], shift[on]
+            drawn = draws(key, spot + shift)
+            edge = self.first_edge[self.level_at[row + end - 1] + column]
+            later = np.flatnonzero(drawn >= self.bound[edge])
+            while len(later):
+                edge[later] += 1
+                later = later[drawn[later] >= self.bound[edge[later]]]
+            chosen[spot] = self.code[edge]
+            end = self.start[edge]
+            on = np.flatnonzero(end > 0)
+            base, end, row, column, key, shift = base[on], end[on], row[on], column[on], key[on], shift[on]
         spots = np.flatnonzero(chosen >= 0)
-        code = codes[chosen[spots]]
+        code = chosen[spots].astype(np.int64)
         other = np.flatnonzero(code >= self.size)
-        data = [chr(c - self.size).encode() for c in code[other].tolist()]
+        signs = [chr(c - self.size).encode() for c in code[other].tolist()]
         each = np.ones(len(code), np.int64)
-        each[other] = [len(d) for d in data]
+        each[other] = [len(d) for d in signs]
         ids = np.repeat(code, each)
         total = np.concatenate([[0], np.cumsum(each)])
         if len(other):
-            ids[np.repeat(total[other], each[other]) + np.arange(each[other].sum()) - np.repeat(np.cumsum(each[other]) - each[other], each[other])] = [self.byte_ids[b] for d in data for b in d]
+            ids[np.repeat(total[other], each[other]) + np.arange(each[other].sum()) - np.repeat(np.cumsum(each[other]) - each[other], each[other])] = [self.byte_ids[b] for d in signs for b in d]
         ends = np.append(firsts[1:], n)
         return ids.astype("<u4"), np.diff(total[np.concatenate([[0], np.searchsorted(spots, ends, side="right")])])
 

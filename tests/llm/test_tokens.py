@@ -12,9 +12,7 @@ from quarry.llm.common import tokenizer
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer())
 
 
 def ids_of(library, texts):
@@ -36,10 +34,17 @@ SIGNS = [" ", "  ", "\n", "\t", " ", "'", "'s", "'ll", "'t", "s", "é", "1", "
 @given(st.lists(st.one_of(st.text(max_size=30), st.lists(st.sampled_from(SIGNS), max_size=12).map("".join)), min_size=1, max_size=5))
 def test_encoder_equals_the_library(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    library = bpe.encoder(tokenizer()).tokenizer
+    library = Tokenizer.from_file(tokenizer())
     assert [x.tolist() for x in mine(bpe.encoder(tokenizer()), texts)] == [x.tolist() for x in ids_of(library, texts)]
 
 
+def test_strings_of_added_tokens_are_these_tokens(library):
+    end = "<|endoftext|>"
+    texts = [end, end + "a", "a" + end, f"a{end}b", f"a {end} b", "plain", end * 3, "", None, "<|endoftext", "x " * 50 + end + " y" * 50, "last"]
+    assert [x.tolist() for x in mine(bpe.Encoder(tokenizer()), texts)] == [x.tolist() for x in ids_of(library, texts)]
+    assert ids_of(library, [f"a{end}b"])[0].tolist() == [64, 50256, 65, 0]
+
+
 def test_long_texts_are_cut_without_a_trace(library, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", 40)
     texts = ["word " * 100 + "end", "x" * 200, " " * 150 + "a", "a\n \n" * 60, "short"]
