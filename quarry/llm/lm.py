@@ -1,40 +1,46 @@
 """Cross-entropy difference (Moore and Lewis, 2010): a target and a background bigram model of one vocabulary.
 
-Words are split at white space and lower-cased. The vocabulary is every word that occurs twice or more
-in all documents; others are one unknown word. Both models are matched: same vocabulary, same smoothing.
-A bigram's probability is its count, smoothed towards the unigram's; unigrams get half a count each.
-Counts of bigrams, words and contexts are exact and kept in tables, so models grow with the corpus; the
-driver gets the size of the vocabulary only. Texts are dealt into blocks. A block sends what it has of
-each bigram and word, all blocks' counts are summed by bigram and word, and the sums of those that other
-blocks have too go back to the block, which scores its texts; what a block alone has it knows. So a
-very common bigram costs a row a block, not a row a document. Words go by 64-bit hashes: among 100
-million distinct words two have the same with a chance of 3 in 10,000.
+Words are split at white space and lower-cased. The background is all documents, the target those
+marked. Both models are matched: one vocabulary, one smoothing, and the background's counts scaled to the
+target's number of tokens, so that neither gives less to what it has not seen. A word is in the vocabulary
+of a text's models if other texts have it twice or more in all; any other is unknown. A bigram's
+probability is its count, smoothed towards the word's, and this towards its share of all tokens.
+
+Counts are exact and kept in tables, so models grow with the corpus; the driver gets two numbers. Texts
+are put into blocks. A block sends its distinct words and bigrams, as sorted hashes in pages, with its
+counts; each page sums up over all blocks and answers with one sum for each hash, in the order asked. So a
+very common bigram costs an entry a block, not a row a document, and hashes spread entries evenly over
+pages whatever the words are. Hashes have so many bits more than the corpus has bytes that of a
+billion entries some ten share theirs with another.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow, materialise
 
-#: Weight of the unigram in a bigram's probability, in counts.
-BACKOFF = 20.0
-#: Distinct words a task holds before it hands them on or forgets them.
+#: Weights of the lower orders, in counts: of a word in a bigram's probability, of its share of all tokens in a word's.
+BACKOFF, PRIOR = 1000.0, 50.0
+#: Times that other texts have a known word, at least.
+LEAST = 2
+#: Distinct words whose hashes a task holds.
 HELD = 200_000
 #: Bytes of text in a block, but for a longer text, which is one by itself.
 BLOCK = 16 << 20
 CHUNK = 4 << 20
+#: Bits of a hash beyond those that number the bytes of a corpus.
+SPARE = 24
 _BLANK = b" \t\n\x0b\x0c\r"
-#: Hashes that stand for the start of a text and for an unknown word.
-START, UNKNOWN = 0, 1
+#: Hashes that stand for the start of a text and for all tokens.
+START, TOTAL = 0, 1
 
 
 def words(text: str | None) -> Iterator[list[bytes]]:
@@ -50,12 +56,11 @@ def words(text: str | None) -> Iterator[list[bytes]]:
 
 
 def word_hash(word: bytes) -> int:
-    """The 64-bit hash of a word as a signed number, other than START and UNKNOWN."""
+    """The 64-bit hash of a word, other than START and TOTAL."""
     import xxhash
 
     x = xxhash.xxh64_intdigest(word)
-    x = x + 2 if x in (START, UNKNOWN) else x
-    return x - (1 << 64) if x >> 63 else x
+    return x + 2 if x in (START, TOTAL) else x
 
 
 class _Hashes(dict):
@@ -68,154 +73,116 @@ class _Hashes(dict):
         return found
 
     def of(self, text: str | None) -> np.ndarray:
-        parts = [np.fromiter((self[w] for w in part), np.int64, len(part)) for part in words(text)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts = [np.fromiter(map(self.__getitem__, part), np.uint64, len(part)) for part in words(text)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words of all documents, in order of spelling, for models of a bound the caller sets; the driver gets at most size, and the numbers of words by count up to where they exceed it."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                for part in words(text.as_py()):
-                    held.update(part)
-                    if len(held) > HELD:
-                        yield out()
-                        held.clear()
-        if held:
-            yield out()
+def pair_hash(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each bigram of word hashes."""
+    return _mixed(_mixed(before + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15) + now)
 
-    counts = arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialise(counts.filter("n > 1"), "words")
-    # Counts of counts: the most frequent words have few distinct counts between them, size at most.
-    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1).collect()
-    least, total = 0, 0
-    for r in by_count:
-        total += r["words"]
-        if total > size:
-            least = r["n"]
-            break
-    return sorted(bytes(r["word"]) for r in counts.filter(F.col("n") > least).select("word").toLocalIterator())
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte by byte of all of them, compressed."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)
+    used = next((k for k in range(8, 0, -1) if planes[:, k - 1].any()), 0)
+    return bytes([used]) + pa.compress(np.ascontiguousarray(planes[:, :used].T).tobytes(), codec="zstd", asbytes=True)
 
-def slot(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """One number for each pair of numbers below 2^32, another for every pair."""
-    return ((before.astype(np.uint64) << np.uint64(32)) | now.astype(np.uint64)).astype(np.int64)
 
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.zeros((n, 8), np.uint8)
+    if used := data[0]:
+        planes[:, :used] = np.frombuffer(pa.decompress(data[1:], used * n, codec="zstd", asbytes=True), np.uint8).reshape(used, n).T
+    return planes.view("<u8").ravel()
 
-#: Texts have no number of their own, as ids may repeat or be null. What a word that occurs once is
-#: sent to need not be its text alone, for others don't have the word.
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
+_BLOCKS = "block long, size long, texts binary"
 
-def _word_counts(docs: DataFrame, each: bool) -> DataFrame:
-    """(word, key, n) of the words of docs: of every text if each, else of a batch of texts, with the key of one of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            step = 1 if each else 1024
-            for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
-                found = [hashes.of(text.as_py()) for text in part.column(1)]
-                word, at, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
-                key = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])[at]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, key, n)], names=["word", "key", "n"])
 
-    return arrow(docs.select(_key().alias("key"), "text"), run, "word long, key long, n long")
+def _blocks(docs: DataFrame) -> DataFrame:
+    """A written table of docs (doc_id, text, hot) in blocks: a row has all texts of a block as compressed Arrow data.
 
+    A block goes by the number of its first row. Numbers are given once, as the table is written, and
+    read from it ever after.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long"), F.coalesce("hot", F.lit(False)).alias("hot"), "text")
 
-_TEXTS = "block long, doc_id long, hot boolean, text string, unknown array<long>"
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-def _blocks(docs: DataFrame, unknown: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """A written table of docs in blocks, with the words that unknown (key, word) has for them; hot: (key) of the target, if docs has no column hot."""
-    more = unknown.groupBy("key").agg(F.collect_list("word").alias("unknown"))
-    if hot is not None:
-        more = more.join(hot.withColumn("hot", F.lit(True)), "key", "full")
-    rows = docs.withColumn("key", _key()).join(more.hint("merge"), "key", "left")
-    rows = rows.select(F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long"), (F.coalesce("hot", F.lit(False)) & F.col("doc_id").isNotNull()).alias("hot"), "text", "unknown")
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table.combine_chunks())
+            return pa.RecordBatch.from_arrays([table.column(0).slice(0, 1).combine_chunks(), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "texts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = None, 0
         for batch in batches:
             sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(3)).to_pylist()]
-            names = batch.column(0).to_pylist()
+            first = 0
             for i, n in enumerate(sizes):
-                if block is None or size + n > BLOCK:
-                    block, size = names[i], 0  # the number of its first row
+                if size and size + n > BLOCK:
+                    held.append(batch.slice(first, i - first))
+                    yield out()
+                    held, size, first = [], 0, i
                 size += n
-                names[i] = block
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *batch.columns[1:]], names=batch.schema.names)
+            if first < len(sizes):
+                held.append(batch.slice(first))
+        if held and sum(b.num_rows for b in held):
+            yield out()
 
-    return materialise(arrow(rows, run, _TEXTS), "blocks")
+    return materialise(arrow(rows, run, _BLOCKS), "blocks")
 
 
 class _Block:
-    """The texts of a block as numbers, and its counts."""
+    """The texts of a block as numbers, and its entries: keys, ascending, with counts t of the target and g of all texts."""
 
-    def __init__(self, texts: pa.Table, hashes: _Hashes):
-        ids = []
-        for text, unknown in zip(texts.column("text"), texts.column("unknown"), strict=True):
-            found = hashes.of(text.as_py())
-            ids.append(np.where(np.isin(found, unknown.values.to_numpy()), UNKNOWN, found) if unknown.is_valid else found)
+    def __init__(self, data: bytes, hashes: _Hashes, width: int):
+        texts = pa.ipc.open_stream(data).read_all().combine_chunks()
+        self.doc_id, self.hot = texts.column("doc_id"), np.array(texts.column("hot").to_pylist(), bool)
+        ids = [hashes.of(text.as_py()) for text in texts.column("text")]
         self.sizes = np.array([len(x) for x in ids], np.int64)
         self.text = np.repeat(np.arange(len(ids)), self.sizes)
-        flat = np.concatenate([[START], *ids]).astype(np.int64)
-        self.words, at = np.unique(flat, return_inverse=True)
-        start, self.now = at[0], at[1:]
-        self.before = np.concatenate([[start], self.now[:-1]])[: len(self.now)]
-        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = start
-        self.pairs, self.pair = np.unique(self.before * len(self.words) + self.now, return_inverse=True)
-        hot = np.array(texts.column("hot").to_pylist(), bool)[self.text]
-        both = lambda at, n: np.stack([np.bincount(at[hot], minlength=n), np.bincount(at, minlength=n)])
-        self.bigrams, self.unigrams, self.contexts = both(self.pair, len(self.pairs)), both(self.now, len(self.words)), both(self.before, len(self.words))
-        self.totals = np.array([hot.sum(), len(hot)])
-
-    def rows(self) -> list[np.ndarray]:
-        """Columns before, now, t, g, ct, cg: of bigrams, of words (now is null; ct, cg as contexts), and of all words (both START)."""
-        a, b = self.words[self.pairs // len(self.words)], self.words[self.pairs % len(self.words)]
-        none = np.zeros((2, len(self.pairs) + 1), np.int64)
+        self.words, at = np.unique(np.concatenate([np.array([START, TOTAL], np.uint64), *ids]), return_inverse=True)
+        del ids
+        self.now = at[2:]
+        # START and TOTAL are the least hashes, so they come first.
+        self.before = np.concatenate([[0], self.now[:-1]])[: len(self.now)]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        pairs, self.pair = np.unique(self.before * len(self.words) + self.now, return_inverse=True)
+        hot, some = self.hot[self.text], self.sizes > 0
         n = len(self.words)
-        now = pa.array(np.concatenate([b, [START], np.zeros(n, np.int64)]), mask=np.arange(len(b) + 1 + n) > len(b))
-        counts = np.concatenate([self.bigrams, self.totals[:, None], self.unigrams], 1), np.concatenate([none, self.contexts], 1)
-        return [np.concatenate([a, [START], self.words]), now, *counts[0], *counts[1]]
-
-    def learn(self, sums: pa.Table, only: bool) -> None:
-        """Replaces counts by sums, rows as of rows(). only: what has no sum has none, else the block's own."""
-        if only:
-            for x in (self.bigrams, self.unigrams, self.contexts, self.totals):
-                x[:] = 0
-        if not sums.num_rows:
-            return
-        before, t, g, ct, cg = (sums.column(c).to_numpy() for c in ("before", "t", "g", "ct", "cg"))
-        now = sums.column("now").fill_null(START).to_numpy()
-        word = sums.column("now").is_null().to_numpy()
-        whole = ~word & (now == START)
-        at = np.searchsorted(self.words, before)
-        pair = ~word & ~whole
-        place = np.searchsorted(self.pairs, at[pair] * len(self.words) + np.searchsorted(self.words, now[pair]))
-        self.bigrams[:, place] = t[pair], g[pair]
-        self.unigrams[:, at[word]] = t[word], g[word]
-        self.contexts[:, at[word]] = ct[word], cg[word]
-        if whole.any():
-            self.totals[:] = t[whole][0], g[whole][0]
-
-    def losses(self, size: int, counted: bool) -> np.ndarray:
-        """Mean negative log-probabilities of the words of each text: rows of the target, of the target less the text's own counts, and of the background less these.
-
-        counted: whether the models were fitted on the texts; if not, nothing is taken off.
+        unigrams = np.stack([np.bincount(self.now[hot], minlength=n), np.bincount(self.now, minlength=n)])
+        unigrams[:, 0] = (some & self.hot).sum(), some.sum()
+        unigrams[:, 1] = hot.sum(), len(hot)
+        bigrams = np.stack([np.bincount(self.pair[hot], minlength=len(pairs)), np.bincount(self.pair, minlength=len(pairs))])
+        keys = np.concatenate([_mixed(self.words), pair_hash(self.words[pairs // n], self.words[pairs % n])]) >> np.uint64(64 - width)
+        self.keys, self.at = np.unique(keys, return_inverse=True)
+        both = np.concatenate([unigrams, bigrams], 1)
+        self.t, self.g = (np.bincount(self.at, x, len(self.keys)).astype(np.uint64) for x in both)
+
+    def rows(self, width: int, pages: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+        """Page, number of entries, keys as steps within the page, and counts."""
+        page = (self.keys >> np.uint64(width - pages)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(page)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(page)], strict=True):
+            low = self.keys[a:b] - (np.uint64(page[a]) << np.uint64(width - pages))
+            yield int(page[a]), b - a, _packed(np.diff(low, prepend=np.uint64(0))), _packed(self.t[a:b]), _packed(self.g[a:b])
+
+    def losses(self, t: np.ndarray, g: np.ndarray, counted: bool) -> np.ndarray:
+        """Mean negative log-probabilities of the words of each text, by sums t and g of its entries: in rows, of the target and of the background.
+
+        counted: whether the sums have the texts' own counts, which are then taken off.
         """
-        sums, ends = np.zeros((3, len(self.sizes))), np.cumsum(self.sizes)
-        rows = np.array([0, 0, 1])
-        off = np.array([0, counted, counted])[:, None]
+        sums, ends, n = np.zeros((2, len(self.sizes))), np.cumsum(self.sizes), len(self.words)
+        t, g = t[self.at].astype(np.float64), g[self.at].astype(np.float64)
         first = 0
         while first < len(ends):
             # Some texts at a time, as own counts take room.
@@ -223,99 +190,140 @@ class _Block:
             last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 18), "right")))
             part = slice(begin, ends[last - 1])
             text, now, before, pair = (x[part] for x in (self.text, self.now, self.before, self.pair))
-
-            def left(counts: np.ndarray, at: np.ndarray, text: np.ndarray = text) -> np.ndarray:
-                _, which, own = np.unique(text * counts.shape[1] + at, return_inverse=True, return_counts=True)
-                return counts[:, at][rows].astype(np.float64) - off * own[which]
-
-            total = np.maximum(self.totals[rows, None] - off * self.sizes[text], 0)
-            # What is taken off the target of a text that it has not counted may leave less than nothing; that row is not used for it.
-            p = (np.maximum(left(self.unigrams, now), 0) + 0.5) / (total + 0.5 * size)
-            context = np.maximum(left(self.contexts, before), 0)
-            loss = -np.log((np.maximum(left(self.bigrams, pair), 0) + BACKOFF * p) / (context + BACKOFF))
-            for k in range(3):
-                sums[k] += np.bincount(text, loss[k], len(self.sizes))
             first = last
+            if not len(text):
+                continue
+            starts = before == 0
+            off = np.full(len(text), float(counted))
+            hot = off * self.hot[text]
+
+            def own(at: np.ndarray, size: int, text: np.ndarray = text) -> np.ndarray:
+                _, which, many = np.unique(text * size + at, return_inverse=True, return_counts=True)
+                return many[which].astype(np.float64)
+
+            mine, both = own(now, n), own(pair, len(self.at) - n)
+            context = np.where(starts, 1.0, np.concatenate([[1.0], mine[:-1]]))
+            total_t, total_g = t[1] - hot * self.sizes[text], g[1] - off * self.sizes[text]
+            word_t, word_g = t[now] - hot * mine, g[now] - off * mine
+            context_t, context_g = t[before] - hot * context, g[before] - off * context
+            pair_t, pair_g = t[n + pair] - hot * both, g[n + pair] - off * both
+            known = word_g >= LEAST
+            follows = known & (starts | (context_g >= LEAST))
+            ratio = np.where(total_g > 0, total_t / np.maximum(total_g, 1), 0.0)
+            share = np.where(known, word_g, 1.0) / np.maximum(total_g, 1)
+            uni_t = (known * word_t + PRIOR * share) / (total_t + PRIOR)
+            uni_g = (known * ratio * word_g + PRIOR * share) / (total_t + PRIOR)
+            sums[0] += np.bincount(text, -np.log((follows * pair_t + BACKOFF * uni_t) / (follows * context_t + BACKOFF)), len(self.sizes))
+            sums[1] += np.bincount(text, -np.log((follows * ratio * pair_g + BACKOFF * uni_g) / (follows * ratio * context_g + BACKOFF)), len(self.sizes))
         return sums / np.maximum(self.sizes, 1)
 
 
-_COUNTS = "before long, now long, t long, g long, ct long, cg long"
+_ENTRIES = "page long, block long, n long, keys binary, t binary, g binary"
 
 
-def _counts(blocks: DataFrame) -> DataFrame:
-    """(block and _COUNTS) of blocks."""
+def _entries(blocks: DataFrame, width: int, pages: int) -> DataFrame:
+    """(_ENTRIES) of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = _Hashes(), []
+        hashes = _Hashes()
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                page, n, keys, t, g = zip(*_Block(data.as_py(), hashes, width).rows(width, pages), strict=True)
+                columns = [pa.array(page, pa.int64()), pa.array([name.as_py()] * len(page), pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, t, g))]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ENTRIES.split(", ")])
 
-        def out() -> Iterator[pa.RecordBatch]:
-            texts = pa.Table.from_batches(held)
-            rows = _Block(texts, hashes).rows()
-            block = pa.array(np.full(len(rows[0]), texts.column("block")[0].as_py()))
-            whole = pa.RecordBatch.from_arrays([block, *map(pa.array, rows)], names=["block", *(x.split()[0] for x in _COUNTS.split(", "))])
-            yield from (whole.slice(k, 1 << 16) for k in range(0, whole.num_rows, 1 << 16))
+    return arrow(blocks.select("block", "texts"), run, _ENTRIES)
+
+
+def _decoded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of entries of each row, and the keys and counts of all."""
+    n = rows.column("n").to_numpy()
+    out = [[_unpacked(x.as_py(), k) for x, k in zip(rows.column(c), n.tolist(), strict=True)] for c in ("keys", "t", "g")]
+    return n, np.concatenate([np.cumsum(k) for k in out[0]]), np.concatenate(out[1]), np.concatenate(out[2])
+
+
+def _summed(keys: np.ndarray, t: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, at, [np.bincount(at, x, len(found)).astype(np.uint64) for x in (t, g)]
+
+
+_SUMS = "block long, page long, n long, t binary, g binary"
 
-        for batch in batches:
-            names = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and held[-1].column(0)[0].as_py() != names[a]:
-                    yield from out()
-                    held = []
-                if b > a:
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from out()
 
-    return arrow(blocks, run, f"block long, {_COUNTS}")
+def _answered(rows: pa.Table, at: np.ndarray, sums: list[np.ndarray]) -> pa.Table:
+    ends = np.cumsum(rows.column("n").to_numpy())
+    t, g = ([_packed(x[at[b - n : b]]) for n, b in zip(rows.column("n").to_numpy(), ends, strict=True)] for x in sums)
+    return pa.table([rows.column("block"), rows.column("page"), rows.column("n"), pa.array(t, pa.binary()), pa.array(g, pa.binary())], names=[c.split()[0] for c in _SUMS.split(", ")])
 
 
-def _scores(blocks: DataFrame, sums: DataFrame, size: int, counted: bool) -> DataFrame:
-    """(doc_id, hot, n_tokens, target_loss, own_target_loss, background_loss) of the texts of blocks, by the sums (block and _COUNTS) that their counts have."""
+def _scores(blocks: DataFrame, sums: DataFrame, width: int, counted: bool) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss) of the texts of blocks, by the sums of their entries."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
-        block = _Block(texts, _Hashes())
-        block.learn(found.combine_chunks(), not counted)
-        columns = [pa.array(x, mask=block.sizes == 0) for x in block.losses(size, counted)]
-        return pa.table([texts.column("doc_id"), texts.column("hot"), pa.array(block.sizes), *columns], names=names)
+        block = _Block(texts.column("texts")[0].as_py(), _Hashes(), width)
+        found = found.sort_by("page")
+        t, g = (np.concatenate([_unpacked(x.as_py(), n) for x, n in zip(found.column(c), found.column("n").to_pylist(), strict=True)]) for c in ("t", "g"))
+        columns = [pa.array(x, mask=block.sizes == 0) for x in block.losses(t, g, counted)]
+        return pa.table([block.doc_id, pa.array(block.sizes), *columns], names=names)
 
-    schema = "doc_id long, hot boolean, n_tokens long, target_loss double, own_target_loss double, background_loss double"
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double"
     names = [x.split()[0] for x in schema.split(", ")]
-    return blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, schema)
+    rows = blocks.select("block", "texts").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, schema)
+    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def _sizes(blocks: DataFrame) -> tuple[int, int]:
+    """Bits of a hash, and of a page's number, for a corpus."""
+    r = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    # Pages grow with the blocks, so neither the rows of a page nor the entries of a row become too many.
+    return min(64, SPARE + int(r["size"]).bit_length()), 10 + (int(r["n"]) >> 10).bit_length()
 
 
 @dataclass
 class Models:
-    """The vocabulary, its words by hashes (word) and with start and unknown word the number of them, and the counts (_COUNTS) of both models."""
+    """The counts of both models by page (page, n, keys, t, g), and the bits of hashes and of page numbers."""
 
-    known: DataFrame
-    size: int
     counts: DataFrame
+    width: int
+    pages: int
 
 
-def _unknown(docs: DataFrame, known: DataFrame) -> DataFrame:
-    return _word_counts(docs, True).join(known, "word", "left_anti")
+def fit(docs: DataFrame, is_target: str | Column) -> Models:
+    """Both models, from all of docs (doc_id, text and a boolean column): the background counts every document, the target those marked; null is not marked."""
+    blocks = _blocks(docs.select("doc_id", "text", (F.col(is_target) if isinstance(is_target, str) else is_target).alias("hot")))
+    width, pages = _sizes(blocks)
 
+    def merge(rows: pa.Table) -> pa.Table:
+        _, keys, t, g = _decoded(rows)
+        found, _, (t, g) = _summed(keys, t, g)
+        return pa.table([rows.column("page").slice(0, 1), pa.array([len(found)]), *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(found, prepend=np.uint64(0)), t, g))], names=["page", "n", "keys", "t", "g"])
 
-def fit(docs: DataFrame, is_target: str, known: list[bytes]) -> Models:
-    """Both models, from all of docs (doc_id, text and a boolean column): the background counts every document, the target those marked; null is not marked. known: the vocabulary."""
-    table = docs.sparkSession.createDataFrame([(word_hash(w),) for w in known], "word long")
-    marked = docs.select("doc_id", "text", F.col(is_target).alias("hot"))
-    sums = _counts(_blocks(marked, _unknown(docs, table))).groupBy("before", "now").agg(*[F.sum(c).alias(c) for c in ("t", "g", "ct", "cg")])
-    return Models(table, len(known) + 2, materialise(sums, "model"))
+    counts = _entries(blocks, width, pages).groupBy("page").applyInArrow(merge, "page long, n long, keys binary, t binary, g binary")
+    return Models(materialise(counts, "model"), width, pages)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, own_target_loss, background_loss) of docs that the models have not counted: mean losses of a token in nats.
+    """(doc_id, n_tokens, target_loss, background_loss, score) of docs that the models have not counted: mean losses of a token in nats, and target less background. Texts without words, null ones too, have no losses."""
+    blocks = _blocks(docs.select("doc_id", "text", F.lit(False).alias("hot")))
 
-    own_target_loss is that of the target less the text's own counts, here none. Texts without words,
-    null ones too, have no losses.
-    """
-    blocks = _blocks(docs.select("doc_id", "text", F.lit(False).alias("hot")), _unknown(docs, models.known))
-    asked = _counts(blocks).select("block", F.col("before").alias("before_"), F.col("now").alias("now_"))
-    sums = asked.join(models.counts, F.col("before_").eqNullSafe(F.col("before")) & F.col("now_").eqNullSafe(F.col("now")))
-    return _scores(blocks, sums.drop("before_", "now_"), models.size, counted=False).drop("hot")
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        _, keys, t, g = _decoded(asked)
+        sums = [np.zeros(len(keys), np.uint64)] * 2
+        if known.num_rows:
+            _, have, *counts = _decoded(known)
+            spot = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            sums = [np.where(have[spot] == keys, x[spot], np.uint64(0)) for x in counts]
+        return _answered(asked, np.arange(len(keys)), sums)
+
+    asked = _entries(blocks, models.width, models.pages).groupBy("page")
+    # Pages of the model that nothing asks for answer nothing.
+    sums = asked.cogroup(models.counts.groupBy("page")).applyInArrow(lambda a, k: answer(a, k) if a.num_rows else _nothing(), _SUMS)
+    return _scores(blocks, sums, models.width, counted=False)
+
+
+def _nothing() -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array([], k) for k in kinds], names=[c.split()[0] for c in _SUMS.split(", ")])
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -323,21 +331,22 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
 
     score is the target's loss less the background's; lower is more like the target. What the models
     counted of a document is taken off before it is scored, so a text's score does not depend on
-    whether it was among the target's. Texts without words have neither losses nor score. Ids may
-    repeat on either side; an empty table gives an empty one. The ids of the target grow with the
-    corpus, so texts meet them in one merge join, with their unknown words.
+    whether it was among the target's. Texts without words, null and empty ones too, have neither losses
+    nor score; a very long text is a block by itself. Ids may repeat or be null on either side, and
+    repeated rows count and are scored as often; other columns of docs have no influence; an empty table
+    gives an empty one. The ids of the target grow with the corpus: the planner sends them to all tasks
+    while they are few, and else deals them out with the texts.
     """
-    docs = docs.select("doc_id", "text")
-    counts = _word_counts(docs, False).groupBy("word").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
-    # A word that occurs once is unknown, and in one text; of others their number is needed.
-    once = F.col("n") == 1
-    counts = materialise(counts.select(F.when(once, F.col("word")).alias("word"), F.when(once, F.col("key")).alias("key")), "words")
-    size = counts.filter("word is null").count() + 2
-    marks = target_ids.select(F.col("doc_id").cast("long").alias("key")).filter("key is not null").distinct()
-    blocks = _blocks(docs, counts.filter("word is not null"), marks)
-    w = Window.partitionBy("before", "now")
-    sums = _counts(blocks).select("block", "before", "now", *[F.sum(c).over(w).alias(c) for c in ("t", "g", "ct", "cg")], F.count("*").over(w).alias("n_"))
-    rows = _scores(blocks, sums.filter("n_ > 1").drop("n_"), size, counted=True)
-    loss = F.when(F.col("hot"), F.col("own_target_loss")).otherwise(F.col("target_loss"))
-    rows = rows.select("doc_id", "n_tokens", loss.alias("target_loss"), "background_loss")
-    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    marks = target_ids.select(F.col("doc_id").cast("long").alias("mark_")).filter("mark_ is not null").distinct()
+    marks = materialise(marks, "target").withColumn("hot", F.lit(True))  # written, its size is known
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(marks, F.col("doc_id") == F.col("mark_"), "left")
+    blocks = _blocks(marked)
+    width, pages = _sizes(blocks)
+
+    def total(rows: pa.Table) -> pa.Table:
+        _, keys, t, g = _decoded(rows)
+        _, at, sums = _summed(keys, t, g)
+        return _answered(rows, at, sums)
+
+    sums = _entries(blocks, width, pages).groupBy("page").applyInArrow(total, _SUMS)
+    return _scores(blocks, sums, width, counted=True)

@@ -23,36 +23,40 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(1, 200, 2)] + [(1,)], "doc_id long")
 
 
-def test_scores_equal_brute_force(labelled):
+def plain(texts, hot, i):
+    """Losses of text i by models of the others."""
+
+    def counts(group):
+        u, b, starts = Counter(), Counter(), 0
+        for j in group:
+            u.update(texts[j]), b.update(zip(["", *texts[j]], texts[j], strict=False))
+            starts += bool(texts[j])
+        u[""] = starts
+        return u, b, sum(len(texts[j]) for j in group)
+
+    (tu, tb, tn), (gu, gb, gn) = (counts([j for j in group if j != i]) for group in (sorted(hot & texts.keys()), sorted(texts)))
+    ratio, out = tn / gn, [0.0, 0.0]
+    for v, w in zip(["", *texts[i]], texts[i], strict=False):
+        known = gu[w] >= 2
+        follows = known and (v == "" or gu[v] >= 2)
+        prior = lm.PRIOR * (gu[w] if known else 1) / gn
+        for k, (u, b, r) in enumerate(((tu, tb, 1.0), (gu, gb, ratio))):
+            uni = ((r * u[w] if known else 0) + prior) / (tn + lm.PRIOR)
+            out[k] -= math.log(((r * b[v, w] if follows else 0) + lm.BACKOFF * uni) / ((r * u[v] if follows else 0) + lm.BACKOFF))
+    return [x / len(texts[i]) for x in out]
+
+
+def test_scores_equal_brute_force(labelled, monkeypatch):
     docs, target = labelled
-    rows = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, target).collect()}
+    monkeypatch.setattr(lm, "BLOCK", 2000)
+    rows = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs.withColumn("hot", F.lit(True)), target).collect()}
     texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in docs.collect()}
     hot = {r["doc_id"] for r in target.collect()}
-    seen = Counter(w for t in texts.values() for w in t)
-    ids = {w: i + 2 for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}
     assert len(rows) == len(texts)
-
-    def grams(words):
-        now = [ids.get(w, 1) for w in words]
-        before = [0, *now[:-1]][: len(now)]
-        return now, before, [int(x) for x in lm.slot(np.array(before, np.int64), np.array(now, np.int64))] if now else []
-
-    def loss(i, group):
-        u, c, b = Counter(), Counter(), Counter()
-        for j in group - {i}:
-            now, before, pair = grams(texts[j])
-            u.update(now), c.update(before), b.update(pair)
-        size, total = len(ids) + 2, u.total()
-        out = 0.0
-        for w, v, p in zip(*grams(texts[i]), strict=True):
-            uni = (u[w] + 0.5) / (total + 0.5 * size)
-            out -= math.log((min(b[p], c[v]) + lm.BACKOFF * uni) / (c[v] + lm.BACKOFF))
-        return out / len(texts[i])
-
     for i in (1, 2, 77, 250, 903, 904):
         r = rows[i]
         assert r["n_tokens"] == len(texts[i])
-        assert r["target_loss"] == pytest.approx(loss(i, hot), rel=1e-6) and r["background_loss"] == pytest.approx(loss(i, set(texts)), rel=1e-6)
+        assert [r["target_loss"], r["background_loss"]] == pytest.approx(plain(texts, hot, i), rel=1e-9)
         assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"])
     assert all(rows[i]["score"] is None and rows[i]["n_tokens"] == 0 for i in (900, 901, 902))
 
@@ -64,38 +68,29 @@ def test_scores_tell_held_out_texts_apart(labelled):
     assert sum(g < b for g in good for b in bad) / (len(good) * len(bad)) > 0.97
 
 
-def test_new_texts_and_small_vocabulary(spark, labelled, empty_docs):
-    docs, _ = labelled
-    known = lm.vocabulary(docs, 10)
-    assert 0 < len(known) <= 10
-    models = lm.fit(docs.withColumn("hot", F.col("doc_id") % 2 == 1), "hot", known)
-    r = lm.score(spark.createDataFrame([(1, "good1 good2 zzz")], "doc_id long, text string"), models).first()
-    assert r["target_loss"] == r["own_target_loss"] > 0
+def test_new_texts_and_odd_tables(spark, labelled, odd_docs, empty_docs):
+    docs, target = labelled
+    models = lm.fit(docs, F.col("doc_id") % 2 == 1)
+    texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in docs.collect()}
+    new = "good1 good2 zzz"
+    r = lm.score(spark.createDataFrame([(1, new)], "doc_id long, text string"), models).first()
+    assert [r["target_loss"], r["background_loss"]] == pytest.approx(plain(texts | {-1: new.split()}, {i for i in texts if i % 2}, -1), rel=1e-9)
     assert lm.cross_entropy_difference(empty_docs, empty_docs.select("doc_id")).count() == 0
+    assert lm.cross_entropy_difference(odd_docs, target).count() == 5 and lm.cross_entropy_difference(docs, empty_docs).filter("score is not null").count() == 302
 
 
-def test_every_repeated_word_and_bigram_counts(spark):
+def test_every_repeated_word_and_bigram_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 100_000)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(70_000)]
-    tokens = words + words
+    tokens = words + words + words
     rng.shuffle(tokens)
-    texts = [tokens[k : k + 1000] + ["common", "pair"] * 3 for k in range(0, len(tokens), 1000)]
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    texts = {i: tokens[k : k + 1500] + ["common", "pair"] * 3 for i, k in enumerate(range(0, len(tokens), 1500))}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     hot = set(range(0, len(texts), 2))
     rows = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in hot], "doc_id long")).collect()}
-    size = len(words) + 4  # and common, pair, start and unknown
-
-    def loss(i, group):
-        u, c, b = Counter(), Counter(), Counter()
-        for j in group - {i}:
-            u.update(texts[j]), c.update(["", *texts[j][:-1]]), b.update(zip(["", *texts[j]], texts[j], strict=False))
-        out = 0.0
-        for v, w in zip(["", *texts[i]], texts[i], strict=False):
-            out -= math.log((b[v, w] + lm.BACKOFF * (u[w] + 0.5) / (u.total() + 0.5 * size)) / (c[v] + lm.BACKOFF))
-        return out / len(texts[i])
-
     for i in (0, 1, 139):
-        assert rows[i]["target_loss"] == pytest.approx(loss(i, hot), rel=1e-9) and rows[i]["background_loss"] == pytest.approx(loss(i, set(range(len(texts)))), rel=1e-9)
+        assert [rows[i]["target_loss"], rows[i]["background_loss"]] == pytest.approx(plain(texts, hot, i), rel=1e-9)
 
 
 def dice(a, b):
