@@ -50,6 +50,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write df as a table in the shared folder, in buckets by key, and read it back: what is grouped by
+    key or meets other rows by it is not dealt out again."""
+    spark = df.sparkSession
+    table = f"quarry_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", shared_dir(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 #: Bytes of an Arrow batch at most: whole texts are large, and a batch exists on both sides.
 BATCH = 8 << 20
 _held: dict[object, object] = {}
@@ -74,16 +84,22 @@ def _tidy() -> None:
         libc.malloc_trim(0)
 
 
-def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with this package sent to the executors once a session and batches kept small."""
-    spark = df.sparkSession
+def send(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, and keep Arrow batches small."""
     sc = spark.sparkContext
     if not getattr(sc, "_quarry_sent", False):
         package = Path(__file__).resolve().parents[1]
-        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}-src", "zip", package.parent, package.name))
+        folder = tempfile.mkdtemp()  # executors fetch the archive from the driver as long as the session lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}-src", "zip", package.parent, package.name))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
         sc._quarry_sent = True
 
+
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the executors once a session and batches kept small."""
+    send(df.sparkSession)
+
     def tidied(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)

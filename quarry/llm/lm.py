@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow, materialise
+from quarry.llm.common import arrow, bucketed, materialise, send
 
 #: Weights of the lower orders, in counts: of a word in a bigram's probability, of its share of all tokens in a word's.
 BACKOFF, PRIOR = 1000.0, 50.0
@@ -102,30 +102,32 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return planes.view("<u8").ravel()
 
 
-_BLOCKS = "block long, size long, texts binary"
+_BLOCKS = "block long, size long, ids array<long>, texts binary"
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """A written table of docs (doc_id, text, hot) in blocks: a row has all texts of a block as compressed Arrow data.
+    """A written table of docs (doc_id, text) in blocks: a row has the ids and, as compressed Arrow data, the texts of a block.
 
     A block goes by the number of its first row. Numbers are given once, as the table is written, and
-    read from it ever after.
+    read from it ever after. The table is in buckets by block, so counting and scoring deal out no text.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long"), F.coalesce("hot", F.lit(False)).alias("hot"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table.combine_chunks())
-            return pa.RecordBatch.from_arrays([table.column(0).slice(0, 1).combine_chunks(), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "size", "texts"])
+            texts = table.select([2])
+            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(texts)
+            block = [table.column(0)[0].as_py()], [size], [table.column(1).to_pylist()], [sink.getvalue().to_pybytes()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(block, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["block", "size", "ids", "texts"])
 
         for batch in batches:
-            sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(3)).to_pylist()]
+            sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(2)).to_pylist()]
             first = 0
             for i, n in enumerate(sizes):
                 if size and size + n > BLOCK:
@@ -138,25 +140,30 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if held and sum(b.num_rows for b in held):
             yield out()
 
-    return materialise(arrow(rows, run, _BLOCKS), "blocks")
+    return bucketed(arrow(rows, run, _BLOCKS), "blocks", "block")
 
 
 class _Block:
     """The texts of a block as numbers, and its entries: keys, ascending, with counts t of the target and g of all texts."""
 
-    def __init__(self, data: bytes, hashes: _Hashes, width: int):
-        texts = pa.ipc.open_stream(data).read_all().combine_chunks()
-        self.doc_id, self.hot = texts.column("doc_id"), np.array(texts.column("hot").to_pylist(), bool)
-        ids = [hashes.of(text.as_py()) for text in texts.column("text")]
+    def __init__(self, row: pa.Table, hot: np.ndarray, width: int):
+        """row: of a block; hot: the ids of it that are of the target."""
+        hashes = _Hashes()
+        ids = [hashes.of(text.as_py()) for text in pa.ipc.open_stream(row.column("texts")[0].as_buffer()).read_all().column(0)]
+        del hashes
+        self.doc_id = row.column("ids").combine_chunks().flatten()
+        self.hot = np.isin(self.doc_id.fill_null(0).to_numpy(), hot) & self.doc_id.is_valid().to_numpy(zero_copy_only=False)
         self.sizes = np.array([len(x) for x in ids], np.int64)
         self.text = np.repeat(np.arange(len(ids)), self.sizes)
         self.words, at = np.unique(np.concatenate([np.array([START, TOTAL], np.uint64), *ids]), return_inverse=True)
         del ids
-        self.now = at[2:]
+        self.now = at[2:].astype(np.int32)
         # START and TOTAL are the least hashes, so they come first.
-        self.before = np.concatenate([[0], self.now[:-1]])[: len(self.now)]
+        self.before = np.concatenate([np.zeros(1, np.int32), self.now[:-1]])[: len(self.now)]
         self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
-        pairs, self.pair = np.unique(self.before * len(self.words) + self.now, return_inverse=True)
+        pairs, at = np.unique(self.before.astype(np.int64) * len(self.words) + self.now, return_inverse=True)
+        self.pair = at.astype(np.int32)
+        del at
         hot, some = self.hot[self.text], self.sizes > 0
         n = len(self.words)
         unigrams = np.stack([np.bincount(self.now[hot], minlength=n), np.bincount(self.now, minlength=n)])
@@ -221,18 +228,26 @@ class _Block:
 _ENTRIES = "page long, block long, n long, keys binary, t binary, g binary"
 
 
-def _entries(blocks: DataFrame, width: int, pages: int) -> DataFrame:
-    """(_ENTRIES) of blocks."""
+_HOT = "block long, doc_id long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                page, n, keys, t, g = zip(*_Block(data.as_py(), hashes, width).rows(width, pages), strict=True)
-                columns = [pa.array(page, pa.int64()), pa.array([name.as_py()] * len(page), pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, t, g))]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ENTRIES.split(", ")])
 
-    return arrow(blocks.select("block", "texts"), run, _ENTRIES)
+def _entries(blocks: DataFrame, hot: DataFrame, width: int, pages: int) -> DataFrame:
+    """(_ENTRIES) of blocks, of whose ids those in hot (_HOT) are of the target."""
+
+    def run(row: pa.Table, hot: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _none(_ENTRIES)
+        page, n, keys, t, g = zip(*_Block(row, hot.column("doc_id").to_numpy(), width).rows(width, pages), strict=True)
+        columns = [pa.array(page, pa.int64()), pa.array(row.column("block").to_pylist() * len(page), pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, t, g))]
+        return pa.table(columns, names=[c.split()[0] for c in _ENTRIES.split(", ")])
+
+    send(blocks.sparkSession)
+    return blocks.select("block", "ids", "texts").groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(run, _ENTRIES)
+
+
+def _none(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.table({name: pa.array([], kinds[kind]) for name, kind in map(str.split, schema.split(", "))})
 
 
 def _decoded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -256,19 +271,24 @@ def _answered(rows: pa.Table, at: np.ndarray, sums: list[np.ndarray]) -> pa.Tabl
     return pa.table([rows.column("block"), rows.column("page"), rows.column("n"), pa.array(t, pa.binary()), pa.array(g, pa.binary())], names=[c.split()[0] for c in _SUMS.split(", ")])
 
 
-def _scores(blocks: DataFrame, sums: DataFrame, width: int, counted: bool) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss) of the texts of blocks, by the sums of their entries."""
+def _scores(blocks: DataFrame, sums: DataFrame, hot: DataFrame, width: int, counted: bool) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of the texts of blocks, by the sums of their entries."""
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double"
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        block = _Block(texts.column("texts")[0].as_py(), _Hashes(), width)
-        found = found.sort_by("page")
-        t, g = (np.concatenate([_unpacked(x.as_py(), n) for x, n in zip(found.column(c), found.column("n").to_pylist(), strict=True)]) for c in ("t", "g"))
+    def run(row: pa.Table, found: pa.Table) -> pa.Table:
+        if not row.num_rows:
+            return _none(schema)
+        page = found.column("page").to_numpy()
+        hot, sums = found.filter(pa.array(page < 0)), found.filter(pa.array(page >= 0)).sort_by("page")
+        block = _Block(row, hot.column("n").to_numpy(), width)
+        t, g = (np.concatenate([_unpacked(x.as_py(), n) for x, n in zip(sums.column(c), sums.column("n").to_pylist(), strict=True)]) for c in ("t", "g"))
         columns = [pa.array(x, mask=block.sizes == 0) for x in block.losses(t, g, counted)]
         return pa.table([block.doc_id, pa.array(block.sizes), *columns], names=names)
 
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double"
-    names = [x.split()[0] for x in schema.split(", ")]
-    rows = blocks.select("block", "texts").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, schema)
+    # What belongs to a block comes in one table: its sums, and on pages below zero its ids of the target.
+    marks = hot.select("block", F.lit(-1).cast("long").alias("page"), F.col("doc_id").alias("n"), F.lit(None).cast("binary").alias("t"), F.lit(None).cast("binary").alias("g"))
+    rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(sums.unionByName(marks).groupBy("block")).applyInArrow(run, schema)
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
@@ -290,7 +310,11 @@ class Models:
 
 def fit(docs: DataFrame, is_target: str | Column) -> Models:
     """Both models, from all of docs (doc_id, text and a boolean column): the background counts every document, the target those marked; null is not marked."""
-    blocks = _blocks(docs.select("doc_id", "text", (F.col(is_target) if isinstance(is_target, str) else is_target).alias("hot")))
+    marked = F.col(is_target) if isinstance(is_target, str) else is_target
+    # Rows are told apart by their own numbers here, for ids may repeat in and out of the target.
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.coalesce(marked, F.lit(False)).alias("hot")), "marked")
+    blocks = _blocks(numbered)
+    hot = _of_target(blocks, numbered.filter("hot").select(F.col("doc_id").alias("mark_")))
     width, pages = _sizes(blocks)
 
     def merge(rows: pa.Table) -> pa.Table:
@@ -298,13 +322,14 @@ def fit(docs: DataFrame, is_target: str | Column) -> Models:
         found, _, (t, g) = _summed(keys, t, g)
         return pa.table([rows.column("page").slice(0, 1), pa.array([len(found)]), *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(found, prepend=np.uint64(0)), t, g))], names=["page", "n", "keys", "t", "g"])
 
-    counts = _entries(blocks, width, pages).groupBy("page").applyInArrow(merge, "page long, n long, keys binary, t binary, g binary")
+    counts = _entries(blocks, hot, width, pages).groupBy("page").applyInArrow(merge, "page long, n long, keys binary, t binary, g binary")
     return Models(materialise(counts, "model"), width, pages)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of docs that the models have not counted: mean losses of a token in nats, and target less background. Texts without words, null ones too, have no losses."""
-    blocks = _blocks(docs.select("doc_id", "text", F.lit(False).alias("hot")))
+    blocks = _blocks(docs)
+    hot = blocks.sparkSession.createDataFrame([], _HOT)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         _, keys, t, g = _decoded(asked)
@@ -315,15 +340,16 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
             sums = [np.where(have[spot] == keys, x[spot], np.uint64(0)) for x in counts]
         return _answered(asked, np.arange(len(keys)), sums)
 
-    asked = _entries(blocks, models.width, models.pages).groupBy("page")
+    asked = _entries(blocks, hot, models.width, models.pages).groupBy("page")
     # Pages of the model that nothing asks for answer nothing.
-    sums = asked.cogroup(models.counts.groupBy("page")).applyInArrow(lambda a, k: answer(a, k) if a.num_rows else _nothing(), _SUMS)
-    return _scores(blocks, sums, models.width, counted=False)
+    sums = asked.cogroup(models.counts.groupBy("page")).applyInArrow(lambda a, k: answer(a, k) if a.num_rows else _none(_SUMS), _SUMS)
+    return _scores(blocks, sums, hot, models.width, counted=False)
 
 
-def _nothing() -> pa.Table:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array([], k) for k in kinds], names=[c.split()[0] for c in _SUMS.split(", ")])
+def _of_target(blocks: DataFrame, marks: DataFrame) -> DataFrame:
+    """(_HOT) of the ids of blocks that marks (mark_), distinct, has. Only ids are dealt out."""
+    ids = blocks.select("block", F.explode("ids").alias("doc_id")).distinct()
+    return materialise(ids.join(marks, F.col("doc_id") == F.col("mark_")).select("block", "doc_id"), "hot")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -334,13 +360,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     whether it was among the target's. Texts without words, null and empty ones too, have neither losses
     nor score; a very long text is a block by itself. Ids may repeat or be null on either side, and
     repeated rows count and are scored as often; other columns of docs have no influence; an empty table
-    gives an empty one. The ids of the target grow with the corpus: the planner sends them to all tasks
-    while they are few, and else deals them out with the texts.
+    gives an empty one. The ids of the target meet the ids of blocks, without texts.
     """
-    marks = target_ids.select(F.col("doc_id").cast("long").alias("mark_")).filter("mark_ is not null").distinct()
-    marks = materialise(marks, "target").withColumn("hot", F.lit(True))  # written, its size is known
-    marked = docs.select(F.col("doc_id").cast("long"), "text").join(marks, F.col("doc_id") == F.col("mark_"), "left")
-    blocks = _blocks(marked)
+    blocks = _blocks(docs)
+    hot = _of_target(blocks, target_ids.select(F.col("doc_id").cast("long").alias("mark_")).filter("mark_ is not null").distinct())
     width, pages = _sizes(blocks)
 
     def total(rows: pa.Table) -> pa.Table:
@@ -348,5 +371,5 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
         _, at, sums = _summed(keys, t, g)
         return _answered(rows, at, sums)
 
-    sums = _entries(blocks, width, pages).groupBy("page").applyInArrow(total, _SUMS)
-    return _scores(blocks, sums, width, counted=True)
+    sums = _entries(blocks, hot, width, pages).groupBy("page").applyInArrow(total, _SUMS)
+    return _scores(blocks, sums, hot, width, counted=True)
