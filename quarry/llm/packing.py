@@ -40,7 +40,7 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     cost: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.2, 0.2)
     choose: str = "norm"
 
     def asks(self, length: int) -> tuple[int, int, int]:

@@ -47,6 +47,14 @@ def _words(text: str) -> Iterator[list[bytes]]:
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, repeats included; zero of none."""
+    if not len(hashes):
+        return 0
+    counts = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """The 64-bit SimHash of the shingles of size words, repeats included; zero without words."""
     import xxhash
@@ -82,14 +90,14 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) of the whole texts of docs, fp as a signed long. Null texts count as empty."""
+    """(doc_id, key, fp) of the whole texts of docs, key a hash of the text, fp as a signed long. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, size) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text"), run, "doc_id long, key long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -195,7 +203,7 @@ def _label(fps: DataFrame, found: DataFrame, column: str) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, fp, a written table) with component_id: the smallest doc_id that links lead to, itself included; null only if all are null.
+    """rows (doc_id, fp and more, a written table) with label, which names the class, and component_id: the smallest doc_id that links lead to, itself included; null only if all are null.
 
     Rows of equal fingerprints are one node, so copies cost one row however many they are.
     """
@@ -206,12 +214,12 @@ def classes(rows: DataFrame) -> DataFrame:
     far = components(far_links(labelled.select("fp", "label"), n))
     whole = _label(labelled, far, "label")
     least = whole.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = materialise(whole.join(least, "label").select("fp", "component_id"), "classes")
+    by_fp = materialise(whole.join(least, "label").select("fp", "label", "component_id"), "classes")
     return rows.join(by_fp, "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs. Texts without words have fingerprint zero and are linked like any; an empty table gives an empty one."""
+    """(doc_id, key, fp, label, component_id) for every row of docs; key is a hash of the text. Texts without words have fingerprint zero and are linked like any; an empty table gives an empty one."""
     return classes(materialise(fingerprints(docs, size), "simhash"))
 
 
@@ -220,15 +228,20 @@ def hex_digits(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame, size: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their class, one row of each; a class of null ids keeps one."""
+    """One row of each class of docs: that with the smallest doc_id, null last, then the smallest hash of the text; of rows that agree in both, the least by all columns."""
     return one_of_each(docs, near_duplicates(docs, size))
 
 
 def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the component_id that rows (doc_id, component_id) have for it, one row of each."""
-    kept = materialise(rows.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_")), "kept")
-    once = kept.distinct().hint("merge")  # the ids kept grow with the input, so texts are dealt out once at any size
-    same = docs["doc_id"].cast("long").eqNullSafe(once["kept_"])
-    out = docs.join(once, same, "left_semi")
-    repeated = kept.count() > once.count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """Of docs, one row for each label that rows (doc_id, key, label), one for each of docs, have."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = materialise(rows.groupBy("label").agg(F.min(own).alias("own")).select(F.col("own.doc_id").alias("id_"), F.col("own.key").alias("key_")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("key_"))
+    # Written, the ids have a size the planner knows: texts are dealt out only where these are many.
+    out = docs.join(kept, same, "left_semi")
+    repeated = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left_semi").count() > kept.count()
+    if not repeated:
+        return out
+    # Tasks aggregate their own rows first, so a row repeated very often is one row of each.
+    least = out.groupBy(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("key_")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row_"))
+    return least.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import minhash, simhash
+from quarry.llm import minhash, overlap, simhash
 from quarry.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,6 +124,25 @@ def test_dedup_keeps_one_of_each_class(docs, odd_docs, empty_docs, texts):
     assert simhash.deduplicate(empty_docs).count() == 0
 
 
+A, B, C, D = "one two three four five", "six seven eight nine ten", "some other words than these", "words of a fourth text"
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([(3, A), (5, A), (5, B)], [(3, A), (5, B)]),
+        ([(5, B), (5, C)], [(5, B), (5, C)]),
+        ([(None, A), (None, B), (None, C), (1, A)], [(1, A), (None, B), (None, C)]),
+        ([(None, D), (None, D), (2, A), (2, A), (2, None), (4, "")], [(None, D), (2, A), (2, None)]),
+    ],
+)
+def test_dedup_goes_by_rows(spark, rows, want):
+    key = lambda r: (str(r[0]), str(r[1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for dedup in (simhash.deduplicate, overlap.deduplicate):
+        assert sorted([(r["doc_id"], r["text"]) for r in dedup(docs).collect()], key=key) == sorted(want, key=key)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 7), (200, 201), (201, 200), (5, 5), (300, None)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
