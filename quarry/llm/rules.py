@@ -21,18 +21,23 @@ UNIT = 10_000
 
 @dataclass(frozen=True)
 class Policy:
-    """A document fails a rate above q + reach * (q - median) + margin, q being the given quantile of its group.
+    """A group's cutoff of a rate is q + reach * (q' - median): q its given quantile, q' the end of q's bucket.
 
-    margins: by rate, in 1/10000, what any group may differ by; a rate that is not named is not used.
-    min_rows: groups with fewer documents use the merged sketch of their language, and languages with
-    fewer that of all documents.
+    A group's cutoff is at most twice that of its language, and a language's twice that of all documents,
+    so a source that is junk for the most part does not set its own measure, as long as less than a
+    tenth of the corpus, what the quantile leaves, is such junk. min_rows: groups with fewer documents
+    use the cutoff of their language, and languages with fewer that of all documents.
+
+    A document fails if a rate is above the cutoff also without its last event. events: by rate, what
+    an event adds to the count: one sign, letter or line, and for words of repeated windows two windows.
+    A rate that is not named is not used.
     """
 
-    quantile_num: int = 3
-    quantile_den: int = 4
-    reach: int = 3
+    quantile_num: int = 9
+    quantile_den: int = 10
+    reach: int = 10
     min_rows: int = 200
-    margins: dict[str, int] = field(default_factory=lambda: {"symbol": 500, "bang": 800, "upper": 3500, "dup_line": 4000, "repeat": 3000})
+    events: dict[str, int] = field(default_factory=lambda: {"symbol": 1, "bang": 1, "upper": 1, "dup_line": 1, "repeat": 6})
 
 
 def repeat_positions(words: Column) -> Column:
@@ -100,15 +105,16 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rates() -> dict[str, Column]:
-    """The rates by name, in 1/10000, zero where there is nothing to divide by."""
-    of = lambda a, b: F.coalesce(F.try_divide(UNIT * F.col(a), F.col(b)), F.lit(0.0)).cast("long")
+def rates(less: dict[str, int] | None = None) -> dict[str, Column]:
+    """The rates by name, in 1/10000, zero where there is nothing to divide by; less: what is taken off the counts."""
+    less = less or {}
+    of = lambda name, a, b: F.coalesce(F.try_divide(UNIT * F.greatest(F.col(a) - less.get(name, 0), F.lit(0)), F.col(b)), F.lit(0.0)).cast("long")
     return {
-        "symbol": of("n_symbols", "word_chars"),
-        "bang": of("n_bangs", "word_chars"),
-        "upper": of("n_upper", "word_chars"),
-        "dup_line": of("n_dup_lines", "n_lines"),
-        "repeat": of("n_repeat_words", "n_words"),
+        "symbol": of("symbol", "n_symbols", "word_chars"),
+        "bang": of("bang", "n_bangs", "word_chars"),
+        "upper": of("upper", "n_upper", "word_chars"),
+        "dup_line": of("dup_line", "n_dup_lines", "n_lines"),
+        "repeat": of("repeat", "n_repeat_words", "n_words"),
     }
 
 
@@ -140,15 +146,20 @@ def cutoffs(sketch: DataFrame, policy: Policy, keys: list[str]) -> DataFrame:
     at = merged.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy(*by))})
     q = at.groupBy(*by).agg(
         F.max("total").alias("rows"),
-        F.min(F.when(F.col("upto") * policy.quantile_den >= F.col("total") * policy.quantile_num, lowest(F.col("bucket")))).alias("q"),
+        F.min(F.when(F.col("upto") * policy.quantile_den >= F.col("total") * policy.quantile_num, F.col("bucket"))).alias("b"),
         F.min(F.when(F.col("upto") * 2 >= F.col("total"), lowest(F.col("bucket")))).alias("median"),
     )
-    cut = F.col("q") + policy.reach * (F.col("q") - F.col("median")) + F.create_map(*[F.lit(v) for kv in policy.margins.items() for v in kv])[F.col("rate")]
-    names = list(policy.margins)
+    cut = lowest(F.col("b")) + policy.reach * (lowest(F.col("b") + 1) - F.col("median"))
+    names = list(policy.events)
     wide = q.groupBy(*keys) if keys else q.groupBy()
     return wide.agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("rate") == n, cut)).alias(f"c_{n}") for n in names])
 
 
+def bounded(own: Column, rows: Column, parent: Column, policy: Policy) -> Column:
+    """The cutoff of a group of so many rows, by that of the group it is part of."""
+    return F.when(rows >= policy.min_rows, F.least(own, 2 * parent)).otherwise(parent).cast("long")
+
+
 def judge(docs: DataFrame, policy: Policy | None = None, carry_text: bool = True) -> DataFrame:
     """docs with the counts of features(), base_failed and kept.
 
@@ -158,22 +169,22 @@ def judge(docs: DataFrame, policy: Policy | None = None, carry_text: bool = True
     languages and sources form groups of their own; an empty table gives an empty one.
     """
     policy = policy or Policy()
-    names = list(policy.margins)
+    names = list(policy.events)
     counted = features(docs).withColumn("base_failed", base_failed()).withColumns({f"r_{n}": c for n, c in rates().items() if n in names})
     rows = materialise(counted if carry_text else counted.drop("text"), "rules")
     sketch = materialise(sketches(rows.filter(~F.col("base_failed")), names), "sketch")
     fine = cutoffs(sketch, policy, ["lang", "source"])
     coarse = cutoffs(sketch, policy, ["lang"]).select(F.col("lang").alias("l_"), F.col("rows").alias("lang_rows"), *[F.col(f"c_{n}").alias(f"l_{n}") for n in names])
     whole = cutoffs(sketch, policy, []).first()  # one row
-    chosen = {n: F.when(F.col("rows") >= policy.min_rows, F.col(f"c_{n}")).when(F.col("lang_rows") >= policy.min_rows, F.col(f"l_{n}")).otherwise(F.lit(whole[f"c_{n}"]).cast("long")) for n in names}
     table = fine.join(coarse, F.col("lang").eqNullSafe(F.col("l_")), "left")
-    table = table.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[c.alias(f"t_{n}") for n, c in chosen.items()])
+    by_lang = {n: bounded(F.col(f"l_{n}"), F.col("lang_rows"), F.lit(whole[f"c_{n}"]).cast("long"), policy) for n in names}
+    table = table.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[bounded(F.col(f"c_{n}"), F.col("rows"), by_lang[n], policy).alias(f"t_{n}") for n in names])
     # Written, the table has a size the planner knows: a small one is broadcast and no text is shuffled, a large one is not.
     table = materialise(table, "cutoffs")
     joined = rows.join(table, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    over = F.lit(False)
+    over, lessened = F.lit(False), rates(policy.events)
     for n in names:
-        over = over | F.coalesce(F.col(f"r_{n}") > F.col(f"t_{n}"), F.lit(False))
+        over = over | F.coalesce(lessened[n] > F.col(f"t_{n}"), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("g_lang", "g_source", *[f"{p}_{n}" for p in "rt" for n in names])
 
 

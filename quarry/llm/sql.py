@@ -3,18 +3,19 @@
 from quarry.llm import licences
 
 _RATES = ("symbol", "bang", "upper", "dup_line", "repeat")
-_MARGINS = {"symbol": 500, "bang": 800, "upper": 3500, "dup_line": 4000, "repeat": 3000}
 
 
 def _rules(table: str) -> str:
     """Common table expressions, the last of which, judged, has the counts and verdicts of table."""
     bucket = "CASE WHEN x < 32 THEN x ELSE (length(bin(x)) - 4) * 16 + (x >> (length(bin(x)) - 5)::BIGINT) - 16 END"
-    lowest = "CASE WHEN b < 32 THEN b ELSE (b - ((b // 16) - 1) * 16) << ((b // 16) - 1) END"
-    quantile = f"""SELECT {{keys}} rate, max(total) AS rows_, min(CASE WHEN upto * 4 >= total * 3 THEN low END) AS q, min(CASE WHEN upto * 2 >= total THEN low END) AS median
-      FROM (SELECT {{keys}} rate, low, sum(n) OVER (PARTITION BY {{keys}} rate ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {{keys}} rate) AS total
-            FROM (SELECT {{keys}} rate, b, {lowest} AS low, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
-    margin = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _MARGINS.items()) + " END"
-    values = ", ".join(f"('{r}', r_{r})" for r in _RATES)
+    least = lambda b: f"CASE WHEN {b} < 32 THEN {b} ELSE ({b} - (({b} // 16) - 1) * 16) << (({b} // 16) - 1) END"
+    cut = lambda keys: f"""SELECT {keys} rate, max(total) AS rows_, {least("min(CASE WHEN upto * 10 >= total * 9 THEN b END)")} + 10 * ({least("(min(CASE WHEN upto * 10 >= total * 9 THEN b END) + 1)")} - min(CASE WHEN upto * 2 >= total THEN {least("b")} END)) AS cut
+      FROM (SELECT {keys} rate, b, sum(n) OVER (PARTITION BY {keys} rate ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys} rate) AS total
+            FROM (SELECT {keys} rate, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
+    bounded = lambda g, parent: f"CASE WHEN {g}.rows_ >= 200 THEN least({g}.cut, 2 * {parent}) ELSE {parent} END"
+    values = ", ".join(f"('{r}', r_{r}, x_{r})" for r in _RATES)
+    of = {"symbol": ("n_symbols", "word_chars"), "bang": ("n_bangs", "word_chars"), "upper": ("n_upper", "word_chars"), "dup_line": ("n_dup_lines", "n_lines"), "repeat": ("n_repeat_words", "n_words")}
+    rates = lambda p, less: ", ".join(f"CASE WHEN {of[r][1]} = 0 THEN 0 ELSE 10000 * greatest({of[r][0]} - {n}, 0) // {of[r][1]} END AS {p}_{r}" for r, n in less.items())
     return f"""
     base AS (SELECT *, coalesce(text, '') AS t_ FROM {table}),
     split_ AS (SELECT *, regexp_extract_all(t_, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t_, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM base),
@@ -26,18 +27,16 @@ def _rules(table: str) -> str:
         length(regexp_replace(t_, '\\P{{Lu}}+', '', 'g'))::BIGINT AS n_upper, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM split_ s LEFT JOIN rep r ON s.doc_id = r.doc_id),
     rated AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-        CASE WHEN word_chars = 0 THEN 0 ELSE 10000 * n_symbols // word_chars END AS r_symbol, CASE WHEN word_chars = 0 THEN 0 ELSE 10000 * n_bangs // word_chars END AS r_bang,
-        CASE WHEN word_chars = 0 THEN 0 ELSE 10000 * n_upper // word_chars END AS r_upper, CASE WHEN n_lines = 0 THEN 0 ELSE 10000 * n_dup_lines // n_lines END AS r_dup_line,
-        CASE WHEN n_words = 0 THEN 0 ELSE 10000 * n_repeat_words // n_words END AS r_repeat FROM counted),
-    long_ AS (SELECT d.lang, d.source, v.rate, v.x FROM rated d, LATERAL (VALUES {values}) AS v(rate, x) WHERE NOT base_failed),
+        {rates("r", dict.fromkeys(_RATES, 0))}, {rates("x", {"symbol": 1, "bang": 1, "upper": 1, "dup_line": 1, "repeat": 6})} FROM counted),
+    long_ AS (SELECT d.lang, d.source, v.rate, v.x FROM rated d, LATERAL (VALUES {values}) AS v(rate, x, y) WHERE NOT base_failed),
     sketch AS (SELECT lang, source, rate, {bucket} AS b, count(*) AS n FROM long_ GROUP BY ALL),
-    fine AS ({quantile.format(keys="lang, source,")}),
-    coarse AS ({quantile.format(keys="lang,")}),
-    whole AS ({quantile.format(keys="")}),
-    cuts AS (SELECT f.lang, f.source, f.rate, CASE WHEN f.rows_ >= 200 THEN f.q + 3 * (f.q - f.median) WHEN c.rows_ >= 200 THEN c.q + 3 * (c.q - c.median) ELSE a.q + 3 * (a.q - a.median) END + {margin.replace("rate", "f.rate")} AS cut
-        FROM fine f LEFT JOIN coarse c ON f.lang IS NOT DISTINCT FROM c.lang AND f.rate = c.rate LEFT JOIN whole a ON f.rate = a.rate),
-    bad AS (SELECT DISTINCT d.doc_id FROM (SELECT doc_id, lang, source, v.rate, v.x FROM rated, LATERAL (VALUES {values}) AS v(rate, x)) d
-        JOIN cuts c ON d.lang IS NOT DISTINCT FROM c.lang AND d.source IS NOT DISTINCT FROM c.source AND d.rate = c.rate WHERE d.x > c.cut),
+    fine AS ({cut("lang, source,")}),
+    coarse AS ({cut("lang,")}),
+    whole AS ({cut("")}),
+    langs AS (SELECT c.lang, c.rate, {bounded("c", "a.cut")} AS cut FROM coarse c JOIN whole a ON c.rate = a.rate),
+    cuts AS (SELECT f.lang, f.source, f.rate, {bounded("f", "l.cut")} AS cut FROM fine f JOIN langs l ON f.lang IS NOT DISTINCT FROM l.lang AND f.rate = l.rate),
+    bad AS (SELECT DISTINCT d.doc_id FROM (SELECT doc_id, lang, source, v.rate, v.y FROM rated, LATERAL (VALUES {values}) AS v(rate, x, y)) d
+        JOIN cuts c ON d.lang IS NOT DISTINCT FROM c.lang AND d.source IS NOT DISTINCT FROM c.source AND d.rate = c.rate WHERE d.y > c.cut),
     judged AS (SELECT *, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM rated)"""
 
 

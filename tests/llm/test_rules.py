@@ -49,6 +49,26 @@ def test_cutoffs_adapt_to_groups(spark):
     assert all(kept[i] for i in range(60)) and all(kept[100 + i] for i in range(60))
 
 
+@pytest.mark.parametrize("share", [3, 6])
+def test_a_source_of_junk_is_measured_by_others(spark, share):
+    """In one source of eleven, 30 or 60 of 100 documents are junk; one more source is legitimately noisier than others."""
+    prose = lambda i: " ".join(f"w{(i * 7 + k) % 997}" for k in range(80 + i % 5))
+    rows = [(s * 100 + i, prose(s * 100 + i) + (" ###!" * 60 if s == 0 and i % 10 < share else " a|b" * 4 if s == 1 and i % 2 else " c$" if i % 7 == 0 else ""), "en", f"s{s}") for s in range(12) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(docs, rules.Policy(min_rows=50)).collect()}
+    junk = {i for i in range(100) if i % 10 < share}
+    assert not any(kept[i] for i in junk)
+    assert sum(kept[r[0]] for r in rows if r[0] not in junk) >= 0.97 * (len(rows) - len(junk))
+
+
+def test_cutoffs_move_with_the_data(spark):
+    docs = spark.createDataFrame([(i, " ".join("x#" if (k * 13 + i) % m == 0 else f"w{(i * 31 + k * 7) % 997}" for k in range(90)), "en", f"s{m}") for m in (3, 9, 40) for i in range(60)], "doc_id long, text string, lang string, source string")
+    policy = rules.Policy(min_rows=30, quantile_num=3, quantile_den=4)
+    counted = rules.features(docs).withColumns({f"r_{n}": c for n, c in rules.rates().items()})
+    cut = {r["source"]: r["c_symbol"] for r in rules.cutoffs(rules.sketches(counted, list(policy.events)), policy, ["source"]).collect()}
+    assert cut["s3"] > 2 * cut["s9"] > 2 * cut["s40"] > 0
+
+
 def test_filter_keeps_columns(spark, docs, odd_docs, empty_docs):
     for d in (docs, odd_docs, empty_docs):
         out = rules.filter_documents(d)
