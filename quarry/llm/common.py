@@ -109,6 +109,62 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(tidied, schema)
 
 
+#: Bytes of text in a block, but for a longer text, which is one by itself.
+BLOCK = 16 << 20
+BLOCKS = "block long, size long, ids array<long>, rows binary"
+
+
+def blocks(docs: DataFrame, name: str) -> DataFrame:
+    """A written table of docs (doc_id, text and more) in blocks: a row has the bytes of text, the ids and, as compressed Arrow data, the rows of a block.
+
+    A block goes by the number of its first row. Numbers are given once, as the table is written, and
+    read from it ever after. The table is in buckets by block, so what belongs to a block meets it
+    without any text being dealt out.
+    """
+    text = docs.columns.index("text") + 2
+    rows = docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("long").alias("id_"), *[F.col(f"`{c}`") for c in docs.columns])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            own = table.select(range(2, table.num_columns))
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(own)
+            block = [table.column(0)[0].as_py()], [size], [table.column(1).to_pylist()], [sink.getvalue().to_pybytes()]
+            kinds = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(block, kinds, strict=True)], names=["block", "size", "ids", "rows"])
+
+        for batch in batches:
+            sizes = [0 if n is None else n for n in pc.binary_length(batch.column(text)).to_pylist()]
+            first = 0
+            for i, n in enumerate(sizes):
+                if size and size + n > BLOCK:
+                    held.append(batch.slice(first, i - first))
+                    yield out()
+                    held, size, first = [], 0, i
+                size += n
+            if first < len(sizes):
+                held.append(batch.slice(first))
+        if held:
+            yield out()
+
+    return bucketed(arrow(rows, run, BLOCKS), name, "block")
+
+
+def block_rows(row) -> object:
+    """The rows, an Arrow table, of the one row of blocks that an Arrow table holds."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(row.column("rows")[0].as_buffer()).read_all()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow, bucketed, materialise, send
+from quarry.llm.common import block_rows, blocks, materialise, send
 
 #: Weights of the lower orders, in counts: of a word in a bigram's probability, of its share of all tokens in a word's.
 BACKOFF, PRIOR = 1000.0, 50.0
@@ -33,8 +33,6 @@ BACKOFF, PRIOR = 1000.0, 50.0
 LEAST = 2
 #: Distinct words whose hashes a task holds.
 HELD = 200_000
-#: Bytes of text in a block, but for a longer text, which is one by itself.
-BLOCK = 16 << 20
 CHUNK = 4 << 20
 #: Bits of a hash beyond those that number the bytes of a corpus.
 SPARE = 24
@@ -102,54 +100,13 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return planes.view("<u8").ravel()
 
 
-_BLOCKS = "block long, size long, ids array<long>, texts binary"
-
-
-def _blocks(docs: DataFrame) -> DataFrame:
-    """A written table of docs (doc_id, text) in blocks: a row has the ids and, as compressed Arrow data, the texts of a block.
-
-    A block goes by the number of its first row. Numbers are given once, as the table is written, and
-    read from it ever after. The table is in buckets by block, so counting and scoring deal out no text.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("block"), F.col("doc_id").cast("long"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            sink = pa.BufferOutputStream()
-            texts = table.select([2])
-            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(texts)
-            block = [table.column(0)[0].as_py()], [size], [table.column(1).to_pylist()], [sink.getvalue().to_pybytes()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(block, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["block", "size", "ids", "texts"])
-
-        for batch in batches:
-            sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(2)).to_pylist()]
-            first = 0
-            for i, n in enumerate(sizes):
-                if size and size + n > BLOCK:
-                    held.append(batch.slice(first, i - first))
-                    yield out()
-                    held, size, first = [], 0, i
-                size += n
-            if first < len(sizes):
-                held.append(batch.slice(first))
-        if held and sum(b.num_rows for b in held):
-            yield out()
-
-    return bucketed(arrow(rows, run, _BLOCKS), "blocks", "block")
-
-
 class _Block:
     """The texts of a block as numbers, and its entries: keys, ascending, with counts t of the target and g of all texts."""
 
     def __init__(self, row: pa.Table, hot: np.ndarray, width: int):
         """row: of a block; hot: the ids of it that are of the target."""
         hashes = _Hashes()
-        ids = [hashes.of(text.as_py()) for text in pa.ipc.open_stream(row.column("texts")[0].as_buffer()).read_all().column(0)]
+        ids = [hashes.of(text.as_py()) for text in block_rows(row).column(1)]
         del hashes
         self.doc_id = row.column("ids").combine_chunks().flatten()
         self.hot = np.isin(self.doc_id.fill_null(0).to_numpy(), hot) & self.doc_id.is_valid().to_numpy(zero_copy_only=False)
@@ -231,7 +188,11 @@ _ENTRIES = "page long, block long, n long, keys binary, t binary, g binary"
 _HOT = "block long, doc_id long"
 
 
-def _entries(blocks: DataFrame, hot: DataFrame, width: int, pages: int) -> DataFrame:
+def _blocks(docs: DataFrame) -> DataFrame:
+    return blocks(docs.select("doc_id", "text"), "blocks")
+
+
+def _entries(table: DataFrame, hot: DataFrame, width: int, pages: int) -> DataFrame:
     """(_ENTRIES) of blocks, of whose ids those in hot (_HOT) are of the target."""
 
     def run(row: pa.Table, hot: pa.Table) -> pa.Table:
@@ -241,8 +202,8 @@ def _entries(blocks: DataFrame, hot: DataFrame, width: int, pages: int) -> DataF
         columns = [pa.array(page, pa.int64()), pa.array(row.column("block").to_pylist() * len(page), pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, t, g))]
         return pa.table(columns, names=[c.split()[0] for c in _ENTRIES.split(", ")])
 
-    send(blocks.sparkSession)
-    return blocks.select("block", "ids", "texts").groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(run, _ENTRIES)
+    send(table.sparkSession)
+    return table.select("block", "ids", "rows").groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(run, _ENTRIES)
 
 
 def _none(schema: str) -> pa.Table:
@@ -271,7 +232,7 @@ def _answered(rows: pa.Table, at: np.ndarray, sums: list[np.ndarray]) -> pa.Tabl
     return pa.table([rows.column("block"), rows.column("page"), rows.column("n"), pa.array(t, pa.binary()), pa.array(g, pa.binary())], names=[c.split()[0] for c in _SUMS.split(", ")])
 
 
-def _scores(blocks: DataFrame, sums: DataFrame, hot: DataFrame, width: int, counted: bool) -> DataFrame:
+def _scores(table: DataFrame, sums: DataFrame, hot: DataFrame, width: int, counted: bool) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of the texts of blocks, by the sums of their entries."""
     schema = "doc_id long, n_tokens long, target_loss double, background_loss double"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -288,13 +249,13 @@ def _scores(blocks: DataFrame, sums: DataFrame, hot: DataFrame, width: int, coun
 
     # What belongs to a block comes in one table: its sums, and on pages below zero its ids of the target.
     marks = hot.select("block", F.lit(-1).cast("long").alias("page"), F.col("doc_id").alias("n"), F.lit(None).cast("binary").alias("t"), F.lit(None).cast("binary").alias("g"))
-    rows = blocks.select("block", "ids", "texts").groupBy("block").cogroup(sums.unionByName(marks).groupBy("block")).applyInArrow(run, schema)
+    rows = table.select("block", "ids", "rows").groupBy("block").cogroup(sums.unionByName(marks).groupBy("block")).applyInArrow(run, schema)
     return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
-def _sizes(blocks: DataFrame) -> tuple[int, int]:
+def _sizes(table: DataFrame) -> tuple[int, int]:
     """Bits of a hash, and of a page's number, for a corpus."""
-    r = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    r = table.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
     # Pages grow with the blocks, so neither the rows of a page nor the entries of a row become too many.
     return min(64, SPARE + int(r["size"]).bit_length()), 10 + (int(r["n"]) >> 10).bit_length()
 
@@ -313,23 +274,23 @@ def fit(docs: DataFrame, is_target: str | Column) -> Models:
     marked = F.col(is_target) if isinstance(is_target, str) else is_target
     # Rows are told apart by their own numbers here, for ids may repeat in and out of the target.
     numbered = materialise(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.coalesce(marked, F.lit(False)).alias("hot")), "marked")
-    blocks = _blocks(numbered)
-    hot = _of_target(blocks, numbered.filter("hot").select(F.col("doc_id").alias("mark_")))
-    width, pages = _sizes(blocks)
+    table = _blocks(numbered)
+    hot = _of_target(table, numbered.filter("hot").select(F.col("doc_id").alias("mark_")))
+    width, pages = _sizes(table)
 
     def merge(rows: pa.Table) -> pa.Table:
         _, keys, t, g = _decoded(rows)
         found, _, (t, g) = _summed(keys, t, g)
         return pa.table([rows.column("page").slice(0, 1), pa.array([len(found)]), *(pa.array([_packed(x)], pa.binary()) for x in (np.diff(found, prepend=np.uint64(0)), t, g))], names=["page", "n", "keys", "t", "g"])
 
-    counts = _entries(blocks, hot, width, pages).groupBy("page").applyInArrow(merge, "page long, n long, keys binary, t binary, g binary")
+    counts = _entries(table, hot, width, pages).groupBy("page").applyInArrow(merge, "page long, n long, keys binary, t binary, g binary")
     return Models(materialise(counts, "model"), width, pages)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of docs that the models have not counted: mean losses of a token in nats, and target less background. Texts without words, null ones too, have no losses."""
-    blocks = _blocks(docs)
-    hot = blocks.sparkSession.createDataFrame([], _HOT)
+    table = _blocks(docs)
+    hot = table.sparkSession.createDataFrame([], _HOT)
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         _, keys, t, g = _decoded(asked)
@@ -340,15 +301,15 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
             sums = [np.where(have[spot] == keys, x[spot], np.uint64(0)) for x in counts]
         return _answered(asked, np.arange(len(keys)), sums)
 
-    asked = _entries(blocks, hot, models.width, models.pages).groupBy("page")
+    asked = _entries(table, hot, models.width, models.pages).groupBy("page")
     # Pages of the model that nothing asks for answer nothing.
     sums = asked.cogroup(models.counts.groupBy("page")).applyInArrow(lambda a, k: answer(a, k) if a.num_rows else _none(_SUMS), _SUMS)
-    return _scores(blocks, sums, hot, models.width, counted=False)
+    return _scores(table, sums, hot, models.width, counted=False)
 
 
-def _of_target(blocks: DataFrame, marks: DataFrame) -> DataFrame:
+def _of_target(table: DataFrame, marks: DataFrame) -> DataFrame:
     """(_HOT) of the ids of blocks that marks (mark_), distinct, has. Only ids are dealt out."""
-    ids = blocks.select("block", F.explode("ids").alias("doc_id")).distinct()
+    ids = table.select("block", F.explode("ids").alias("doc_id")).distinct()
     return materialise(ids.join(marks, F.col("doc_id") == F.col("mark_")).select("block", "doc_id"), "hot")
 
 
@@ -362,14 +323,14 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     repeated rows count and are scored as often; other columns of docs have no influence; an empty table
     gives an empty one. The ids of the target meet the ids of blocks, without texts.
     """
-    blocks = _blocks(docs)
-    hot = _of_target(blocks, target_ids.select(F.col("doc_id").cast("long").alias("mark_")).filter("mark_ is not null").distinct())
-    width, pages = _sizes(blocks)
+    table = _blocks(docs)
+    hot = _of_target(table, target_ids.select(F.col("doc_id").cast("long").alias("mark_")).filter("mark_ is not null").distinct())
+    width, pages = _sizes(table)
 
     def total(rows: pa.Table) -> pa.Table:
         _, keys, t, g = _decoded(rows)
         _, at, sums = _summed(keys, t, g)
         return _answered(rows, at, sums)
 
-    sums = _entries(blocks, hot, width, pages).groupBy("page").applyInArrow(total, _SUMS)
-    return _scores(blocks, sums, hot, width, counted=True)
+    sums = _entries(table, hot, width, pages).groupBy("page").applyInArrow(total, _SUMS)
+    return _scores(table, sums, hot, width, counted=True)
