@@ -1,8 +1,9 @@
 """A linear-chain conditional random field that tags tokens as secret begin, inside or outside.
 
 A token's features are its shape, the kinds of the three tokens before and the one after it, and a
-feature of its file. Weights are fitted here, by gradient steps on the likelihood of labelled lines
-that labelled_lines() makes from a seed. Decoding is exact Viterbi. It skips what can't be a secret: where
+feature of its file: how many signs of assignments, quotes and brackets are in the whole of it. Weights
+are fitted here, by gradient steps on the likelihood of labelled lines of files that labelled_lines()
+makes from a seed. Decoding is exact Viterbi. It skips what can't be a secret: where
 outside scores above the other tags by more than any two transitions can give back, the best path is
 outside, so the chain falls into short stretches between such tokens.
 """
@@ -100,8 +101,17 @@ def _random(rng: random.Random, alphabet: str, low: int, high: int) -> str:
     return "".join(rng.choices(alphabet, k=rng.randint(low, high)))
 
 
+#: Of made-up files, by style: the chance of a secret in a line, that it has a name before it, and that a line has a code that only looks like one.
+STYLES = {"prose": (0.15, 0.9, 0.3), "notes": (0.5, 0.75, 0.1), "settings": (0.7, 0.75, 0.0)}
+
+
+def signs(kinds: list[int]) -> float:
+    """The share of tokens, by their kinds, that are assignment signs, quotes or brackets."""
+    return sum(kinds.count(KINDS.index(k)) for k in ("assign", "quote", "open")) / max(len(kinds), 1)
+
+
 def labelled_lines(n: int, seed: int) -> list[tuple[list[str], list[int], int]]:
-    """n made-up lines as tokens, tags and the kind of their file; about half hold a secret."""
+    """n made-up lines as tokens, tags and the kind of their file; files have some lines of one style each, and their kind is found from all their tokens."""
     rng = random.Random(seed)
     syllables = "th an in er on re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ung sch keit ión qué ée aux ö ü ß que mente ado cion elle eau".split()
     alnum = string.ascii_letters + string.digits
@@ -147,26 +157,39 @@ def labelled_lines(n: int, seed: int) -> list[tuple[list[str], list[int], int]]:
             )
         )()
 
-    out = []
-    for _ in range(n):
-        parts: list[tuple[str, bool]] = [(word(), False) for _ in range(rng.randint(2, 9))]
+    def line(style: str) -> tuple[list[str], list[int]]:
+        hot, named, coded = STYLES[style]
+        parts: list[tuple[str, bool]] = [(word(), False) for _ in range(rng.randint(8, 24) if style == "prose" else rng.randint(2, 9))]
         for _ in range(rng.choice((0, 0, 1, 2))):
             parts.insert(rng.randint(0, len(parts)), (harmless(), False))
-        if rng.random() < 0.5:
+        if rng.random() < coded:
+            parts.insert(rng.randint(0, len(parts)), (weak(), False))
+        if style == "settings":
+            parts[:0] = [(f"{rng.choice(syllables)}_{rng.choice(syllables)} {rng.choice('=:')} {rng.choice(('', '[', '{', chr(34)))}", False)]
+        if rng.random() < hot:
             at, quote = rng.randint(0, len(parts)), rng.choice(("", '"', "'", "`"))
-            if rng.random() < 0.75:
+            if rng.random() < named:
                 lead = rng.choice(KEYWORDS)
                 lead = rng.choice((lead, lead.upper(), lead.capitalize())) + rng.choice((" =", "=", ":", " :", " is", '":', " :="))
                 parts[at:at] = [(f"{lead} {quote}" if rng.random() < 0.7 else f"{lead}{quote}", False), (secret() if rng.random() < 0.6 else weak(), True), (quote, False)]
+            elif style == "settings" and rng.random() < 0.5:
+                parts[at:at] = [(f"{rng.choice(syllables)} = {quote}", False), (weak(), True), (quote, False)]
             else:
                 parts[at:at] = [(quote, False), (secret(), True), (quote, False)]
         tokens, tags = [], []
-        for text, hot in parts:
+        for text, is_hot in parts:
             found = TOKEN.findall(text)
             tokens += found
-            tags += [BEGIN if hot and not i else INSIDE if hot else OUTSIDE for i in range(len(found))]
-        out.append((tokens, tags, rng.randrange(FILES)))
-    return out
+            tags += [BEGIN if is_hot and not i else INSIDE if is_hot else OUTSIDE for i in range(len(found))]
+        return tokens, tags
+
+    out: list[tuple[list[str], list[int], int]] = []
+    while len(out) < n:
+        style = rng.choice(list(STYLES))
+        lines = [line(style) for _ in range(rng.randint(4, 16))]
+        file = file_kind(signs([kind(t) for tokens, _ in lines for t in tokens]))
+        out += [(tokens, tags, file) for tokens, tags in lines]
+    return out[:n]
 
 
 def _encode(tokens: list[str], file: int) -> np.ndarray:

@@ -28,6 +28,7 @@ CHUNK = 3 << 19
 REMEMBERED = 150_000
 
 Span = tuple[str, int, int]
+_SIGNS = [crf.KINDS.index(k) for k in ("assign", "quote", "open")]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -127,8 +128,8 @@ class Scanner:
         strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
         return starts, stops, strings
 
-    def tag(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        """Spans of each text that the model tags: a begin, or an inside after an outside, and the insides that follow."""
+    def tag(self, texts: list[str], file: int | None = None) -> list[list[tuple[int, int]]]:
+        """Spans of each text that the model tags: a begin, or an inside after an outside, and the insides that follow. file: the kind of the file, if texts are parts of one."""
         found: list[list[tuple[int, int]]] = [[] for _ in texts]
         lengths = np.array([len(t) for t in texts], np.int64)
         bounds = np.cumsum(lengths) - lengths
@@ -145,9 +146,11 @@ class Scanner:
         n = len(kinds)
         first = np.searchsorted(doc, np.arange(len(some)))
         place = np.arange(n) - first[doc]
-        signs = np.isin(kinds, [crf.KINDS.index(k) for k in ("assign", "quote", "open")])
-        share = np.bincount(doc, signs, len(some)) / np.maximum(np.bincount(doc, minlength=len(some)), 1)
-        file = (share > 0.02).astype(int) + (share > 0.12)
+        if file is None:
+            share = np.bincount(doc, np.isin(kinds, _SIGNS), len(some)) / np.maximum(np.bincount(doc, minlength=len(some)), 1)
+            files = np.array([crf.file_kind(x) for x in share.tolist()])
+        else:
+            files = np.full(len(some), file)
         score = known[:, :3][which]
         for i in range(3):
             near = np.full(n, edge)
@@ -156,7 +159,7 @@ class Scanner:
             score += self.model.before[i][near]
         near = np.append(kinds[1:], edge)
         near[np.append(doc[1:] != doc[:-1], True)] = edge
-        score += self.model.after[near] + self.model.file[file[doc]]
+        score += self.model.after[near] + self.model.file[files[doc]]
         open_ = np.flatnonzero(score[:, 0] - score[:, 1:].max(1) <= self.model.safe)
         if not len(open_):
             return found
@@ -187,22 +190,38 @@ class Scanner:
                 group.append(text)
 
     def _long(self, text: str) -> list[tuple[int, int]]:
-        """A long text in parts that end at white space; what a part finds near its ends comes from parts around them."""
-        found, at, margin = [], 0, 1 << 14
+        """A long text in parts that end at white space; what a part finds near its ends comes from parts around them. The kind of its file is that of all parts."""
+        parts, at = [], 0
         while at < len(text):
             end = min(len(text), at + CHUNK)
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            parts.append((at, end))
+            at = end
+        signs = total = 0
+        for a, b in parts:
+            strings = self.tokens(text[a:b], np.zeros(1, np.int64))[2]
+            kinds = self._known(strings.dictionary.to_pylist())[:, 3].astype(np.int64)[strings.indices.to_numpy()]
+            signs, total = signs + int(np.isin(kinds, _SIGNS).sum()), total + len(kinds)
+        file, found, margin = crf.file_kind(signs / max(total, 1)), [], 1 << 14
+        for at, end in parts:
             a, b = max(0, at - margin), min(len(text), end + margin)
             while a > 0 and not text[a - 1].isspace():
                 a -= 1
             while b < len(text) and not text[b].isspace():
                 b += 1
-            found += [(s + a, e + a) for s, e in self.tag([text[a:b]])[0] if at <= s + a < end]
-            at = end
+            found += [(s + a, e + a) for s, e in self.tag([text[a:b]], file)[0] if at <= s + a < end]
         return found
 
 
 def merged(base: list[Span], tagged: list[tuple[int, int]]) -> list[Span]:
-    extra = [("crf", a, b) for a, b in tagged if not any(s <= a and b <= e for _, s, e in base)]
+    """base, by start, and of tagged what no base span holds."""
+    extra, upto, i = [], -1, 0
+    for a, b in sorted(tagged):
+        while i < len(base) and base[i][1] <= a:
+            upto, i = max(upto, base[i][2]), i + 1
+        if b > upto:
+            extra.append(("crf", a, b))
     return sorted([*base, *extra], key=lambda s: (s[1], KINDS.index(s[0])))
 
 
