@@ -63,10 +63,12 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 #: Bytes of an Arrow batch at most: whole texts are large, and a batch exists on both sides.
 BATCH = 8 << 20
 _held: dict[object, object] = {}
+_asked: list[object] = []
 
 
 def held(key: object, make: Callable[[], object]):
-    """What a worker keeps from task to task: one thing at a time, the last asked for."""
+    """What a worker keeps from task to task: one thing at a time, the last asked for, till a task asks for nothing."""
+    _asked.append(key)
     if key not in _held:
         _held.clear()
         _held[key] = make()
@@ -101,8 +103,12 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     send(df.sparkSession)
 
     def tidied(batches: Iterator) -> Iterator:
+        _asked.clear()
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                if not _asked:
+                    _held.clear()
+                yield batch
         finally:
             _tidy()
 

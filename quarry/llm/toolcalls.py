@@ -4,7 +4,8 @@ Calls and results meet in a hash join by conversation and identifier. A call com
 names in `after`. Transcripts are mostly in such an order already, so a call keeps its place unless
 something it needs stands later; then it moves behind the last call that it needs, directly or not.
 Both the moves and the order among calls that moved to one place are found for whole tables at a time,
-so that a conversation with very many calls is not one task. Column expressions only.
+so that a conversation with very many calls is not one task, and by jumps whose reach doubles, so that
+a long chain of calls takes few rounds. Column expressions only.
 """
 
 from __future__ import annotations
@@ -60,38 +61,61 @@ def _errors(arguments: Column, params: Column, known: Column) -> Column:
 
 
 def _places(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, at, step, cyclic) of calls that must move: the place they move to, their order there, and whether they need themselves.
+    """(conv_id, call_id, at, step, cyclic) of calls that must move: the place they move to, their order there, and whether they need themselves or must move behind a call that does; such calls have no step.
 
     calls: (conv_id, call_id, at, after), ids unique. at is the call's own place, comparable in its
-    conversation.
+    conversation. A step is one more than the largest step of what a call needs among those that moved
+    to the same place.
     """
+    key = ["conv_id", "call_id"]
     calls = calls.filter("conv_id is not null and call_id is not null")
-    needs = calls.select("conv_id", "call_id", "at", F.explode(F.array_distinct("after")).alias("need"))
-    place = calls.select(F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_id"), F.col("at").alias("n_at"))
-    edges = needs.join(place, (F.col("conv_id") == F.col("n_conv")) & (F.col("need") == F.col("n_id"))).select("conv_id", "call_id", "at", "need", "n_at")
-    edges = materialise(edges, "needs")
-    moved = edges.groupBy("conv_id", "call_id").agg(F.first("at").alias("own"), F.max("n_at").alias("at")).filter("at >= own")
-    moved = materialise(moved.select("conv_id", "call_id", "at"), "moved")
-    n = -1
-    while (marks := moved.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("conv_id", "call_id", "at")).alias("x")).first()) != n and marks["n"]:
-        n = marks
-        # What needs a call that moved may have to move behind it.
-        later = edges.join(moved.select(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id"), F.col("at").alias("m_at")), (F.col("conv_id") == F.col("m_conv")) & (F.col("need") == F.col("m_id")))
-        later = later.filter("m_at >= at").select("conv_id", "call_id", F.col("m_at").alias("at"))
-        moved = materialise(moved.unionByName(later).groupBy("conv_id", "call_id").agg(F.max("at").alias("at")), "moved")
-    # Among calls that moved to one place, those whose needs are placed go first, round by round.
-    group = moved.select(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id"), F.col("at").alias("m_at"))
-    inner = edges.drop("at").join(moved, ["conv_id", "call_id"]).join(group, (F.col("conv_id") == F.col("m_conv")) & (F.col("need") == F.col("m_id")) & (F.col("at") == F.col("m_at")))
-    inner = materialise(inner.select("conv_id", "call_id", "need"), "inner")
-    placed = moved.withColumn("step", F.lit(None).cast("long")).limit(0)
-    rest, step = moved, 1
-    while not rest.isEmpty():
-        blocked = inner.join(rest.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi").select("conv_id", "call_id").distinct()
-        free = materialise(rest.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("step", F.lit(step).cast("long")), "placed")
-        if free.isEmpty():
+    needs = calls.select(*key, "at", F.explode(F.array_distinct("after")).alias("need"))
+    place = calls.select("conv_id", F.col("call_id").alias("need"), F.col("at").alias("n_at"))
+    edges = materialise(needs.join(place, ["conv_id", "need"]).select(*key, "at", "need", "n_at"), "needs")
+    best = F.max(F.struct("at", "seen")).alias("best")
+    moved = edges.groupBy(*key).agg(F.first("at").alias("own"), F.max(F.struct(F.col("n_at").alias("at"), F.col("need").alias("seen"))).alias("best")).filter("best.at >= own")
+    moved = materialise(moved.select(*key, "best.*"), "moved")
+    mark = None
+    while (now := moved.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("conv_id", "call_id", "at")).alias("x")).first()) != mark and now["n"]:
+        mark = now
+        known = moved.select("conv_id", F.col("call_id").alias("need"), F.col("at").alias("m_at"), F.col("seen").alias("m_seen"))
+        # What needs a call that moved may have to move behind it; and behind what the call it moved to has moved to.
+        later = edges.join(known, ["conv_id", "need"]).filter("m_at >= at").select(*key, F.col("m_at").alias("at"), F.col("m_seen").alias("seen"))
+        jump = moved.select(*key, F.col("seen").alias("need")).join(known, ["conv_id", "need"]).select(*key, F.col("m_at").alias("at"), F.col("m_seen").alias("seen"))
+        moved = materialise(moved.unionByName(later).unionByName(jump).groupBy(*key).agg(best).select(*key, "best.*"), "moved")
+    moved = moved.select(*key, "at")
+    group = moved.select("conv_id", F.col("call_id").alias("need"), F.col("at").alias("m_at"))
+    inner = edges.drop("at").join(moved, key).join(group, ["conv_id", "need"]).filter(F.col("at") == F.col("m_at"))
+    inner = materialise(inner.select(*key, "need"), "inner")
+    # A call that needs one other of its place leads on to it; the others are heads, which chains end at.
+    degree = inner.groupBy(*key).agg(F.count("*").alias("needs"), F.max("need").alias("to"))
+    one = F.col("needs") == 1
+    chains = moved.join(degree, key, "left").select(*key, "at", F.coalesce("needs", F.lit(0)).alias("needs"), F.when(one, F.col("to")).otherwise(F.col("call_id")).alias("to"), one.cast("long").alias("far"))
+    chains = materialise(chains.withColumn("far", F.coalesce("far", F.lit(0).cast("long"))), "chains")
+    on = lambda df: df.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("t_to"), F.col("far").alias("t_far"))
+    # Chains with an end have members at every distance from it, so a round that brings none to its end leaves circles only.
+    left, before = chains.filter("far > 0").count(), -1
+    while left not in (0, before):
+        jumped = chains.join(on(chains), ["conv_id", "to"]).select(*key, "at", "needs", F.col("t_to").alias("to"), (F.col("far") + F.col("t_far")).alias("far"), (F.col("t_far") > 0).alias("on"))
+        chains = materialise(jumped, "chains")
+        left, before = chains.filter("on").count(), left
+    head = chains.select("conv_id", F.col("call_id").alias("to"), F.col("needs").alias("h_needs"))
+    done = materialise(chains.filter("needs = 0").select(*key, F.lit(1).cast("long").alias("step")), "steps")
+    # A head that needs several comes after the heads of their chains are placed: as many rounds as such calls are nested.
+    wide = inner.join(chains.filter("needs > 1").select(*key), key, "left_semi")
+    ends = chains.select("conv_id", F.col("call_id").alias("need"), "to", "far")
+    wide = materialise(wide.join(ends, ["conv_id", "need"]).select(*key, "to", "far"), "wide")
+    while not wide.isEmpty():
+        known = done.select("conv_id", F.col("call_id").alias("to"), "step")
+        ready = wide.join(known, ["conv_id", "to"], "left").groupBy(*key).agg(F.max(F.col("step") + F.col("far")).alias("step"), F.bool_and(F.col("step").isNotNull()).alias("all"))
+        ready = materialise(ready.filter("all").select(*key, (F.col("step") + 1).alias("step")), "ready")
+        if ready.isEmpty():
             break
-        placed, rest, step = placed.unionByName(free), materialise(rest.join(blocked, ["conv_id", "call_id"], "left_semi"), "rest"), step + 1
-    return placed.withColumn("cyclic", F.lit(False)).unionByName(rest.withColumns({"step": F.lit(step).cast("long"), "cyclic": F.lit(True)}))
+        done, wide = materialise(done.unionByName(ready), "steps"), materialise(wide.join(ready.select(*key), key, "left_anti"), "wide")
+    # What leads to no head, or to one that is never placed, is on a circle or needs one.
+    found = chains.join(head, ["conv_id", "to"]).join(done.select("conv_id", F.col("call_id").alias("to"), F.col("step").alias("h_step")), ["conv_id", "to"], "left")
+    step = F.when(F.col("h_needs") != 1, F.col("h_step") + F.col("far"))
+    return found.select(*key, "at", step.alias("step"), step.isNull().alias("cyclic"))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
@@ -102,13 +126,17 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     (name, type, required, options).
 
     Returns conv_id, call_id, turn, n, place, step (order by place, step, turn, n is topological),
-    cyclic (the call needs itself, or one that does), status (linked, unanswered, orphan or repeated),
+    cyclic (the call needs itself, or must move behind one that does; it keeps its own place), status (linked, unanswered, orphan or repeated),
     n_results, errors, and message: canonical JSON, with sorted keys and no spaces, of the call and its
-    first result. Of several calls of one id, the first is linked and the others are repeated; of
+    first result. Of several calls of one id, equal rows too, the first is linked and the others are repeated; of
     several results the first by turn and content counts. Rows with null identifiers join nothing:
-    such calls are unanswered, such results orphans. Unknown ids in after are ignored.
+    such calls are unanswered, such results orphans. Unknown ids in after are ignored. Other columns
+    have no influence; very long texts are contents like any; empty tables give what the others have.
     """
-    calls = materialise(calls.select("conv_id", F.col("turn").cast("long"), F.col("n").cast("long"), "call_id", "name", "arguments", "after"), "calls")
+    calls = calls.select("conv_id", F.col("turn").cast("long"), F.col("n").cast("long"), "call_id", "name", "arguments", "after")
+    # Equal rows are numbered by their count, not by a window, as they may be very many.
+    calls = calls.groupBy(*calls.columns).agg(F.count("*").alias("copies"))
+    calls = materialise(calls.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copies"), "calls")
     own = F.struct("turn", "n")
     firsts = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "n", "name", "arguments", "after")).alias("f"))
     key = ["conv_id", "call_id"]
@@ -117,7 +145,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     same = lambda a, b: (a["conv_id"] == b["conv_id"]) & (a["call_id"] == b["call_id"])
     first = F.struct("turn", "n", "name", "arguments", "after")
     c = calls.join(firsts.withColumnsRenamed({"conv_id": "f_conv", "call_id": "f_id"}), (F.col("conv_id") == F.col("f_conv")) & (F.col("call_id") == F.col("f_id")), "left")
-    c = c.withColumn("repeated", F.coalesce(first != F.col("f"), F.lit(False))).drop("f_conv", "f_id", "f")
+    c = c.withColumn("repeated", F.coalesce((first != F.col("f")) | (F.col("copy") > 1) & F.col("f").isNotNull(), F.lit(False))).drop("copy", "f_conv", "f_id", "f")
     joined = c.join(answers, same(c, answers), "full")
     joined = joined.select(F.coalesce(c["conv_id"], answers["conv_id"]).alias("conv_id"), F.coalesce(c["call_id"], answers["call_id"]).alias("call_id"), c["name"], c["turn"], c["n"], "arguments", "repeated", "n_results", "answer")
     moves = moves.withColumnsRenamed({"conv_id": "m_conv", "call_id": "m_id", "at": "m_at"})
@@ -130,7 +158,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     field = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f'"{name}":'), F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":|\}$', "")))
     arguments = F.when(F.col("parsed").isNotNull(), F.concat(F.lit('"arguments":'), F.to_json("parsed")))
     message = F.concat(F.lit("{"), F.concat_ws(",", arguments, field("id", F.col("call_id")), field("name", F.col("name")), field("result", F.when(~F.coalesce("repeated", F.lit(False)), F.col("answer.content")))), F.lit("}"))
-    place = F.coalesce("m_at", F.when(called, own), F.struct(F.col("answer.turn").alias("turn"), F.lit(None).cast("long").alias("n")))
+    place = F.coalesce(F.when(F.col("cyclic"), F.lit(None)).otherwise(F.col("m_at")), F.when(called, own), F.struct(F.col("answer.turn").alias("turn"), F.lit(None).cast("long").alias("n")))
     return joined.select(
         "conv_id",
         "call_id",

@@ -96,13 +96,44 @@ def dice(a, b):
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
 
 
+def plain_windows(text):
+    """Windows that start as far before an anchor as in the template."""
+    if "\n" not in text or not any(h in text.lower() for h in licences.HINTS):
+        return set()
+    words, lines = licences._words(text), [len(licences._words(x)) for x in text.split("\n")]
+    found = set()
+    for (name, n, anchors), t in zip(licences._windows(), [licences._words(t) for ts in licences.TEMPLATES.values() for t in ts], strict=True):
+        assert (n >= licences.LONG) == bool(anchors) and all(f"{t[o]} {t[o + 1]}" == g for o, g in anchors)
+        for o, g in anchors:
+            for i in range(len(words) - 1):
+                at = max(i - o, 0)
+                if f"{words[i]} {words[i + 1]}" == g and (d := dice(words[at : at + n], t)) >= licences.LEAST:
+                    found.add((round(d, 12), name, 1 + sum(sum(lines[: k + 1]) <= at for k in range(len(lines)))))
+    return found
+
+
+def test_wrapped_notices_and_whole_licences_are_found(spark):
+    import textwrap
+
+    notice = textwrap.wrap(licences.TEMPLATES["GPL-3.0"][1], 70)
+    code = [f"value_{i} = compute({i}) + other[{i}]" for i in range(80)]
+    commented = "\n".join(["/*", *[f" * {x}" for x in notice], " */", *code])
+    middle = "\n".join([*code[:30], *textwrap.wrap(licences.TEMPLATES["MIT"][2], 60), *code[30:]])
+    bsd = "\n".join(["Copyright (c) 2020, Someone", "All rights reserved.", "", *textwrap.wrap(licences.TEMPLATES["BSD-2-Clause"][0], 75)])
+    one_line = "Some words before. " + licences.TEMPLATES["MPL-2.0"][0] + " And words after it, quite a few of them, to the end of this line.\nend"
+    docs = spark.createDataFrame(list(enumerate([commented, middle, bsd, one_line, "\n".join(code)])), "doc_id int, text string")
+    rows = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert [(rows[i]["licence"], rows[i]["line"]) for i in range(5)] == [("GPL-3.0", 2), ("MIT", 31), ("BSD-2-Clause", 4), ("MPL-2.0", 1), (None, None)]
+
+
 def test_licences_equal_brute_force(spark, docs, odd_docs, empty_docs):
     mit, apache = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["Apache-2.0"][1]
-    texts = ["# " + mit.replace(". ", ".\n# "), mit.upper(), "some prose\nreleased under the mit licence.\nReleased under the MIT License!\nend", apache.replace("License", "license") + " Copyright 2020", "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.", "no licence here", "", None, " ".join(mit.split()[:60]), "Licensed under"]
+    texts = ["# " + mit.replace(". ", ".\n# "), mit.upper(), "some prose\nreleased under the mit licence.\nReleased under the MIT License!\nend", apache.replace("License", "license") + " Copyright 2020", "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0.", "no licence here", "", None, " ".join(mit.split()[:60]), "Licensed under", "a b\n# " + apache.replace(" ", "\n", 40) + "\n" + mit.replace("software", "thing").replace(". ", ".\n") + "\nmore"]
     rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
     for r, text in zip(rows, texts, strict=True):
         segments = list(enumerate((text or "").split("\n"), 1)) + ([(0, text)] if "\n" in (text or "") else [])
         want = {(round(d, 12), name, i) for i, s in segments for name, ts in licences.TEMPLATES.items() for t in ts if (d := dice(licences._words(s), licences._words(t))) >= licences.LEAST}
+        want |= plain_windows(text or "")
         assert {(round(m["dice"], 12), m["licence"], m["line"]) for m in r["matches"]} == want
         best = min(want, key=lambda m: (-m[0], m[1], m[2]), default=(None,) * 3)
         assert (r["licence"], r["line"]) == best[1:]

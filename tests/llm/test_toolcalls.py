@@ -65,6 +65,51 @@ def test_order_is_topological(spark, tools):
     assert [x for x in order if x in "adl"] == ["a", "d", "l"]  # what needs nothing later stays
 
 
+def test_long_chains_and_nested_needs_equal_plain_python(spark, tools):
+    """600 calls in reverse order, and calls with several needs, some on circles: places and steps as found by following all needs."""
+    import random
+
+    rng = random.Random(3)
+    calls = [(1, i, 0, f"c{i}", "free", "{}", [f"c{i + 1}"]) for i in range(600)]
+    needs = {(1, f"c{i}"): [f"c{i + 1}"] for i in range(600)}
+    for conv in range(2, 40):
+        for i in range(12):
+            needs[conv, f"c{i}"] = [f"c{j}" for j in rng.sample(range(13), rng.choice((0, 0, 1, 1, 2, 3)))]
+            calls.append((conv, i, 0, f"c{i}", "free", "{}", needs[conv, f"c{i}"]))
+    rows = {(r["conv_id"], r["call_id"]): r for r in run(spark, calls, [], tools)}
+    at = {(c[0], c[3]): c[1] for c in calls}
+    below = {}
+    for v in reversed(at):  # of chains the end first
+        seen, todo = set(), [v]
+        while todo:
+            for n in needs[todo.pop()]:
+                if (u := (v[0], n)) in at and u not in seen:
+                    seen.add(u)
+                    if u in below:
+                        seen |= below[u]
+                    else:
+                        todo.append(u)
+        below[v] = seen
+    circle = {v for v, seen in below.items() if v in seen}
+    far = {v: max((at[u] for u in seen), default=-1) for v, seen in below.items()}
+    cyclic = {v for v, seen in below.items() if far[v] >= at[v] and any(far[u] == far[v] for u in seen & circle)}
+    place = {v: at[v] if v in cyclic else max(at[v], far[v]) for v in at}
+    assert {v for v, r in rows.items() if r["cyclic"]} == cyclic and 20 < len(cyclic)
+    assert {v: r["place"]["turn"] for v, r in rows.items()} == place
+    steps = {}
+    for v in sorted(at, key=lambda v: len(below[v])):
+        if v not in cyclic:
+            inner = [u for n in needs[v] if (u := (v[0], n)) in at and u not in cyclic and place[u] == place[v] and place[u] > at[u]]
+            steps[v] = 0 if place[v] == at[v] else 1 + max([0, *(steps[u] for u in inner)])
+    assert {v: rows[v]["step"] for v in steps} == steps and max(steps.values()) == 599
+
+
+def test_equal_rows_are_repeated(spark, tools):
+    calls = [(1, 1, 0, "a", "free", "{}", None)] * 3 + [(1, 2, 0, None, "free", "{}", ["a"])] * 2
+    rows = run(spark, calls, [(1, 3, "a", "x")], tools)
+    assert sorted((str(r["call_id"]), r["status"]) for r in rows) == [("None", "unanswered")] * 2 + [("a", "linked")] + [("a", "repeated")] * 2
+
+
 def test_messages_and_empty_tables(spark, tools):
     call = json.dumps({"tool_calls": [{"id": "x", "name": "free", "arguments": "{}"}, {"id": "y", "name": "free", "arguments": '{"b":1}', "after": ["x"]}]})
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", call), (1, 2, "tool", json.dumps({"tool_call_id": "x", "content": "done"})), (1, 3, "assistant", "prose"), (1, 4, "tool", None)]
