@@ -143,16 +143,15 @@ def gods(classes: DataFrame, rules: dict[str, int], least: int = 2) -> DataFrame
 
 
 def convention(name: Column) -> Column:
-    """How a file's stem is written, if in a known way."""
-    letters = name.rlike("[A-Za-z]")
+    """How a file's stem is written, if in a known way. Signs and digits have no case, so they break none."""
     lower = F.lower(name) == name
-    first = F.substring(name, 1, 1)
+    dashed = name.contains("-")
     return (
-        F.when(name.contains("-") & lower & letters, "kebab-case")
-        .when(first.rlike("[A-Z]") & ~name.contains("-"), "PascalCase")
-        .when(first.rlike("[a-z]") & name.rlike("[A-Z]") & ~name.contains("-"), "camelCase")
-        .when(name.contains("_") & lower & letters, "snake_case")
-        .when(name.rlike("^[a-z0-9]+$"), "flat_lower")
+        F.when(dashed & lower, "kebab-case")
+        .when(name.rlike(r"^\p{Lu}") & ~dashed, "PascalCase")
+        .when(name.rlike(r"^\p{Ll}") & name.rlike(r"\p{Lu}") & ~dashed, "camelCase")
+        .when(name.contains("_") & lower, "snake_case")
+        .when(lower & name.rlike(r"\p{Ll}") & ~dashed, "flat_lower")
     )
 
 

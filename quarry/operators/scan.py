@@ -150,16 +150,49 @@ def census(files: DataFrame, families: dict[str, str], least_areas: int = 5, rar
     return out.select("area", "family", "files", "areas", ((F.col("total") >= least_areas) & (F.col("areas") < rare * F.col("total"))).alias("outlier"))
 
 
-def test_quality(files: DataFrame, asserts: str, mocks: str, snapshots: str, functions: str) -> DataFrame:
-    """(path, asserts, mocks, snapshots, functions, quality) of test files, by numbers of lines with each pattern."""
+# Comparisons and existence checks in tests of scripts, literals without quotes, and labels of placeholders.
+COMPARISON = r"expect\(\s*([^)]+?)\s*\)\s*\.(?:toBe|toEqual|toStrictEqual)\(\s*([^)]+?)\s*\)"
+DEFINED = r"\.toBeDefined\s*\("
+LITERALS = ("true", "false", "null", "undefined")
+PLACEHOLDER = r"(?i)\bcoverage smoke\b|\bdirect test coverage entry\b|\bplaceholder\b"
+
+
+def _literal(token: Column) -> Column:
+    """What a literal stands for; null for anything else, whose value is not known."""
+    t = F.regexp_replace(F.trim(token), ";+$", "")
+    quoted = t.rlike("^(['\"`])(?s:.*)\\1$") & (F.length(t) >= 2)
+    number = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
+    return F.when(t.isin(*LITERALS), t).when(t.rlike(r"^[+-]?\d+(\.\d+)?$"), number).when(quoted, F.concat(F.lit("str:"), F.substring(t, F.lit(2), F.length(t) - 2)))
+
+
+def placeholder(content: Column, asserts: Column, functions: Column) -> Column:
+    """Whether tests only look like tests: literals compared with themselves are all their assertions, with a label that says so or one a test at most, or half of them, with a label; or all are checks that something exists, with a label or three imports at run time."""
+    same = F.size(F.filter(lines(content), lambda x: _literal(F.regexp_extract(x, COMPARISON, 1)) == _literal(F.regexp_extract(x, COMPARISON, 2))))
+    weak = F.size(F.filter(lines(content), lambda x: x.rlike(DEFINED) & ~x.rlike(COMPARISON)))
+    label, imports = content.rlike(PLACEHOLDER), F.regexp_count(content, F.lit(r"\bimport\s*\("))
+    whole = (same > 0) & (((same >= asserts) & (label | (asserts <= functions))) | (label & (same >= 0.5 * asserts)))
+    return (asserts > 0) & (functions > 0) & (whole | ((weak > 0) | (same > 0)) & (weak >= asserts) & (label | (imports >= 3)))
+
+
+def test_quality(files: DataFrame, asserts: str, mocks: str, snapshots: str, functions: str, comments: str | None = None) -> DataFrame:
+    """(path, asserts, mocks, snapshots, functions, quality) of test files, by numbers of lines with each pattern. comments: what is taken out of files first."""
+    if comments:
+        files = files.withColumn("content", F.regexp_replace("content", comments, ""))
     l = lines("content")  # noqa: E741
     count = lambda p: F.size(F.filter(l, lambda x: x.rlike(p)))
-    rows = files.select("path", count(asserts).alias("asserts"), count(mocks).alias("mocks"), count(snapshots).alias("snapshots"), F.regexp_count("content", F.lit("(?m)" + functions)).alias("functions"))
+    rows = files.select("path", count(asserts).alias("asserts"), count(mocks).alias("mocks"), count(snapshots).alias("snapshots"), F.regexp_count("content", F.lit("(?m)" + functions)).alias("functions"), "content")
     a, m, s, f = (F.col(x) for x in ("asserts", "mocks", "snapshots", "functions"))
     quality = (
-        F.when(f == 0, "no_tests").when(a == 0, "assertion_free").when(m > a, "over_mocked").when((s > 0) & (s > a * 0.5), "snapshot_heavy").when(a / f < 1, "smoke").when(a / f >= 3, "thorough").otherwise("adequate")
+        F.when(f == 0, "no_tests")
+        .when(a == 0, "assertion_free")
+        .when(placeholder(F.col("content"), a, f), "placeholder_smoke")
+        .when(m > a, "over_mocked")
+        .when((s > 0) & (s > a * 0.5), "snapshot_heavy")
+        .when(a / f < 1, "smoke")
+        .when(a / f >= 3, "thorough")
+        .otherwise("adequate")
     )
-    return rows.withColumn("quality", quality)
+    return rows.withColumn("quality", quality).drop("content")
 
 
 def coverage_potential(files: DataFrame) -> DataFrame:

@@ -64,18 +64,18 @@ POTENTIALS = "potentials AS (SELECT lang, detector, count(*) * 2 + 7 AS potentia
 
 
 def two_scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """State after a scan of the first half, and the findings of a scan of the second: one for each detector and user, by the first event of three."""
-    f = findings(spark, sf_dir).filter("event_id % 3 = 0").withColumn("file", F.concat(F.lit("src/area"), F.col("user_id") % 7, F.lit("/user_"), F.col("user_id"), F.lit(".py")))
+    """State after a scan of the first half, and the findings of a scan of the second: one for each detector, user and smell, by its first event."""
+    f = findings(spark, sf_dir).withColumn("file", F.concat(F.lit("src/area"), F.col("user_id") % 7, F.lit("/user_"), F.col("user_id"), F.lit(".py")))
 
     def scan(rows: DataFrame) -> DataFrame:
-        first = rows.groupBy("detector", "file").agg(F.min_by(F.struct("tier", "confidence", "status", "zone", "lang", "suppressed", "reopen_count", "first_seen", "user_id"), "event_id").alias("f"))
-        return first.select(F.concat_ws("::", "detector", "file").alias("id"), "detector", "file", "f.*")
+        first = rows.groupBy("detector", "file", "smell_id").agg(F.min_by(F.struct("tier", "confidence", "status", "zone", "lang", "suppressed", "reopen_count", "first_seen", "user_id"), "event_id").alias("f"))
+        return first.select(F.concat_ws("::", "detector", "file", "smell_id").alias("id"), "detector", "file", "f.*")
 
     return scan(f.filter(F.col("first_seen") < CUT)), scan(f.filter(F.col("first_seen") >= CUT))
 
 
-SCANS = f"""one AS (SELECT * REPLACE ('src/area' || (user_id % 7) || '/user_' || user_id || '.py' AS file) FROM findings WHERE event_id % 3 = 0),
-firsts AS (SELECT detector || '::' || file AS id, detector, file, first_seen < TIMESTAMP '{CUT}' AS old, arg_min({{'tier': tier, 'confidence': confidence, 'status': status, 'zone': zone, 'lang': lang, 'suppressed': suppressed, 'reopen_count': reopen_count, 'first_seen': first_seen, 'user_id': user_id}}, event_id) AS f FROM one GROUP BY ALL),
+SCANS = f"""one AS (SELECT * REPLACE ('src/area' || (user_id % 7) || '/user_' || user_id || '.py' AS file) FROM findings),
+firsts AS (SELECT detector || '::' || file || '::' || smell_id AS id, detector, file, first_seen < TIMESTAMP '{CUT}' AS old, arg_min({{'tier': tier, 'confidence': confidence, 'status': status, 'zone': zone, 'lang': lang, 'suppressed': suppressed, 'reopen_count': reopen_count, 'first_seen': first_seen, 'user_id': user_id}}, event_id) AS f FROM one GROUP BY ALL),
 state AS (SELECT id, detector, file, f.tier AS tier, f.confidence AS confidence, f.status AS status, f.zone AS zone, f.lang AS lang, f.suppressed AS suppressed, f.reopen_count AS reopen_count, f.first_seen AS first_seen, f.user_id AS user_id FROM firsts WHERE old),
 current AS (SELECT id, detector, file, f.tier AS tier, f.confidence AS confidence, f.status AS status, f.zone AS zone, f.lang AS lang, f.suppressed AS suppressed, f.reopen_count AS reopen_count, f.first_seen AS first_seen, f.user_id AS user_id FROM firsts WHERE NOT old)"""
 
@@ -108,29 +108,27 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS = "paths AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^?#]+)', 1), '/$', '') AS path, length(html)::BIGINT AS loc FROM pages)"
 
 
-def edges(spark: SparkSession, sf_dir: str, keep: int = 283) -> DataFrame:
-    """Line items as imports between files, one for each supplier; a rule thins them to about two from each file."""
-    n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
-    li = table(spark, sf_dir, "lineitem").filter(f"(7 * l_orderkey + l_linenumber) % {keep} = 0")
-    pair = li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n + 1).alias("dst"), (F.col("l_linenumber") == 7).alias("deferred"))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as imports between orders of one group of sixteen: of the larger by the smaller key from the first five lines, the other way from others; those of a seventh line are deferred."""
+    key = F.col("l_orderkey")
+    other = key - key % 16 + F.col("l_partkey") % 16
+    up = F.col("l_linenumber") > 5
+    pair = table(spark, sf_dir, "lineitem").select(F.when(up, F.least(key, other)).otherwise(F.greatest(key, other)).alias("src"), F.when(up, F.greatest(key, other)).otherwise(F.least(key, other)).alias("dst"), (F.col("l_linenumber") == 7).alias("deferred"))
     return pair.filter("src <> dst").groupBy("src", "dst").agg(F.bool_and("deferred").alias("deferred"))
 
 
-def _edges_sql(keep: int = 283) -> str:
-    return f"edges AS (SELECT src, dst, bool_and(l_linenumber = 7) AS deferred FROM (SELECT l_suppkey AS src, l_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst, l_linenumber FROM lineitem WHERE (7 * l_orderkey + l_linenumber) % {keep} = 0) WHERE src <> dst GROUP BY ALL)"
-
-
-EDGES = _edges_sql()
+EDGES = """edges AS (SELECT CASE WHEN up THEN least(k, o) ELSE greatest(k, o) END AS src, CASE WHEN up THEN greatest(k, o) ELSE least(k, o) END AS dst, bool_and(last) AS deferred
+    FROM (SELECT l_orderkey AS k, l_orderkey - l_orderkey % 16 + l_partkey % 16 AS o, l_linenumber > 5 AS up, l_linenumber = 7 AS last FROM lineitem) WHERE k <> o GROUP BY 1, 2)"""
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as files: every fifth shared code, the others in one of six tools."""
-    s = F.col("s_suppkey")
+    """Orders as files: every fifth shared code, the others in one of six tools."""
+    s = F.col("o_orderkey")
     path = F.when(s % 5 == 0, F.concat(F.lit("src/shared/m"), s, F.lit(".ts"))).otherwise(F.concat(F.lit("src/tools/t"), s % 6, F.lit("/m"), s, F.lit(".ts")))
-    return table(spark, sf_dir, "supplier").select(s.alias("node"), path.alias("path"), (s * 37 % 400).alias("loc"))
+    return table(spark, sf_dir, "orders").select(s.alias("node"), path.alias("path"), (s * 37 % 400).alias("loc"))
 
 
-MODULES = "modules AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 5 = 0 THEN 'src/shared/m' || s_suppkey || '.ts' ELSE 'src/tools/t' || (s_suppkey % 6) || '/m' || s_suppkey || '.ts' END AS path, s_suppkey * 37 % 400 AS loc FROM supplier)"
+MODULES = "modules AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 5 = 0 THEN 'src/shared/m' || o_orderkey || '.ts' ELSE 'src/tools/t' || (o_orderkey % 6) || '/m' || o_orderkey || '.ts' END AS path, o_orderkey * 37 % 400 AS loc FROM orders)"
 
 
 def file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,10 +73,18 @@ def _count(p: str) -> str:
     return f"len(list_filter(ls, lambda x: regexp_matches(x, '{p}')))"
 
 
-@query(f"""{_C}, l AS (SELECT path, content, {_SPLIT} AS ls FROM corpus), c AS (SELECT path, {_count("[aeiou]the[a-z]")}::INTEGER AS asserts, {_count("tion[a-z]")}::INTEGER AS mocks, {_count("[0-9]{4}")}::INTEGER AS snapshots, len(regexp_extract_all(content, '(?m)^[A-Z][a-z]+ '))::INTEGER AS functions FROM l)
-SELECT *, CASE WHEN functions = 0 THEN 'no_tests' WHEN asserts = 0 THEN 'assertion_free' WHEN mocks > asserts THEN 'over_mocked' WHEN snapshots > 0 AND snapshots > asserts * 0.5 THEN 'snapshot_heavy' WHEN asserts / functions < 1 THEN 'smoke' WHEN asserts / functions >= 3 THEN 'thorough' ELSE 'adequate' END AS quality FROM c""")
+_TESTS = """CASE WHEN doc_id % 5 = 0 THEN 'it placeholder' || chr(10) || 'expect(true).toBe(true);' || chr(10) || '# expect(y)' WHEN doc_id % 5 = 1 THEN content || chr(10) || 'it a' || chr(10) || 'expect( ''a'' ).toEqual("a")' || chr(10) || 'expect(b).toBe(b)' || chr(10) || '# expect(c)' ELSE content END"""
+
+
+@query(f"""{_C}, k AS (SELECT path, regexp_replace({_TESTS}, '(?m)#.*$', '', 'g') AS content FROM corpus), l AS (SELECT path, content, {_SPLIT} AS ls FROM k),
+c AS (SELECT path, content, {_count("[aeiou]the[a-z]|expect[(]")}::INTEGER AS asserts, {_count("tion[a-z]")}::INTEGER AS mocks, {_count("[0-9]{4}")}::INTEGER AS snapshots, len(regexp_extract_all(content, '(?m)^(?:[A-Z][a-z]+|it) '))::INTEGER AS functions,
+    {_count("expect[(]true[)].toBe[(]true[)]|expect[(] .a. [)].toEqual[(].a.[)]")} AS same, regexp_matches(content, '(?i)\\b(coverage smoke|direct test coverage entry|placeholder)\\b') AS label FROM l)
+SELECT path, asserts, mocks, snapshots, functions, CASE WHEN functions = 0 THEN 'no_tests' WHEN asserts = 0 THEN 'assertion_free' WHEN same > 0 AND (same >= asserts AND (label OR asserts <= functions) OR label AND same >= 0.5 * asserts) THEN 'placeholder_smoke'
+    WHEN mocks > asserts THEN 'over_mocked' WHEN snapshots > 0 AND snapshots > asserts * 0.5 THEN 'snapshot_heavy' WHEN asserts / functions < 1 THEN 'smoke' WHEN asserts / functions >= 3 THEN 'thorough' ELSE 'adequate' END AS quality FROM c""")
 def coverage_quality_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.test_quality(b.corpus(spark, sf_dir), "[aeiou]the[a-z]", "tion[a-z]", "[0-9]{4}", "^[A-Z][a-z]+ ")
+    """Documents as tests, two fifths of them with tests that compare a thing with itself."""
+    tests = b.corpus(spark, sf_dir).select("path", F.expr(_TESTS.replace("chr(10)", "char(10)").replace("''", "\\'")).alias("content"))
+    return scan.test_quality(tests, "[aeiou]the[a-z]|expect[(]", "tion[a-z]", "[0-9]{4}", "^(?:[A-Z][a-z]+|it) ", comments="(?m)#.*$")
 
 
 @query(f"WITH {b.MODULES} SELECT count(*) AS files, round(sum(least(sqrt(loc), 50.0)))::BIGINT AS potential FROM modules WHERE node % 4 <> 0 AND loc >= 10")
@@ -172,18 +180,22 @@ def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insight.gate(*_gate_inputs(spark, sf_dir))
 
 
-@query("SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, vec_id LIMIT 24")
+@query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
+SELECT query, id, round(c, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, id)::INTEGER AS rank FROM s) WHERE rank <= 24""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = b.table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id = 0").first()["embedding"]
-    return insight.nearest(v.select("vec_id", "embedding", "label"), q, 24).withColumn("score", F.round("score", 6))
+    """The vectors nearest to each whose id is divisible by 100, of all."""
+    v = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return insight.nearest(v, v.filter("id % 100 = 0"), 24).withColumn("score", F.round("score", 6))
 
 
-@query(f"""{_C}, q AS (SELECT word, count(*) AS q FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS word FROM benchmark WHERE item_id = 0) GROUP BY word), d AS (SELECT doc_id AS id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]{{2,}}')) AS word FROM corpus) GROUP BY ALL)
-SELECT id, sum(least(n, q)) / (SELECT sum(q) FROM q) AS score FROM d JOIN q USING (word) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
+@query(f"""{_C}, a AS (SELECT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS word FROM benchmark WHERE item_id % 100 = 0), q AS (SELECT query, word, count(*) AS q FROM a GROUP BY ALL), t AS (SELECT query, count(*) AS total FROM a GROUP BY query),
+d AS (SELECT doc_id AS id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(content), '[a-z0-9_]{{2,}}')) AS word FROM corpus) GROUP BY ALL),
+s AS (SELECT query, id, sum(least(n, q)) / any_value(total) AS score FROM d JOIN q USING (word) JOIN t USING (query) GROUP BY query, id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s) WHERE rank <= 20""")
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = b.table(spark, sf_dir, "benchmark").filter("item_id = 0").first()["text"]
-    return insight.lexical(b.corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "content"), text, 20)
+    """The documents with most words of each passage whose id is divisible by 100, of all."""
+    passages = b.table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    return insight.lexical(b.corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "content"), passages, 20)
 
 
 @query(f"""{_C}, c AS (SELECT path, u.i::INTEGER AS chunk_index, substr(content, u.i::INTEGER * 1560 + 1, 1800) AS content FROM (SELECT *, greatest(ceil((length(content) - 240) / 1560.0), 1)::INTEGER AS n FROM corpus WHERE content <> ''), LATERAL unnest(range(0, n)) AS u(i))

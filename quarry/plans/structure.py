@@ -54,9 +54,9 @@ def god_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.gods(t, {"events": 65, "kinds": 5, "total": 4000}).select("user_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-_CONV = """CASE WHEN contains(s, '-') AND lower(s) = s AND regexp_matches(s, '[A-Za-z]') THEN 'kebab-case' WHEN regexp_matches(s[1], '[A-Z]') AND NOT contains(s, '-') THEN 'PascalCase' WHEN regexp_matches(s[1], '[a-z]') AND regexp_matches(s, '[A-Z]') AND NOT contains(s, '-') THEN 'camelCase'
-    WHEN contains(s, '_') AND lower(s) = s AND regexp_matches(s, '[A-Za-z]') THEN 'snake_case' WHEN regexp_full_match(s, '[a-z0-9]+') THEN 'flat_lower' END"""
-_NAMED = "CASE p_partkey % 4 WHEN 0 THEN lower(p_name) || '-part' WHEN 1 THEN 'part_' || p_partkey WHEN 2 THEN 'Part' || p_partkey ELSE 'part' || p_partkey END"
+_CONV = """CASE WHEN s = '' THEN NULL WHEN contains(s, '-') AND lower(s) = s THEN 'kebab-case' WHEN regexp_matches(s, '^[\\p{Lu}]') AND NOT contains(s, '-') THEN 'PascalCase' WHEN regexp_matches(s, '^[\\p{Ll}]') AND regexp_matches(s, '[\\p{Lu}]') AND NOT contains(s, '-') THEN 'camelCase'
+    WHEN contains(s, '_') AND lower(s) = s THEN 'snake_case' WHEN lower(s) = s AND regexp_matches(s, '[\\p{Ll}]') AND NOT contains(s, '-') THEN 'flat_lower' END"""
+_NAMED = "CASE p_partkey % 7 WHEN 0 THEN lower(p_name) || '-part' WHEN 1 THEN 'part_' || p_partkey WHEN 2 THEN 'Part' || p_partkey WHEN 3 THEN 'Élan' || p_partkey WHEN 4 THEN p_partkey || '-2' WHEN 5 THEN '1' || p_partkey ELSE 'a.test' || p_partkey END"
 
 
 @query(f"""WITH f AS (SELECT 'src/' || p_brand AS directory, regexp_replace(replace({_NAMED}, ' ', '-'), '[#]', '') AS s FROM part), c AS (SELECT directory, convention, count(*) AS n FROM (SELECT directory, {_CONV} AS convention FROM f) WHERE convention IS NOT NULL GROUP BY ALL),
@@ -64,7 +64,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY n DESC, conve
 SELECT directory, majority, convention AS minority, n, total FROM r WHERE r > 1 AND n >= 5 AND n >= 0.15 * total""")
 def naming_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    name = F.when(key % 4 == 0, F.concat(F.lower("p_name"), F.lit("-part"))).when(key % 4 == 1, F.concat(F.lit("part_"), key)).when(key % 4 == 2, F.concat(F.lit("Part"), key)).otherwise(F.concat(F.lit("part"), key))
+    name = F.when(key % 7 == 0, F.concat(F.lower("p_name"), F.lit("-part"))).when(key % 7 == 1, F.concat(F.lit("part_"), key)).when(key % 7 == 2, F.concat(F.lit("Part"), key))
+    name = name.when(key % 7 == 3, F.concat(F.lit("Élan"), key)).when(key % 7 == 4, F.concat(key, F.lit("-2"))).when(key % 7 == 5, F.concat(F.lit("1"), key)).otherwise(F.concat(F.lit("a.test"), key))
     path = F.concat(F.lit("src/"), "p_brand", F.lit("/"), F.regexp_replace(F.replace(name, F.lit(" "), F.lit("-")), "#", ""), F.lit(".ts"))
     return files.naming(b.table(spark, sf_dir, "part").select(path.alias("path")))
 
@@ -138,10 +139,10 @@ def graph_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(b.edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {b.EDGES}, w(node, depth) AS (SELECT DISTINCT src, 0 FROM edges WHERE src <= 3 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON w.node = e.src WHERE w.depth < 60) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY node HAVING min(depth) > 0""")
+@query(f"""WITH RECURSIVE {b.EDGES}, w(node, depth) AS (SELECT DISTINCT src, 0 FROM edges WHERE src % 100 = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN edges e ON w.node = e.src WHERE w.depth < 60) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY node HAVING min(depth) > 0""")
 def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.edges(spark, sf_dir)
-    return graph.reach(e, e.filter("src <= 3").select(F.col("src").alias("node")))
+    return graph.reach(e, e.filter("src % 100 = 0").select(F.col("src").alias("node")))
 
 
 @query(f"""WITH RECURSIVE {b.EDGES}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(min(b), a) AS component FROM r GROUP BY a""")

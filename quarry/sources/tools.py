@@ -56,12 +56,25 @@ def eslint(docs: DataFrame) -> DataFrame:
 PARSERS = {"gnu": gnu, "golangci": golangci, "json": flat_json, "rubocop": rubocop, "cargo": cargo, "eslint": eslint}
 
 
+# Rules that the security scan of all languages has already.
+BANDIT_OVERLAP = ("B105", "B106", "B107", "B501", "B502", "B503", "B504", "B505")
+
+
 def bandit(docs: DataFrame) -> DataFrame:
-    """(file, line, message, tier, confidence, rule) of a report; findings that are low in both severity and confidence go."""
+    """(file, line, message, tier, confidence, rule) of a report. Confidence follows severity; findings that are low in both go, and those that the scan of all languages has."""
     rows = _parsed(docs, "struct<results:array<struct<filename:string,line_number:int,issue_text:string,issue_severity:string,issue_confidence:string,test_id:string>>>").select(F.explode("j.results").alias("e")).select("e.*")
-    rows = rows.filter("not (issue_severity = 'LOW' and issue_confidence = 'LOW')")
-    tier = F.when(F.col("issue_severity") == "HIGH", 4).otherwise(3)
-    return rows.select(F.col("filename").alias("file"), F.col("line_number").alias("line"), F.col("issue_text").alias("message"), tier.alias("tier"), F.lower("issue_confidence").alias("confidence"), F.col("test_id").alias("rule"))
+    level = lambda c: F.upper(F.coalesce(c, F.lit("MEDIUM")))
+    rows = rows.withColumns({"severity": level("issue_severity"), "sure": level("issue_confidence"), "rule": F.coalesce("test_id", F.lit(""))})
+    rows = rows.filter((F.coalesce("filename", F.lit("")) != "") & ~F.col("rule").isin(*BANDIT_OVERLAP) & ~((F.col("severity") == "LOW") & (F.col("sure") == "LOW")))
+    known = F.col("severity").isin("HIGH", "LOW")
+    return rows.select(
+        F.col("filename").alias("file"),
+        F.coalesce("line_number", F.lit(0)).alias("line"),
+        F.concat(F.lit("["), "rule", F.lit("] "), F.coalesce("issue_text", F.lit(""))).alias("message"),
+        F.when(F.col("severity") == "HIGH", 4).otherwise(3).alias("tier"),
+        F.when(known, F.lower("severity")).otherwise("medium").alias("confidence"),
+        "rule",
+    )
 
 
 # Linter rules and the smells they stand for.

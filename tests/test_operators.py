@@ -189,7 +189,7 @@ def test_tool_output(spark):
     assert row(tools.eslint(text_('[{"filePath":"a.js","messages":[{"line":1,"message":"m"},{"line":2,"message":""}]}]'))) == [("a.js", 1, "m")]
     assert row(tools.flat_json(text_('[{"filename":"x","row":"4","reason":"r"},{"file":"y","line":0,"message":"z"},3]', "{}")))[:1] == [("x", 4, "r")]
     assert row(tools.ruff(text_('[{"code":"B006","filename":"a.py","location":{"row":3}},{"code":"Z1","filename":"a.py","location":{"row":4}}]'))) == [("a.py", 3, "mutable_default", "high")]
-    assert tools.bandit(text_('{"results":[{"filename":"a","line_number":1,"issue_text":"t","issue_severity":"LOW","issue_confidence":"LOW"},{"filename":"b","line_number":2,"issue_text":"t","issue_severity":"HIGH","issue_confidence":"MEDIUM","test_id":"B1"}]}')).first()["tier"] == 4
+    assert tools.bandit(text_('{"results":[{"filename":"a","line_number":1,"issue_text":"t","issue_severity":"LOW","issue_confidence":"LOW"},{"filename":"b","line_number":2,"issue_text":"t","issue_severity":"HIGH","issue_confidence":"LOW","test_id":"B1"},{"filename":"b","line_number":3,"issue_text":"t","issue_severity":"HIGH","issue_confidence":"LOW","test_id":"B105"},{"filename":"c","line_number":1,"issue_text":"t","issue_severity":"LOW","issue_confidence":"HIGH","test_id":"B9"}]}')).collect() == [("b", 2, "[B1] t", 4, "high", "B1"), ("c", 1, "[B9] t", 3, "low", "B9")]
     diff = ["+++ b/a.py", "@@ -1,2 +3,2 @@", "+x", "@@ -9 +10,0 @@", "@@ -1 +20 @@", "+++ /dev/null", "@@ -1 +1 @@"]
     got = tools.diff_ranges(spark.createDataFrame([(1, i, v) for i, v in enumerate(diff)], "diff long, line_no int, value string"))
     assert row(got) == [(1, "a.py", 3, 4), (1, "a.py", 20, 20)]
@@ -387,3 +387,47 @@ def test_computed_signals(spark):
     assert got == [3, 2, 0, 0, 3] == [python_code.nesting(t) for t in texts]
     deep = spark.createDataFrame([("a.py", "\n".join("  " * i + "x" for i in range(60)))], "path string, content string")
     assert files.complexity(deep, files.PYTHON_SIGNALS).first()["signals"] == "deep_nesting"
+
+
+def test_conventions_have_case_only_in_letters(spark):
+    want = {"a-b": "kebab-case", "1-2": "kebab-case", "A-b": None, "Élan": "PascalCase", "éLan": "camelCase", "a_b": "snake_case", "1_2": "snake_case", "a.test": "flat_lower", "123": None, "é": "flat_lower", "aB": "camelCase", "": None}
+    rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", files.convention(F.col("s")).alias("c")).collect()
+    assert {r["s"]: r["c"] for r in rows} == want
+
+
+def test_placeholder_tests(spark):
+    cases = {
+        "it('a', () => {\nexpect(true).toBe(true);\n})": "placeholder_smoke",
+        "it('a', () => {\nexpect(1).toBe(+1);\nexpect(x).toBe(2);\n})": "adequate",
+        "it('coverage smoke', () => {\nexpect('a').toEqual(`a`);\nexpect(x).toBe(2);\n})": "placeholder_smoke",
+        "it('a', () => {\nexpect(x).toBe(x);\n})": "adequate",
+        "it('placeholder', () => {\nexpect(x).toBeDefined();\n})": "placeholder_smoke",
+        "it('a', () => {\nexpect(x).toBeDefined();\n})": "adequate",
+        "it('a', () => {\n// expect(x).toBe(1);\n})": "assertion_free",
+    }
+    docs = spark.createDataFrame(list(cases.items()), "content string, path string")
+    rows = scan.test_quality(docs.select(F.col("content").alias("path"), "content"), r"expect\(", "mock", "Snapshot", r"^\s*it\(", comments=r"(?m)//.*$").collect()
+    assert {r["path"]: r["quality"] for r in rows} == cases
+
+
+def test_nearest_and_lexical_take_many_queries(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(insight, "BLOCK", 3)
+    vectors = [(i, [rng.choice((-1.0, 0.0, 1.0)) for _ in range(3)]) for i in range(60)]
+    v = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    rows = insight.nearest(v, v.filter("id % 7 = 0"), 4).collect()
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        size = (dot(a, a) * dot(b, b)) ** 0.5
+        return dot(a, b) / size if size else 0.0
+
+    for q in range(0, 60, 7):
+        want = sorted(((-round(cosine(e, vectors[q][1]), 9), i) for i, e in vectors))[:4]
+        assert [(-round(r["score"], 9), r["id"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query"] == q] == want
+    texts = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb bb"), (3, "zz"), (4, None)], "id long, content string")
+    asked = spark.createDataFrame([(7, "aa aa bb"), (8, "bb"), (9, "")], "id long, content string")
+    found = sorted((r["query"], r["rank"], r["id"], round(r["score"], 3)) for r in insight.lexical(texts, asked, 2).collect())
+    assert found == [(7, 1, 1, 1.0), (7, 2, 2, 0.333), (8, 1, 1, 1.0), (8, 2, 2, 1.0)]
