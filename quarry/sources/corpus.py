@@ -9,14 +9,16 @@ from quarry.functions.text import dirname, lines
 from quarry.operators.files import NEVER, excluded
 
 
-def files(spark: SparkSession, root: str, endings: tuple[str, ...] = (), exclusions: tuple[str, ...] = (), limit: int = 16 << 20) -> DataFrame:
+def files(spark: SparkSession, root: str, endings: tuple[str, ...] = (), exclusions: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
     """(path, content) of the files below a root that have one of the endings (any, if none are given) and that no exclusion names.
 
     Paths are relative to the root. Folders that are never scanned are left out by path, before
-    contents are read; files larger than the limit, in bytes, are left out as well. Bytes that are not
-    UTF-8 are replaced.
+    contents are read; files larger than a limit, in bytes, are left out as well if one is given. Bytes
+    that are not UTF-8 are replaced.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= limit)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if limit is not None:
+        rows = rows.filter(F.col("length") <= limit)
     whole = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = whole.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(whole).toString().rstrip("/")
     rows = rows.withColumn("path", F.regexp_replace("path", "^" + literal(base) + "/", ""))
