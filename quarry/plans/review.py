@@ -159,6 +159,57 @@ def python_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return python_code.duplicate_constants(python_code.facts(_python_files(spark, sf_dir)))
 
 
+def _stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up module for each part: one in two rebinds a name that the next part's module imports, one in three has a mixin, and dicts have keys that are not read, misspelt or written twice."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.concat(
+        F.lit("from pkg.s"),
+        (k + 1).cast("string"),
+        F.lit(" import now\nnow = None\nseen = []\ndef put(x):\n"),
+        F.when(k % 2 == 0, "    global now\n    now = x\n").otherwise("    now = x\n"),
+        F.when(size % 3 == 0, "    seen.append(x)\n    seen.extend(x)\n").otherwise(""),
+        F.lit("    d = {}\n    d['colour'] = 1\n    d['n'] = 2\n"),
+        F.when(size % 4 == 0, "    d['n'] = 3\n").otherwise("    d['m'] = d['n']\n"),
+        F.when(size % 5 == 0, "    return d['color'], d['n'], d['m']\n").otherwise("    return d['colour'], d['n'], d['m']\n"),
+        F.when(k % 3 == 0, "class AMixin:\n    def f(self):\n        return self.a, self.b, self.c").otherwise("class A:\n    def f(self):\n        return self.a, self.b, self.c"),
+        F.when(size % 2 == 0, ", self.d, self.e, self.g\n").otherwise("\n"),
+    )
+    return b.table(spark, sf_dir, "part").select(F.concat(F.lit("pkg/s"), k, F.lit(".py")).alias("path"), text.alias("content"))
+
+
+@query("""SELECT 'pkg/s' || p_partkey || '.py' AS path, 'now' AS name, 1::BIGINT AS changes, true AS rebound FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'pkg/s' || p_partkey || '.py', 'seen', 2, false FROM part WHERE p_size % 3 = 0""")
+def python_mutable_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return python_code.mutable_globals(python_code.facts(_stateful(spark, sf_dir))).select("path", "name", "changes", "rebound")
+
+
+@query("SELECT 'pkg/s' || p.p_partkey || '.py' AS path, 'now' AS name, 1 AS line, 'pkg.s' || q.p_partkey AS source FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1 WHERE q.p_partkey % 2 = 0")
+def python_stale_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return python_code.stale_imports(python_code.facts(_stateful(spark, sf_dir)))
+
+
+@query("SELECT 'pkg/s' || p_partkey || '.py' AS path, 'AMixin' AS name, CASE WHEN p_size % 2 = 0 THEN 'a,b,c,d,e,g' ELSE 'a,b,c' END AS wanted, CASE WHEN p_size % 2 = 0 THEN 4 ELSE 3 END AS tier, CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM part WHERE p_partkey % 3 = 0")
+def python_mixin_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return python_code.mixin_contracts(python_code.facts(_stateful(spark, sf_dir))).select("path", "name", F.array_join("wanted", ",").alias("wanted"), "tier", "confidence")
+
+
+@query("""WITH f AS (SELECT 'pkg/s' || p_partkey || '.py' AS path, p_size FROM part) SELECT path, 'overwritten_key' AS kind, 'n' AS key FROM f WHERE p_size % 4 = 0 UNION ALL SELECT path, 'phantom_read', 'm' FROM f WHERE p_size % 4 = 0
+UNION ALL SELECT path, 'phantom_read', 'color' FROM f WHERE p_size % 5 = 0 UNION ALL SELECT path, 'dead_write', 'colour' FROM f WHERE p_size % 5 = 0 UNION ALL SELECT path, 'near_miss', 'colour~color' FROM f WHERE p_size % 5 = 0""")
+def python_key_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return python_code.key_flow(python_code.facts(_stateful(spark, sf_dir))).select("path", "kind", "key")
+
+
+@query("""SELECT 'pkg/c' || p_partkey || '.py' AS path, 9::BIGINT AS functions, (CASE WHEN p_size % 2 = 0 THEN 9 ELSE 1 END)::BIGINT AS components, (CASE WHEN p_size % 3 = 0 THEN 9 ELSE 1 END)::BIGINT AS families, 0::BIGINT AS imports FROM part WHERE p_size % 2 = 0""")
+def python_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made-up module of nine functions for each part, in a chain of calls or not."""
+    size, i = F.col("p_size"), F.col("i")
+    name = lambda n: F.concat(F.when(size % 3 == 0, F.concat(F.lit("w"), n)).otherwise("same"), F.lit("_f"), n)
+    one = F.concat(F.lit("def "), name(i), F.lit("():\n    return "), F.when((size % 2 == 1) & (i < 8), F.concat(name(i + 1), F.lit("()"))).otherwise("1"), F.lit("\n\n"))
+    rows = b.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("p_partkey", F.struct("i", one.alias("t")).alias("x"))
+    texts = rows.groupBy("p_partkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    files = texts.select(F.concat(F.lit("pkg/c"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.array_join(F.transform("xs", lambda x: x["t"]), ""), F.repeat(F.lit("# end\n"), 200)).alias("content"))
+    return python_code.cohesion(python_code.facts(files))
+
+
 @query()
 def script_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The TypeScript catalogue over web pages; look-aheads have no counterpart in SQL."""

@@ -17,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import singular_plural
+from quarry.operators.graph import components
+
 FACTS = "path string, kind string, name string, line int, end_line int, scope string, size int, value string, params array<string>, words array<string>"
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 _SCOPES = (*_FUNCTION, ast.ClassDef)
@@ -49,6 +52,10 @@ SMELLS = {
     "mutable_class_var": "high",
     "star_import": "medium",
 }
+# Calls that make something mutable, methods that change it, and attributes that every host has.
+MUTABLE = {"set", "list", "dict", "defaultdict", "OrderedDict", "Counter"}
+CHANGES = {"append", "extend", "insert", "pop", "remove", "clear", "update", "setdefault", "add", "discard"}
+HOSTED = {"logger"}
 _DUNDERS = {f"__{n}__" for n in "init str repr enter exit del hash eq lt le gt ge ne bool len".split()}
 
 
@@ -111,6 +118,7 @@ class _Facts:
     def all(self) -> list[tuple]:
         self.scan(self.tree, "")
         self.at_import()
+        self.whole()
         for block in ast.walk(self.tree):
             for field in ("body", "orelse", "finalbody"):
                 stmts = getattr(block, field, None)
@@ -259,6 +267,73 @@ class _Facts:
                     self.smell("import_runtime_init", n, name)
             todo.extend(ast.iter_child_nodes(n))
 
+    def whole(self) -> None:
+        """Facts of the file as a whole: its length, what its functions call and import, its globals with their changes, and what mixins expect of their hosts."""
+        self.rows.append((self.path, "module", "", 1, len(self.lines), "", len(self.lines), "", [], []))
+        roots = {}
+        for stmt in self.tree.body:
+            for a in stmt.names if isinstance(stmt, (ast.Import, ast.ImportFrom)) else ():
+                first = a.name.partition(".")[0]
+                module = first if isinstance(stmt, ast.Import) else (stmt.module or "").partition(".")[0] or first
+                roots[a.asname or (first if isinstance(stmt, ast.Import) else a.name)] = module
+        tops = [n for n in self.tree.body if isinstance(n, _FUNCTION)]
+        names = {n.name for n in tops}
+        for fn in tops:
+            inside = list(ast.walk(fn))
+            called = {n.func.id for n in inside if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)} & names - {fn.name}
+            used = {roots[n.id] for n in inside if isinstance(n, ast.Name) and n.id in roots}
+            self.add("calls", fn.name, fn, params=sorted(called), words=sorted(used))
+        self.globals_()
+        for node in self.tree.body:
+            if isinstance(node, ast.ClassDef):
+                self.mixin(node)
+
+    def globals_(self) -> None:
+        for stmt in self.tree.body:
+            if isinstance(stmt, (ast.Assign, ast.AnnAssign)):
+                for t in stmt.targets if isinstance(stmt, ast.Assign) else [stmt.target]:
+                    if isinstance(t, ast.Name) and not re.match(r"^_?[A-Z][A-Z0-9_]+$", t.id) and (stmt.value is not None and _changeable(stmt.value) or isinstance(stmt, ast.AnnAssign) and _optional(stmt.annotation)):
+                        self.add("global", t.id, stmt)
+        for fn in ast.walk(self.tree):
+            if not isinstance(fn, _FUNCTION):
+                continue
+            own = {a.arg for a in (*fn.args.args, *fn.args.posonlyargs, *fn.args.kwonlyargs)}
+            inside = list(ast.walk(fn))
+            declared = {name for n in inside if isinstance(n, ast.Global) for name in n.names}
+            for n in inside:
+                targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AugAssign) else []
+                for t in targets:
+                    if isinstance(t, ast.Name) and t.id in declared - own:
+                        self.add("change", t.id, n, fn.name, value="rebind")
+                    elif isinstance(n, ast.Assign) and isinstance(t, ast.Subscript) and isinstance(t.value, ast.Name) and t.value.id not in own:
+                        self.add("change", t.value.id, n, fn.name, value="inside")
+                if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in CHANGES and isinstance(n.func.value, ast.Name) and n.func.value.id not in own:
+                    self.add("change", n.func.value.id, n, fn.name, value="inside")
+
+    def mixin(self, node: ast.ClassDef) -> None:
+        if not (node.name.endswith("Mixin") or "/phases/" in self.path.replace("\\", "/")) or any(_dotted(getattr(b, "value", b) if isinstance(b, ast.Subscript) else b).rpartition(".")[2].endswith("Protocol") for b in node.bases):
+            return
+        reads, writes = set(), {s.target.id for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)}
+        for n in (n for stmt in node.body if isinstance(stmt, _FUNCTION) for n in ast.walk(stmt)):
+            if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "self":
+                (reads if isinstance(n.ctx, ast.Load) else writes).add(n.attr)
+            elif _callee(n) == "setattr" and len(n.args) > 1 and _dotted(n.args[0]) == "self" and isinstance(n.args[1], ast.Constant) and isinstance(n.args[1].value, str):
+                writes.add(n.args[1].value)
+        wanted = sorted(a for a in reads - writes - HOSTED if not a.startswith("__"))
+        self.add("mixin", node.name, node, size=len(wanted), words=wanted)
+
+
+def _changeable(value: ast.AST) -> bool:
+    """Whether a value is a list, dict or set, makes one, or is None, in whose place something will come."""
+    if isinstance(value, ast.Call):
+        return _callee(value).rpartition(".")[2] in MUTABLE
+    return isinstance(value, (ast.List, ast.Dict, ast.Set)) or isinstance(value, ast.Constant) and value.value is None
+
+
+def _optional(note: ast.AST) -> bool:
+    none = lambda n: isinstance(n, ast.Constant) and n.value is None
+    return isinstance(note, ast.Subscript) and _dotted(note.value).rpartition(".")[2] == "Optional" or isinstance(note, ast.BinOp) and isinstance(note.op, ast.BitOr) and (none(note.left) or none(note.right))
+
 
 def file_facts(path: str, text: str | None) -> list[tuple]:
     try:
@@ -300,7 +375,7 @@ def import_edges(found: DataFrame, files: DataFrame) -> DataFrame:
     up = F.array_join(F.slice(folder, F.lit(1), F.greatest(F.size(folder) - dots + 1, F.lit(0))), "/")
     bare = F.replace(F.regexp_replace("module", r"^\.+", ""), F.lit("."), F.lit("/"))
     base = F.when(dots > 0, F.concat_ws("/", F.when(up != "", up), F.when(bare != "", bare))).otherwise(bare)
-    rows = rows.withColumn("base", base).withColumn("k", F.monotonically_increasing_id())
+    rows = rows.withColumn("base", base).withColumn("k", F.xxhash64("src", "module", "named", "member", "deferred"))
     inner = F.concat_ws("/", F.when(F.col("base") != "", F.col("base")), "member")
     ways = F.array(*[F.struct(F.lit(i).alias("rank"), p.alias("dst")) for i, p in enumerate((F.when(F.col("named"), F.concat(inner, F.lit(".py"))), F.when(F.col("named"), F.concat(inner, F.lit("/__init__.py"))), F.concat("base", F.lit(".py")), F.concat("base", F.lit("/__init__.py"))))])
     tried = rows.select("k", "src", "deferred", F.explode(F.filter(ways, lambda x: x["dst"].isNotNull())).alias("w")).select("k", "src", "deferred", "w.*")
@@ -332,18 +407,63 @@ def duplicate_constants(found: DataFrame) -> DataFrame:
 
 
 def key_flow(found: DataFrame) -> DataFrame:
-    """(path, scope, variable, key, kind): keys of a variable that a scope writes and never reads (dead_write), or reads and never writes though it writes others (phantom_read)."""
-    rows = found.filter("kind = 'key'").groupBy("path", "scope", F.get("words", 0).alias("variable"), F.col("name").alias("key")).agg(F.max((F.col("value") == "write").cast("int")).alias("w"), F.max((F.col("value") == "read").cast("int")).alias("r"))
-    both = rows.groupBy("path", "scope", "variable").agg(F.max("w").alias("any_w"), F.max("r").alias("any_r"))
-    kind = F.when((F.col("w") == 1) & (F.col("r") == 0), "dead_write").when((F.col("r") == 1) & (F.col("w") == 0) & (F.col("any_w") == 1), "phantom_read")
-    return rows.join(both, ["path", "scope", "variable"]).withColumn("kind", kind).filter("kind is not null and any_r = 1").select("path", "scope", "variable", "key", "kind")
+    """(path, scope, variable, key, kind): keys of a variable that a scope writes and never reads (dead_write), or reads and never writes though it writes others (phantom_read); pairs written~read of such keys that differ in two letters or in number (near_miss); and keys written again before anything reads them (overwritten_key)."""
+    group = ["path", "scope", "variable"]
+    rows = found.filter("kind = 'key'").withColumn("variable", F.get("words", 0))
+    line = lambda what: F.array_sort(F.collect_list(F.when(F.col("value") == what, F.col("line"))))  # noqa: E731  the lines of one key in one scope
+    keys = rows.groupBy(*group, F.col("name").alias("key")).agg(line("write").alias("w"), line("read").alias("r"))
+    both = keys.groupBy(*group).agg(F.max(F.size("w")).alias("any_w"), F.max(F.size("r")).alias("any_r"))
+    written, read = F.size("w") > 0, F.size("r") > 0
+    kind = F.when(written & ~read, "dead_write").when(read & ~written & (F.col("any_w") > 0), "phantom_read")
+    odd = keys.join(both, group).withColumn("kind", kind).filter("kind is not null and any_r > 0").select(*group, "key", "kind")
+    dead, phantom = odd.filter("kind = 'dead_write'").drop("kind"), odd.filter("kind = 'phantom_read'").drop("kind").withColumnRenamed("key", "other")
+    near = dead.join(phantom, group).filter((F.levenshtein("key", "other") <= 2) | singular_plural(F.col("key"), F.col("other")))
+    again = F.filter("w", lambda x, i: (i > 0) & ~F.exists("r", lambda y: (y > F.get("w", i - 1)) & (y <= x)))
+    twice = keys.select(*group, "key", F.explode(again).alias("_")).select(*group, "key", F.lit("overwritten_key").alias("kind"))
+    return odd.unionByName(near.select(*group, F.concat_ws("~", "key", "other").alias("key"), F.lit("near_miss").alias("kind"))).unionByName(twice)
 
 
 def cohesion(found: DataFrame, least_loc: int = 200, least: int = 8) -> DataFrame:
-    """(path, functions, families): long files of many top-level functions whose names have four beginnings or more."""
-    own = found.filter("kind = 'function' and scope = ''")
-    agg = own.groupBy("path").agg(F.count("*").alias("functions"), F.max("end_line").alias("loc"), F.countDistinct(F.split(F.regexp_replace("name", "^_+", ""), "_")[0]).alias("families"))
-    return agg.filter((F.col("functions") >= least) & (F.col("loc") >= least_loc) & (F.col("families") >= 4)).select("path", "functions", "families")
+    """(path, functions, components, families, imports): long files of many top-level functions that fall apart: into three components by calls, the largest with two thirds at most (65 in 100, rounded down), or into two with four beginnings of names or three sets of imported packages."""
+    long = found.filter("kind = 'module'").filter(F.col("size") >= least_loc).select("path")
+    # Functions of one name in a file are one.
+    own = found.filter("kind = 'calls'").join(long, "path", "left_semi")
+    many = own.groupBy("path").agg(F.count("*").alias("functions")).filter(F.col("functions") >= least)
+    own = own.join(many, "path")
+    node = lambda c: F.concat_ws("::", "path", c)
+    links = own.select("path", "name", F.explode("params").alias("to")).select(node("name").alias("src"), node("to").alias("dst"))
+    part = components(links)
+    named = own.select("path", "functions", "name", node("name").alias("node"), F.when(F.instr("name", "_") > 0, F.split("name", "_")[0]).otherwise(F.col("name")).alias("family"), F.when(F.size("words") > 0, F.array_join("words", ",")).alias("roots"))
+    named = named.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = named.groupBy("path", "component").agg(F.countDistinct("name").alias("n")).groupBy("path").agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+    agg = named.groupBy("path").agg(F.max("functions").alias("functions"), F.countDistinct("family").alias("families"), F.countDistinct("roots").alias("imports")).join(sizes, "path")
+    apart = (F.col("components") >= 3) & (F.col("largest") <= F.floor(F.col("functions") * 0.65))
+    mixed = (F.col("components") >= 2) & ((F.col("families") >= 4) | (F.col("imports") >= 3))
+    return agg.filter(apart | mixed).select("path", "functions", "components", "families", "imports")
+
+
+def mutable_globals(found: DataFrame) -> DataFrame:
+    """(path, name, line, changes, rebound): names of a module that hold something mutable, or nothing yet, and that its functions change, at how many places, and whether they rebind them."""
+    sites = found.filter("kind = 'change'").select("path", "name", F.col("line").alias("at"), "value").distinct()
+    sites = sites.groupBy("path", "name").agg(F.countDistinct("at").alias("changes"), F.bool_or(F.col("value") == "rebind").alias("rebound"))
+    return found.filter("kind = 'global'").groupBy("path", "name").agg(F.max("line").alias("line")).join(sites, ["path", "name"])
+
+
+def stale_imports(found: DataFrame) -> DataFrame:
+    """(path, name, line, source): imports of a name that its module rebinds, so that the importer keeps what it was. Modules are told by the ends of their dotted names."""
+    dotted = F.replace(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))
+    rebound = mutable_globals(found).filter("rebound").select(dotted.alias("source"), F.col("name").alias("member"))
+    rows = found.filter("kind = 'import' and size = 1").select("path", "line", F.get("words", 0).alias("member"), F.regexp_replace("name", r"^\.+", "").alias("module"))
+    m, s = F.col("module"), F.col("source")
+    ends = (m == s) | m.endswith(F.concat(F.lit("."), s)) | s.endswith(F.concat(F.lit("."), m))
+    return rows.join(rebound, "member").filter(ends).select("path", F.col("member").alias("name"), "line", "source")
+
+
+def mixin_contracts(found: DataFrame, least: int = 3) -> DataFrame:
+    """(path, name, line, wanted, tier, confidence): mixins that read three attributes or more of self that they neither set nor declare."""
+    rows = found.filter("kind = 'mixin'").filter(F.col("size") >= least)
+    many = F.col("size") >= 6
+    return rows.select("path", "name", "line", F.col("words").alias("wanted"), F.when(many, 4).otherwise(3).alias("tier"), F.when(many, "high").otherwise("medium").alias("confidence"))
 
 
 def indent_unit(widths: list[int]) -> int:

@@ -226,6 +226,59 @@ def test_python_facts(spark):
     assert python_code.nesting("def f():\n  if x:\n    if y:\n      pass\n") == 3
 
 
+def test_python_files_as_wholes(spark):
+    import textwrap
+
+    state = """\
+    import json
+    cache = {}
+    current = None
+    LIMITS = []
+    kept: dict | None
+    def a(cache2, kept):
+        global current
+        current = 1
+        cache["x"] = 2
+        kept.update(z=1)
+        LIMITS.append(1)
+    def b():
+        current = 2
+        cache.clear()
+    class HostMixin:
+        declared: int
+        def run(self):
+            self.own = self.alpha + self.beta + self.declared
+            setattr(self, "late", 1)
+            return self.gamma(self.own, self.late, self.logger)
+    class Plain:
+        def run(self):
+            return self.a + self.b + self.c
+    """
+    flow = """\
+    def g():
+        d = {}
+        d["color"] = 1
+        d["items"] = 2
+        d["x"] = 1
+        d["x"] = 2
+        d["y"] = 3
+        print(d["y"])
+        d["y"] = 4
+        return d["colour"], d["item"], d["x"], d["y"]
+    """
+    family = lambda k: "".join(f"def {w}_{k}{i}():\n    return {'one_' + k + '0' if i else 'len'}()\n\n" for w in ("one",) for i in range(4))
+    apart = family("a") + "".join(f"def {w}(x):\n    return x\n\n" for w in ("load_it", "save_it", "show", "draw_it")) + "#\n" * 200
+    joined = "def run():\n    return [" + ", ".join(f"f_{i}()" for i in range(9)) + "]\n" + "".join(f"def f_{i}():\n    pass\n" for i in range(9)) + "#\n" * 200
+    texts = {"pkg/state.py": textwrap.dedent(state), "pkg/user.py": "from .state import current, cache\nfrom other.state import current\nfrom pkg import state\n", "pkg/flow.py": textwrap.dedent(flow), "pkg/apart.py": apart, "pkg/joined.py": joined, "pkg/short.py": family("a")}
+    found = python_code.facts(spark.createDataFrame(list(texts.items()), "path string, content string")).cache()
+    assert {(r["name"], r["changes"], r["rebound"]) for r in python_code.mutable_globals(found).collect()} == {("cache", 2, False), ("current", 1, True)}
+    assert {(r["path"], r["name"], r["line"]) for r in python_code.stale_imports(found).collect()} == {("pkg/user.py", "current", 1)}
+    assert [(r["name"], r["wanted"], r["tier"]) for r in python_code.mixin_contracts(found).collect()] == [("HostMixin", ["alpha", "beta", "gamma"], 3)]
+    flows = {(r["key"], r["kind"]) for r in python_code.key_flow(found).filter("path = 'pkg/flow.py'").collect()}
+    assert flows == {("color", "dead_write"), ("items", "dead_write"), ("colour", "phantom_read"), ("item", "phantom_read"), ("color~colour", "near_miss"), ("items~item", "near_miss"), ("x", "overwritten_key")}
+    assert [(r["path"], r["functions"], r["components"], r["families"]) for r in python_code.cohesion(found).collect()] == [("pkg/apart.py", 8, 5, 5)]
+
+
 def test_other_languages(spark):
     f = spark.createDataFrame([("src/a.ts", "import x from './b'\nconst c = import('@/lib/c')\nimport '../gone'\nconsole.log('[DBG] x')\n"), ("src/b.ts", "/** @deprecated */\nexport const x = 1\nel.innerHTML = y\nfoo as any\n"), ("src/lib/c/index.tsx", "x"), ("src/b.js", "1")], "path string, content string")
     assert {tuple(r) for r in languages.script_imports(f).collect()} == {("src/a.ts", "src/b.ts", False), ("src/a.ts", "src/lib/c/index.tsx", True)}
