@@ -157,7 +157,7 @@ def findings_corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.corroborated(rows.select("doc_id", F.concat(F.lit("f"), key).alias("file"), F.lit("high").alias("confidence")), entries).select("doc_id", "confidence", "signals")
 
 
-@query("""SELECT 'd' || p_size AS detector, CASE WHEN max((p_partkey % 9 = 0)::INTEGER) = 1 THEN 'reduced' ELSE 'full' END AS status, round(min(least(greatest(p_partkey % 13 / 10.0 - 0.1, 0), 1)), 2)::DOUBLE AS confidence, array_to_string(list_sort(list(DISTINCT 'no ' || p_brand) FILTER (p_partkey % 3 > 0)), ' | ') AS reasons FROM part GROUP BY p_size""")
+@query("""SELECT 'd' || p_size AS detector, CASE WHEN max((p_partkey % 9 = 0)::INTEGER) = 1 THEN 'reduced' ELSE 'full' END AS status, round(min(least(greatest(p_partkey % 13 / 10.0 - 0.1, 0), 1)), 2)::DOUBLE AS confidence, coalesce(array_to_string(list_sort(list(DISTINCT 'no ' || p_brand) FILTER (p_partkey % 3 > 0)), ' | '), '') AS reasons FROM part GROUP BY p_size""")
 def scan_detector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     rows = b.table(spark, sf_dir, "part").select(F.concat(F.lit("d"), "p_size").alias("detector"), F.when(key % 9 == 0, "reduced").otherwise("full").alias("status"), (key % 13 / 10.0 - 0.1).alias("confidence"), F.when(key % 3 > 0, F.concat(F.lit(" no "), "p_brand")).otherwise(" ").alias("reason"))

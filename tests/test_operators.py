@@ -484,3 +484,23 @@ def test_nearest_and_lexical_take_many_queries(spark, monkeypatch):
     asked = spark.createDataFrame([(7, "aa aa bb"), (8, "bb"), (9, "")], "id long, content string")
     found = sorted((r["query"], r["rank"], r["id"], round(r["score"], 3)) for r in insight.lexical(texts, asked, 2).collect())
     assert found == [(7, 1, 1, 1.0), (7, 2, 2, 0.333), (8, 1, 1, 1.0), (8, 2, 2, 1.0)]
+
+
+def test_line_smells_equal_plain_patterns(spark):
+    """Patterns with look-arounds, which SQL lacks, against Python's, line by line."""
+    import re
+
+    parts = ["eval(x)", "my_eval(x)", "a.eval(x)", "== 12345", "+ 99", "# TODO x", "'https://a.b'", '"[DBG] x"', "# [BadThing] y", "traceback.print_exc()", "foo as any", "x: any", "@ts-ignore", "console.log(1)", "catch (e) {}", "setTimeout(f)", " ", "//", "async", "= []", "!", "JSON.parse(", "eslint-disable", "window.", "null", "try {", "'use'"]
+    import random
+
+    rng = random.Random(4)
+    texts = {f"f{i}.x": "\n".join(" ".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 6))) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "path string, content string")
+    for rules in (scan.PYTHON_SMELLS, languages.TYPESCRIPT_SMELLS):
+        want = {}
+        for r in rules:
+            hits = [(p, n) for p in sorted(texts) for n, line in enumerate(texts[p].split("\n"), 1) if r.hint in line and re.search(r.pattern, line) and (not r.also or re.search(r.also, line))]
+            for p, n in hits[: scan.MATCHES]:
+                want.setdefault((r.name, p, r.severity), []).append(n)
+        got = {(r["smell_id"], r["path"], r["severity"]): (r["n"], r["lines"]) for r in scan.smells(docs, rules).collect()}
+        assert got == {k: (len(v), v[:10]) for k, v in want.items()} and len(got) > 20
