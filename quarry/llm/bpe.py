@@ -19,11 +19,11 @@ from quarry.llm.common import held
 
 LETTER, NUMBER, SIGN, SPACE, BLANK, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Characters that are cut and encoded at a time; longer texts are cut at a single space between words.
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 #: Pieces the library gets at a time.
 ROW = 4096
 #: Distinct pieces a worker remembers in each of two generations.
-REMEMBERED = 220_000
+REMEMBERED = 160_000
 
 
 class Encoder:
@@ -139,6 +139,7 @@ class Encoder:
         data = text.encode()
         place = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # bytes that characters start with
         offsets = np.append(place[starts], len(data)).astype(np.int32)
+        del place, cp
         strings = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         known = self._ids(strings.dictionary.to_pylist(), pc.binary_length(strings.dictionary).to_numpy())
         which = strings.indices.to_numpy()

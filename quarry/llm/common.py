@@ -61,7 +61,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch at most: whole texts are large, and a batch exists on both sides.
-BATCH = 8 << 20
+BATCH = 6 << 20
 _held: dict[object, object] = {}
 _asked: list[object] = []
 
@@ -116,7 +116,7 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 
 
 #: Bytes of text in a block, but for a longer text, which is one by itself.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 BLOCKS = "block long, size long, ids array<long>, rows binary"
 
 

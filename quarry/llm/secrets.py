@@ -25,7 +25,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 #: Characters that are tokenised at a time; a longer text is taken apart at white space.
 CHUNK = 3 << 19
 #: Distinct tokens whose scores a worker remembers in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 
 Span = tuple[str, int, int]
 _SIGNS = [crf.KINDS.index(k) for k in ("assign", "quote", "open")]
