@@ -75,7 +75,7 @@ def held(key: object, make: Callable[[], object]):
     return _held[key]
 
 
-def _tidy() -> None:
+def tidy() -> None:
     """Give memory that a task has freed back to the system; the worker lives on, beside others."""
     import ctypes
 
@@ -110,7 +110,7 @@ def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
                     _held.clear()
                 yield batch
         finally:
-            _tidy()
+            tidy()
 
     return df.mapInArrow(tidied, schema)
 
