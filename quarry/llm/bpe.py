@@ -29,9 +29,10 @@ REMEMBERED = 160_000
 class Encoder:
     """Encodes with a byte-level tokenizers file, as the library does by default: strings of added tokens become these tokens."""
 
-    def __init__(self, path: str, end_id: int | None = 0):
+    def __init__(self, path: str, end_id: int | None = 0, chunk: int = CHUNK):
         from tokenizers import Tokenizer
 
+        self.chunk = chunk
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
@@ -167,10 +168,10 @@ class Encoder:
         for i, text in enumerate(texts):
             text = text or ""
             odd = any(t in text for t in self.added)
-            if group and (odd or total + len(text) > CHUNK):
+            if group and (odd or total + len(text) > self.chunk):
                 yield first, *self._encode("".join(group), np.array([len(x) for x in group], np.int64), True)
                 first, group, total = i, [], 0
-            if odd or len(text) > CHUNK:
+            if odd or len(text) > self.chunk:
                 yield i, *(self._whole(text) if odd else self._long(text))
                 first = i + 1
                 continue
@@ -187,7 +188,7 @@ class Encoder:
     def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         parts, at = [], 0
         while at < len(text):
-            cut = at + CHUNK
+            cut = at + self.chunk
             while (cut := text.find(" ", cut)) >= 0 and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 == len(text)):
                 cut += 1
             cut = len(text) if cut < 0 else cut
@@ -197,9 +198,9 @@ class Encoder:
         return ids, np.array([len(ids)])
 
 
-def encoder(path: str, end_id: int | None = 0) -> Encoder:
+def encoder(path: str, end_id: int | None = 0, chunk: int = CHUNK) -> Encoder:
     """The worker's encoder for a file; a worker keeps it from task to task."""
-    return held(("bpe", path, end_id), lambda: Encoder(path, end_id))
+    return held(("bpe", path, end_id, chunk), lambda: Encoder(path, end_id, chunk))
 
 
 def encoded(encoder: Encoder, batch: pa.RecordBatch, rows: int = 4096) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:

@@ -24,6 +24,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 #: Characters that are tokenised at a time; a longer text is taken apart at white space.
 CHUNK = 3 << 19
+#: Characters of shorter texts that are tokenised together.
+GROUP = 1 << 19
 #: Distinct tokens whose scores a worker remembers in each of two generations.
 REMEMBERED = 80_000
 
@@ -180,7 +182,7 @@ class Scanner:
         """All spans of each text, by start, then kind: the base spans, and those of the model that no base span holds."""
         group: list[str] = []
         for text in [*texts, None]:
-            if text is None or sum(map(len, group)) + len(text) > CHUNK:
+            if text is None or sum(map(len, group)) + len(text) > GROUP:
                 for t, tagged in zip(group, self.tag(group), strict=True):
                     yield merged(base_spans(t), tagged)
                 group = []

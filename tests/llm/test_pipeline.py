@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import overlap, queries, rules, secrets
+from quarry.llm import bpe, crf, overlap, packing, queries, rules, secrets
 from quarry.llm.common import tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,6 +125,44 @@ def test_run_applies_all_stages(spark, folder):
     assert key(corpus_pipeline.run(spark, sf_dir)) == want and want
 
 
+def peak(work):
+    """MB that Python and numpy take at most while work() runs, and what it returns."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def some_texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(2000)]
+    return [" ".join(rng.choices(words, k=300)) for _ in range(1800)]
+
+
+def test_scanner_takes_few_texts_at_a_time():
+    texts, model = some_texts(), crf.trained()
+    assert sum(map(len, texts)) > 3 << 20
+    found, mb = peak(lambda: list(secrets.Scanner(model).scan(texts)))
+    assert len(found) == len(texts) and mb < 60
+
+
+def test_pack_encodes_few_texts_at_a_time(monkeypatch):
+    """What the pipeline asks of the encoder: less memory than by default, the same ids."""
+    asked = {}
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, path, **options: asked.update(options))
+    corpus_pipeline.pack(None, None, "")
+    texts = some_texts()
+    texts.append(" ".join(texts))
+
+    def ids(encoder):
+        return [(zlib.crc32(x.tobytes()), len(x)) for _, flat, counts in encoder.encode(texts) for x in np.split(flat, np.cumsum(counts)[:-1])]
+
+    got, mb = peak(lambda: ids(bpe.Encoder(tokenizer(), **asked)))
+    want, more = peak(lambda: ids(bpe.Encoder(tokenizer())))
+    assert got == want and len(got) == len(texts) and mb < 0.7 * more
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
