@@ -25,6 +25,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to four tasks a core, for costly work on rows that a few files hold: a file of some MB is one task otherwise."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few given rows that the planner has at hand, with no job to make it."""
     names = [c.split()[0] for c in re.split(r",\s*(?=\w+ \w)", schema)]

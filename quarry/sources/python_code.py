@@ -10,10 +10,10 @@ import ast
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +56,38 @@ SMELLS = {
 MUTABLE = {"set", "list", "dict", "defaultdict", "OrderedDict", "Counter"}
 CHANGES = {"append", "extend", "insert", "pop", "remove", "clear", "update", "setdefault", "add", "discard"}
 HOSTED = {"logger"}
+#: Rows of facts that a worker hands on at once.
+ROWS = 20_000
+# Kinds of facts that need every node, and fields that hold no nodes but contexts, operators and plain values.
+_DEEP = {"function", "body", "class", "import", "use", "dict", "constant", "key", "smell"}
+_FLAT = {"ctx", "op", "ops", "id", "attr", "arg", "module", "level", "asname", "kind", "type_comment", "simple", "conversion", "is_async"}
+_FIELDS: dict[type, tuple[str, ...]] = {ast.Constant: ()}
 _DUNDERS = {f"__{n}__" for n in "init str repr enter exit del hash eq lt le gt ge ne bool len".split()}
 
 
+def _children(node: ast.AST) -> list[ast.AST]:
+    """Child nodes in order, without contexts and operators."""
+    kind = type(node)
+    if (fields := _FIELDS.get(kind)) is None:
+        fields = _FIELDS[kind] = tuple(f for f in kind._fields if f not in _FLAT)
+    out = []
+    for f in fields:
+        value = getattr(node, f, None)
+        if isinstance(value, list):
+            out.extend(v for v in value if isinstance(v, ast.AST))
+        elif isinstance(value, ast.AST):
+            out.append(value)
+    return out
+
+
+def _walk(node: ast.AST) -> list[ast.AST]:
+    """A node and all below it, level by level."""
+    out = [node]
+    for n in out:
+        out.extend(_children(n))
+    return out
+
+
 def _dotted(node: ast.AST) -> str:
     """a.b.c of a name or attribute; empty for anything else."""
     if isinstance(node, ast.Name):
@@ -90,7 +119,7 @@ def _trivial(stmt: ast.stmt) -> bool:
 
 
 def cyclomatic(node: ast.AST) -> int:
-    return 1 + sum(isinstance(n, _BRANCH) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(node))
+    return 1 + sum(isinstance(n, _BRANCH) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in _walk(node))
 
 
 def normalised(source: list[str]) -> list[str]:
@@ -104,22 +133,35 @@ def normalised(source: list[str]) -> list[str]:
 
 
 class _Facts:
-    def __init__(self, path: str, text: str):
-        self.path, self.lines, self.rows = path, text.splitlines(), []
+    def __init__(self, path: str, text: str, kinds: Collection[str] | None = None):
+        self.path, self.lines, self.rows, self.kinds = path, text.splitlines(), [], kinds
         self.tree = ast.parse(text)
+        self.walked: dict[ast.AST, list[ast.AST]] = {}
         self.mutable = {t.id for s in self.tree.body if isinstance(s, (ast.Assign, ast.AnnAssign)) and isinstance(s.value, (ast.List, ast.Dict, ast.Set, ast.Call)) for t in (s.targets if isinstance(s, ast.Assign) else [s.target]) if isinstance(t, ast.Name)}
 
+    def wants(self, *kinds: str) -> bool:
+        return self.kinds is None or any(k in self.kinds for k in kinds)
+
+    def below(self, node: ast.AST) -> list[ast.AST]:
+        """_walk(), once for each node."""
+        if node not in self.walked:
+            self.walked[node] = _walk(node)
+        return self.walked[node]
+
     def add(self, kind: str, name: str, node: ast.AST, scope: str = "", size: int = 0, value: str = "", params: list[str] | None = None, words: list[str] | None = None) -> None:
-        self.rows.append((self.path, kind, name, node.lineno, getattr(node, "end_lineno", node.lineno), scope, size, value, params or [], words or []))
+        if self.kinds is None or kind in self.kinds:
+            self.rows.append((self.path, kind, name, node.lineno, getattr(node, "end_lineno", node.lineno), scope, size, value, params or [], words or []))
 
     def smell(self, name: str, node: ast.AST, value: str = "") -> None:
         self.add("smell", name, node, value=value)
 
     def all(self) -> list[tuple]:
-        self.scan(self.tree, "")
-        self.at_import()
+        if self.wants(*_DEEP):
+            self.scan(self.tree, "")
+        if self.wants("smell"):
+            self.at_import()
         self.whole()
-        for block in ast.walk(self.tree):
+        for block in _walk(self.tree) if self.wants("smell") else ():
             for field in ("body", "orelse", "finalbody"):
                 stmts = getattr(block, field, None)
                 if isinstance(stmts, list):
@@ -129,15 +171,20 @@ class _Facts:
         return self.rows
 
     def scan(self, node: ast.AST, scope: str) -> None:
-        for child in ast.iter_child_nodes(node):
+        todo = [(child, scope) for child in reversed(_children(node))]
+        while todo:
+            child, scope = todo.pop()
             self.visit(child, scope)
-            self.scan(child, f"{scope}.{child.name}".strip(".") if isinstance(child, _SCOPES) else scope)
+            within = f"{scope}.{child.name}".strip(".") if isinstance(child, _SCOPES) else scope
+            todo.extend((c, within) for c in reversed(_children(child)))
 
     def visit(self, node: ast.AST, scope: str) -> None:
         if isinstance(node, _FUNCTION):
-            self.function(node, scope)
+            if self.wants("function", "body", "smell"):
+                self.function(node, scope)
         elif isinstance(node, ast.ClassDef):
-            self.klass(node, scope)
+            if self.wants("class", "smell"):
+                self.klass(node, scope)
         elif isinstance(node, ast.Import):
             for a in node.names:
                 self.add("import", a.name, node, scope, value=a.asname or a.name.partition(".")[0])
@@ -182,7 +229,7 @@ class _Facts:
     def klass(self, node: ast.ClassDef, scope: str) -> None:
         methods = [s for s in node.body if isinstance(s, _FUNCTION)]
         first = next((m for m in methods if m.name == "__init__"), None)
-        attributes = sorted({t.attr for n in ast.walk(first) if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Attribute) and _dotted(t.value) == "self"}) if first else []
+        attributes = sorted({t.attr for n in self.below(first) if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Attribute) and _dotted(t.value) == "self"}) if first else []
         bases = [b for b in map(_dotted, node.bases) if b and b not in ("object", "ABC") and not b.endswith("Mixin")]
         self.add("class", node.name, node, scope, size=len(methods), value=",".join(bases), params=attributes, words=[m.name for m in methods])
         if not any((_callee(d) or _dotted(d)).rpartition(".")[2] == "dataclass" for d in node.decorator_list):
@@ -198,6 +245,8 @@ class _Facts:
         decorators = [_callee(d) or _dotted(d) for d in node.decorator_list]
         self.add("function", name, node, scope, size=loc, value=ast.unparse(node.returns) if node.returns else "", params=params, words=body)
         self.add("body", name, node, scope, size=len(body), value=hashlib.md5("\n".join(body).encode()).hexdigest(), words=decorators)
+        if not self.wants("smell"):
+            return
         real = node.body[1:] if _is_text(node.body[0]) else node.body
         if loc > 150:
             self.smell("monster_function", node, f"{name}: {loc} lines")
@@ -209,7 +258,7 @@ class _Facts:
             if len(real) >= 3 and name not in _DUNDERS and all(map(_trivial, real)):
                 self.smell("noop_function", node, name)
             self.constant(node, loc)
-        inner = [n for n in ast.walk(node) if n is not node]
+        inner = self.below(node)[1:]
         late = [n for n in inner if isinstance(n, (ast.Import, ast.ImportFrom)) and getattr(n, "module", "") not in ("typing", "typing_extensions", "__future__")]
         if late and not re.search(r"(^|/)(tests?/|test_|conftest)", self.path):
             self.smell("deferred_import", min(late, key=lambda n: n.lineno), name)
@@ -218,7 +267,7 @@ class _Facts:
                 self.smell("inline_class", s, name)
         self.closures(node, inner)
         cells = {s.targets[0].id: s for s in node.body if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name) and isinstance(s.value, ast.List) and len(s.value.elts) == 1}
-        nested = [n for f in inner if isinstance(f, (*_FUNCTION, ast.Lambda)) for n in ast.walk(f)]
+        nested = [n for f in inner if isinstance(f, (*_FUNCTION, ast.Lambda)) for n in self.below(f)] if cells else []
         for cell in sorted({n.value.id for n in nested if isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and isinstance(n.slice, ast.Constant) and n.slice.value == 0} & set(cells)):
             self.smell("mutable_ref_hack", cells[cell], cell)
         calls = [n for n in inner if isinstance(n, ast.Call)]
@@ -235,8 +284,8 @@ class _Facts:
             self.smell("optional_param_sprawl", node, name)
 
     def constant(self, node: ast.FunctionDef, loc: int) -> None:
-        returns = [n for n in ast.walk(node) if isinstance(n, ast.Return)]
-        branches = any(isinstance(n, (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler)) for n in ast.walk(node))
+        returns = [n for n in self.below(node) if isinstance(n, ast.Return)]
+        branches = any(isinstance(n, (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler)) for n in self.below(node))
         if loc >= 4 and branches and len(returns) >= 2 and all(isinstance(r.value, ast.Constant) for r in returns):
             values = {repr(r.value.value) for r in returns}
             if len(values) == 1 and values != {"None"}:
@@ -246,7 +295,7 @@ class _Facts:
         """Three inner functions, or one inside another."""
         own = [n for n in inner if isinstance(n, (*_FUNCTION, ast.Lambda))]
         defs = [n for n in own if isinstance(n, _FUNCTION)]
-        deep = any(m is not n and isinstance(m, (*_FUNCTION, ast.Lambda)) for n in defs for m in ast.walk(n))
+        deep = any(m is not n and isinstance(m, (*_FUNCTION, ast.Lambda)) for n in defs for m in self.below(n))
         if deep or len(defs) >= 3:
             self.smell("nested_closure", node, node.name)
 
@@ -265,11 +314,21 @@ class _Facts:
                     self.smell("import_env_mutation", n, name)
                 elif name.rpartition(".")[2] in ("setup_logging", "basicConfig", "dictConfig", "fileConfig"):
                     self.smell("import_runtime_init", n, name)
-            todo.extend(ast.iter_child_nodes(n))
+            todo.extend(_children(n))
 
     def whole(self) -> None:
         """Facts of the file as a whole: its length, what its functions call and import, its globals with their changes, and what mixins expect of their hosts."""
-        self.rows.append((self.path, "module", "", 1, len(self.lines), "", len(self.lines), "", [], []))
+        if self.wants("module"):
+            self.rows.append((self.path, "module", "", 1, len(self.lines), "", len(self.lines), "", [], []))
+        if self.wants("calls"):
+            self.calls()
+        if self.wants("global", "change"):
+            self.globals_()
+        for node in self.tree.body if self.wants("mixin") else ():
+            if isinstance(node, ast.ClassDef):
+                self.mixin(node)
+
+    def calls(self) -> None:
         roots = {}
         for stmt in self.tree.body:
             for a in stmt.names if isinstance(stmt, (ast.Import, ast.ImportFrom)) else ():
@@ -279,14 +338,10 @@ class _Facts:
         tops = [n for n in self.tree.body if isinstance(n, _FUNCTION)]
         names = {n.name for n in tops}
         for fn in tops:
-            inside = list(ast.walk(fn))
+            inside = self.below(fn)
             called = {n.func.id for n in inside if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)} & names - {fn.name}
             used = {roots[n.id] for n in inside if isinstance(n, ast.Name) and n.id in roots}
             self.add("calls", fn.name, fn, params=sorted(called), words=sorted(used))
-        self.globals_()
-        for node in self.tree.body:
-            if isinstance(node, ast.ClassDef):
-                self.mixin(node)
 
     def globals_(self) -> None:
         for stmt in self.tree.body:
@@ -294,11 +349,11 @@ class _Facts:
                 for t in stmt.targets if isinstance(stmt, ast.Assign) else [stmt.target]:
                     if isinstance(t, ast.Name) and not re.match(r"^_?[A-Z][A-Z0-9_]+$", t.id) and (stmt.value is not None and _changeable(stmt.value) or isinstance(stmt, ast.AnnAssign) and _optional(stmt.annotation)):
                         self.add("global", t.id, stmt)
-        for fn in ast.walk(self.tree):
+        for fn in _walk(self.tree):
             if not isinstance(fn, _FUNCTION):
                 continue
             own = {a.arg for a in (*fn.args.args, *fn.args.posonlyargs, *fn.args.kwonlyargs)}
-            inside = list(ast.walk(fn))
+            inside = self.below(fn)
             declared = {name for n in inside if isinstance(n, ast.Global) for name in n.names}
             for n in inside:
                 targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AugAssign) else []
@@ -314,7 +369,7 @@ class _Facts:
         if not (node.name.endswith("Mixin") or "/phases/" in self.path.replace("\\", "/")) or any(_dotted(getattr(b, "value", b) if isinstance(b, ast.Subscript) else b).rpartition(".")[2].endswith("Protocol") for b in node.bases):
             return
         reads, writes = set(), {s.target.id for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name)}
-        for n in (n for stmt in node.body if isinstance(stmt, _FUNCTION) for n in ast.walk(stmt)):
+        for n in (n for stmt in node.body if isinstance(stmt, _FUNCTION) for n in self.below(stmt)):
             if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == "self":
                 (reads if isinstance(n.ctx, ast.Load) else writes).add(n.attr)
             elif _callee(n) == "setattr" and len(n.args) > 1 and _dotted(n.args[0]) == "self" and isinstance(n.args[1], ast.Constant) and isinstance(n.args[1].value, str):
@@ -335,22 +390,34 @@ def _optional(note: ast.AST) -> bool:
     return isinstance(note, ast.Subscript) and _dotted(note.value).rpartition(".")[2] == "Optional" or isinstance(note, ast.BinOp) and isinstance(note.op, ast.BitOr) and (none(note.left) or none(note.right))
 
 
-def file_facts(path: str, text: str | None) -> list[tuple]:
+def file_facts(path: str, text: str | None, kinds: Collection[str] | None = None) -> list[tuple]:
     try:
-        return _Facts(path, text or "").all()
+        return _Facts(path, text or "", kinds).all()
     except (SyntaxError, ValueError, RecursionError) as e:
         return [(path, "error", type(e).__name__, 0, 0, "", 0, str(e)[:200], [], [])]
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """The facts of files (path, content)."""
-    names = [c.split()[0] for c in FACTS.split(", ")]
+def facts(files: DataFrame, kinds: Collection[str] | None = None) -> DataFrame:
+    """The facts of files (path, content): all, or those of some kinds with errors. What other kinds alone need is not looked for."""
+    types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in FACTS.split(", ")])
+    wanted = None if kinds is None else frozenset(kinds)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([r for p, t in zip(batch["path"], batch["content"], strict=True) for r in file_facts(p, t)], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            for path, text in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rows.extend(file_facts(path, text, wanted))
+                while len(rows) >= ROWS:
+                    yield batch(rows[:ROWS])
+                    rows = rows[ROWS:]
+        yield batch(rows)
 
-    return files.select("path", "content").mapInPandas(run, FACTS)
+    return files.select("path", "content").mapInArrow(run, FACTS)
 
 
 def functions(found: DataFrame) -> DataFrame:
