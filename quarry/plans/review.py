@@ -210,10 +210,10 @@ def python_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, i = F.col("p_size"), F.col("i")
     name = lambda n: F.concat(F.when(size % 3 == 0, F.concat(F.lit("w"), n)).otherwise("same"), F.lit("_f"), n)
     one = F.concat(F.lit("def "), name(i), F.lit("():\n    return "), F.when((size % 2 == 1) & (i < 8), F.concat(name(i + 1), F.lit("()"))).otherwise("1"), F.lit("\n\n"))
-    rows = b.table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("p_partkey", F.struct("i", one.alias("t")).alias("x"))
+    rows = _parts(spark, sf_dir).select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("p_partkey", F.struct("i", one.alias("t")).alias("x"))
     texts = rows.groupBy("p_partkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     files = texts.select(F.concat(F.lit("pkg/c"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.array_join(F.transform("xs", lambda x: x["t"]), ""), F.repeat(F.lit("# end\n"), 200)).alias("content"))
-    return python_code.cohesion(python_code.facts(files))
+    return python_code.cohesion(python_code.facts(files, ("module", "calls")))
 
 
 @query()

@@ -10,6 +10,7 @@ import ast
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 from functools import reduce
 
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import singular_plural
-from quarry.operators.graph import components
 
 FACTS = "path string, kind string, name string, line int, end_line int, scope string, size int, value string, params array<string>, words array<string>"
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -490,23 +490,46 @@ def key_flow(found: DataFrame) -> DataFrame:
     return odd.unionByName(near.select(*group, F.concat_ws("~", "key", "other").alias("key"), F.lit("near_miss").alias("kind"))).unionByName(twice)
 
 
+def _parts(names: list[str], called: list[list[str]]) -> list[int]:
+    """Sizes of the components that calls put names together in; equal names are one."""
+    root = {n: n for n in names}
+
+    def top(n: str) -> str:
+        while root[n] != n:
+            root[n] = n = root[root[n]]
+        return n
+
+    for n, to in zip(names, called, strict=True):
+        for m in to:
+            root.setdefault(m, m)
+            root[top(m)] = top(n)
+    known = set(names)
+    return list(Counter(top(n) for n in known).values())
+
+
 def cohesion(found: DataFrame, least_loc: int = 200, least: int = 8) -> DataFrame:
-    """(path, functions, components, families, imports): long files of many top-level functions that fall apart: into three components by calls, the largest with two thirds at most (65 in 100, rounded down), or into two with four beginnings of names or three sets of imported packages."""
-    long = found.filter("kind = 'module'").filter(F.col("size") >= least_loc).select("path")
-    # Functions of one name in a file are one.
-    own = found.filter("kind = 'calls'").join(long, "path", "left_semi")
-    many = own.groupBy("path").agg(F.count("*").alias("functions")).filter(F.col("functions") >= least)
-    own = own.join(many, "path")
-    node = lambda c: F.concat_ws("::", "path", c)
-    links = own.select("path", "name", F.explode("params").alias("to")).select(node("name").alias("src"), node("to").alias("dst"))
-    part = components(links)
-    named = own.select("path", "functions", "name", node("name").alias("node"), F.when(F.instr("name", "_") > 0, F.split("name", "_")[0]).otherwise(F.col("name")).alias("family"), F.when(F.size("words") > 0, F.array_join("words", ",")).alias("roots"))
-    named = named.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy("path", "component").agg(F.countDistinct("name").alias("n")).groupBy("path").agg(F.count("*").alias("components"), F.max("n").alias("largest"))
-    agg = named.groupBy("path").agg(F.max("functions").alias("functions"), F.countDistinct("family").alias("families"), F.countDistinct("roots").alias("imports")).join(sizes, "path")
+    """(path, functions, components, families, imports): long files of many top-level functions that fall apart: into three components by calls, the largest with two thirds at most (65 in 100, rounded down), or into two with four beginnings of names or three sets of imported packages.
+
+    Calls stay within a file, so each file is put together on its own.
+    """
+    calls = F.when(F.col("kind") == "calls", F.struct("name", "params", "words"))
+    files = found.filter("kind in ('module', 'calls')").groupBy("path").agg(F.max(F.when(F.col("kind") == "module", F.col("size"))).alias("loc"), F.collect_list(calls).alias("fns"))
+    many = files.filter((F.col("loc") >= least_loc) & (F.size("fns") >= least)).select("path", F.col("fns.name").alias("names"), F.col("fns.params").alias("called"), F.col("fns.words").alias("used"))
+    schema = "path string, functions long, components long, families long, imports long, largest long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, names, called, used in zip(*(b.column(c).to_pylist() for c in ("path", "names", "called", "used")), strict=True):
+                sizes = _parts(names, called)
+                # Functions of one name in a file are one.
+                rows.append((path, len(names), len(sizes), len({n.split("_")[0] for n in names}), len({tuple(u) for u in used if u}), max(sizes)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["path", "functions", "components", "families", "imports", "largest"])
+
     apart = (F.col("components") >= 3) & (F.col("largest") <= F.floor(F.col("functions") * 0.65))
     mixed = (F.col("components") >= 2) & ((F.col("families") >= 4) | (F.col("imports") >= 3))
-    return agg.filter(apart | mixed).select("path", "functions", "components", "families", "imports")
+    return many.mapInArrow(run, schema).filter(apart | mixed).select("path", "functions", "components", "families", "imports")
 
 
 def mutable_globals(found: DataFrame) -> DataFrame:
