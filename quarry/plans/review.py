@@ -185,7 +185,7 @@ def _stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'pkg/s' || p_partkey || '.py' AS path, 'now' AS name, 1::BIGINT AS changes, true AS rebound FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'pkg/s' || p_partkey || '.py', 'seen', 2, false FROM part WHERE p_size % 3 = 0""")
 def python_mutable_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.mutable_globals(python_code.facts(_stateful(spark, sf_dir))).select("path", "name", "changes", "rebound")
+    return python_code.mutable_globals(python_code.facts(_stateful(spark, sf_dir), ("global", "change"))).select("path", "name", "changes", "rebound")
 
 
 @query("SELECT 'pkg/s' || p.p_partkey || '.py' AS path, 'now' AS name, 1 AS line, 'pkg.s' || q.p_partkey AS source FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1 WHERE q.p_partkey % 2 = 0")

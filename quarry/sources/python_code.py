@@ -534,9 +534,11 @@ def cohesion(found: DataFrame, least_loc: int = 200, least: int = 8) -> DataFram
 
 def mutable_globals(found: DataFrame) -> DataFrame:
     """(path, name, line, changes, rebound): names of a module that hold something mutable, or nothing yet, and that its functions change, at how many places, and whether they rebind them."""
-    sites = found.filter("kind = 'change'").select("path", "name", F.col("line").alias("at"), "value").distinct()
-    sites = sites.groupBy("path", "name").agg(F.countDistinct("at").alias("changes"), F.bool_or(F.col("value") == "rebind").alias("rebound"))
-    return found.filter("kind = 'global'").groupBy("path", "name").agg(F.max("line").alias("line")).join(sites, ["path", "name"])
+    change = F.col("kind") == "change"
+    agg = found.filter("kind in ('global', 'change')").groupBy("path", "name").agg(
+        F.max(F.when(F.col("kind") == "global", F.col("line"))).alias("line"), F.size(F.collect_set(F.when(change, F.col("line")))).cast("long").alias("changes"), F.bool_or(F.when(change, F.col("value") == "rebind")).alias("rebound")
+    )
+    return agg.filter("line is not null and changes > 0")
 
 
 def stale_imports(found: DataFrame) -> DataFrame:

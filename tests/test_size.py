@@ -44,3 +44,10 @@ def test_cohesion_puts_files_together_without_rounds(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("cohesion")) == 0
     spark.sparkContext.setJobGroup("", "")
     assert [tuple(r) for r in found.collect()] == [("apart.py", 9, 9, 9, 0)]
+
+
+def test_globals_are_found_by_one_parse(spark):
+    texts = {"a.py": "now = None\nseen = []\nfree = []\ndef put(x):\n    global now\n    now = x\n    seen.append(x)\n    seen.pop(); seen.pop()\n    other.append(x)\n"}
+    found = python_code.mutable_globals(facts(spark, texts))
+    assert plan(found).count("MapIn") == 1
+    assert {tuple(r) for r in found.collect()} == {("a.py", "now", 1, 1, True), ("a.py", "seen", 2, 2, False)}
