@@ -15,7 +15,7 @@ from collections.abc import Collection, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import singular_plural
@@ -541,14 +541,27 @@ def mutable_globals(found: DataFrame) -> DataFrame:
     return agg.filter("line is not null and changes > 0")
 
 
+def _ends(dotted: Column, first: int) -> Column:
+    """A dotted name and its ends at each dot, without the first ones."""
+    parts = F.split(dotted, r"\.")
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i > first), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
 def stale_imports(found: DataFrame) -> DataFrame:
-    """(path, name, line, source): imports of a name that its module rebinds, so that the importer keeps what it was. Modules are told by the ends of their dotted names."""
+    """(path, name, line, source): imports of a name that its module rebinds, so that the importer keeps what it was. Modules are told by the ends of their dotted names.
+
+    One of the two dotted names is an end of the other, so they meet at that end.
+    """
     dotted = F.replace(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))
-    rebound = mutable_globals(found).filter("rebound").select(dotted.alias("source"), F.col("name").alias("member"))
-    rows = found.filter("kind = 'import' and size = 1").select("path", "line", F.get("words", 0).alias("member"), F.regexp_replace("name", r"^\.+", "").alias("module"))
-    m, s = F.col("module"), F.col("source")
-    ends = (m == s) | m.endswith(F.concat(F.lit("."), s)) | s.endswith(F.concat(F.lit("."), m))
-    return rows.join(rebound, "member").filter(ends).select("path", F.col("member").alias("name"), "line", "source")
+    both = found.filter("kind in ('global', 'change') or kind = 'import' and size = 1").select("path", "kind", "line", "size", "value", "words", "name")
+    rebound = mutable_globals(both).filter("rebound").select(dotted.alias("source"), F.col("name").alias("member"))
+    rows = both.filter("kind = 'import'").select("path", "line", F.get("words", 0).alias("member"), F.regexp_replace("name", r"^\.+", "").alias("module"))
+    short = rebound.withColumn("end", F.col("source"))
+    longer = rebound.select("source", "member", F.explode(_ends(F.col("source"), 1)).alias("end"))
+    inner = rows.select("path", "line", "member", F.explode(_ends(F.col("module"), 0)).alias("end")).join(short, ["member", "end"])
+    outer = rows.withColumnRenamed("module", "end").join(longer, ["member", "end"])
+    columns = ["path", F.col("member").alias("name"), "line", "source"]
+    return inner.select(*columns).unionByName(outer.select(*columns))
 
 
 def mixin_contracts(found: DataFrame, least: int = 3) -> DataFrame:

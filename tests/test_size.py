@@ -51,3 +51,13 @@ def test_globals_are_found_by_one_parse(spark):
     found = python_code.mutable_globals(facts(spark, texts))
     assert plan(found).count("MapIn") == 1
     assert {tuple(r) for r in found.collect()} == {("a.py", "now", 1, 1, True), ("a.py", "seen", 2, 2, False)}
+
+
+def test_stale_imports_meet_at_the_ends_of_names(spark):
+    state = "now = None\ndef put(x):\n    global now\n    now = x\n"
+    texts = {"src/pkg/a.py": state, "a.py": state, "b.py": state, "user.py": "from pkg.a import now\nfrom .a import now\nfrom x.b import now\nfrom gap import now\nfrom kg.a import now\n"}
+    found = python_code.stale_imports(facts(spark, texts))
+    want = {(1, "src.pkg.a"), (1, "a"), (2, "src.pkg.a"), (2, "a"), (3, "b"), (5, "a")}
+    assert {(r["line"], r["source"]) for r in found.collect()} == want and found.count() == len(want)
+    joins = [x for x in plan(found).splitlines() if "Join" in x]
+    assert joins and all("end#" in x for x in joins)  # not at the name alone, which many modules may share
