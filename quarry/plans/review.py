@@ -201,7 +201,7 @@ def python_mixin_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT 'pkg/s' || p_partkey || '.py' AS path, p_size FROM part) SELECT path, 'overwritten_key' AS kind, 'n' AS key FROM f WHERE p_size % 4 = 0 UNION ALL SELECT path, 'phantom_read', 'm' FROM f WHERE p_size % 4 = 0
 UNION ALL SELECT path, 'phantom_read', 'color' FROM f WHERE p_size % 5 = 0 UNION ALL SELECT path, 'dead_write', 'colour' FROM f WHERE p_size % 5 = 0 UNION ALL SELECT path, 'near_miss', 'colour~color' FROM f WHERE p_size % 5 = 0""")
 def python_key_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.key_flow(python_code.facts(_stateful(spark, sf_dir))).select("path", "kind", "key")
+    return python_code.key_flow(python_code.facts(_stateful(spark, sf_dir), ("key",))).select("path", "kind", "key")
 
 
 @query("""SELECT 'pkg/c' || p_partkey || '.py' AS path, 9::BIGINT AS functions, (CASE WHEN p_size % 2 = 0 THEN 9 ELSE 1 END)::BIGINT AS components, (CASE WHEN p_size % 3 = 0 THEN 9 ELSE 1 END)::BIGINT AS families, 0::BIGINT AS imports FROM part WHERE p_size % 2 = 0""")

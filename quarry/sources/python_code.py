@@ -479,15 +479,19 @@ def key_flow(found: DataFrame) -> DataFrame:
     rows = found.filter("kind = 'key'").withColumn("variable", F.get("words", 0))
     line = lambda what: F.array_sort(F.collect_list(F.when(F.col("value") == what, F.col("line"))))  # noqa: E731  the lines of one key in one scope
     keys = rows.groupBy(*group, F.col("name").alias("key")).agg(line("write").alias("w"), line("read").alias("r"))
-    both = keys.groupBy(*group).agg(F.max(F.size("w")).alias("any_w"), F.max(F.size("r")).alias("any_r"))
-    written, read = F.size("w") > 0, F.size("r") > 0
-    kind = F.when(written & ~read, "dead_write").when(read & ~written & (F.col("any_w") > 0), "phantom_read")
-    odd = keys.join(both, group).withColumn("kind", kind).filter("kind is not null and any_r > 0").select(*group, "key", "kind")
-    dead, phantom = odd.filter("kind = 'dead_write'").drop("kind"), odd.filter("kind = 'phantom_read'").drop("kind").withColumnRenamed("key", "other")
-    near = dead.join(phantom, group).filter((F.levenshtein("key", "other") <= 2) | singular_plural(F.col("key"), F.col("other")))
-    again = F.filter("w", lambda x, i: (i > 0) & ~F.exists("r", lambda y: (y > F.get("w", i - 1)) & (y <= x)))
-    twice = keys.select(*group, "key", F.explode(again).alias("_")).select(*group, "key", F.lit("overwritten_key").alias("kind"))
-    return odd.unionByName(near.select(*group, F.concat_ws("~", "key", "other").alias("key"), F.lit("near_miss").alias("kind"))).unionByName(twice)
+    # The keys of one variable in one scope are few: they are compared in place.
+    sets = keys.groupBy(*group).agg(F.collect_list(F.struct("key", "w", "r")).alias("ks"))
+    only = lambda a, b: F.transform(F.filter("ks", lambda k: (F.size(k[a]) > 0) & (F.size(k[b]) == 0)), lambda k: k["key"])
+    any_of = lambda a: F.exists("ks", lambda k: F.size(k[a]) > 0)
+    none = F.array().cast("array<string>")
+    parts = sets.select(*group, "ks", F.when(any_of("r"), only("w", "r")).otherwise(none).alias("dead"), F.when(any_of("w"), only("r", "w")).otherwise(none).alias("phantom"))
+    alike = lambda x, y: (F.levenshtein(x, y) <= 2) | singular_plural(x, y)
+    near = F.flatten(F.transform("dead", lambda d: F.transform(F.filter("phantom", lambda p: alike(d, p)), lambda p: F.concat_ws("~", d, p))))
+    again = lambda k: F.filter(k["w"], lambda x, i: (i > 0) & ~F.exists(k["r"], lambda y: (y > F.get(k["w"], i - 1)) & (y <= x)))
+    twice = F.flatten(F.transform("ks", lambda k: F.transform(again(k), lambda _: k["key"])))
+    named = lambda keys, kind: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
+    out = F.concat(named(F.col("dead"), "dead_write"), named(F.col("phantom"), "phantom_read"), named(near, "near_miss"), named(twice, "overwritten_key"))
+    return parts.select(*group, F.explode(out).alias("x")).select(*group, "x.key", "x.kind")
 
 
 def _parts(names: list[str], called: list[list[str]]) -> list[int]:

@@ -61,3 +61,11 @@ def test_stale_imports_meet_at_the_ends_of_names(spark):
     assert {(r["line"], r["source"]) for r in found.collect()} == want and found.count() == len(want)
     joins = [x for x in plan(found).splitlines() if "Join" in x]
     assert joins and all("end#" in x for x in joins)  # not at the name alone, which many modules may share
+
+
+def test_keys_are_compared_after_one_parse(spark):
+    text = "def f():\n    d = {}\n    d['colour'] = 1\n    d['n'] = 1\n    d['n'] = 2\n    return d['color'], d['n'], d['lost']\ndef g():\n    e = {}\n    e['only'] = 1\n"
+    found = python_code.key_flow(facts(spark, {"a.py": text}))
+    assert plan(found).count("MapIn") == 1
+    want = {("colour", "dead_write"), ("color", "phantom_read"), ("lost", "phantom_read"), ("colour~color", "near_miss"), ("n", "overwritten_key")}
+    assert {(r["key"], r["kind"]) for r in found.collect()} == want and found.count() == len(want)
