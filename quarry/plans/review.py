@@ -157,7 +157,7 @@ def python_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'pkg/m' || p_partkey || '.py' AS src, 'pkg/m' || (p_partkey * 7 % 50 + 1) || '.py' AS dst, false AS deferred FROM part WHERE p_partkey <> p_partkey * 7 % 50 + 1 AND p_partkey * 7 % 50 + 1 IN (SELECT p_partkey FROM part)")
 def python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _python_files(spark, sf_dir)
-    return python_code.import_edges(python_code.facts(files), files)
+    return python_code.import_edges(python_code.facts(files, ("import",)), files)
 
 
 @query("SELECT 'LIMIT' AS name, (p_size % 4)::VARCHAR AS value, count(*) AS files FROM part GROUP BY 2 HAVING count(*) > 1")

@@ -69,3 +69,9 @@ def test_keys_are_compared_after_one_parse(spark):
     assert plan(found).count("MapIn") == 1
     want = {("colour", "dead_write"), ("color", "phantom_read"), ("lost", "phantom_read"), ("colour~color", "near_miss"), ("n", "overwritten_key")}
     assert {(r["key"], r["kind"]) for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_python_imports_asks_for_its_kinds_alone(spark, parts, monkeypatch):
+    asked = []
+    monkeypatch.setattr(python_code, "facts", lambda files, kinds=None, f=python_code.facts: asked.append(kinds) or f(files, kinds))
+    assert review.python_imports(spark, parts).count() > 0 and asked and all(asked)
