@@ -151,7 +151,7 @@ def python_tree_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT 'work_' || p_size AS name, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a,b,rest' ELSE 'a,b' END AS sig FROM part UNION ALL SELECT 'run', p_partkey, '' FROM part) SELECT name, count(DISTINCT p_partkey) AS files, count(*) AS occurrences, count(DISTINCT sig) AS signatures, 1::BIGINT AS returns FROM f GROUP BY name HAVING count(DISTINCT p_partkey) >= 3 AND count(DISTINCT sig) >= 2""")
 def python_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.signature_variance(python_code.functions(python_code.facts(_python_files(spark, sf_dir))))
+    return duplicates.signature_variance(python_code.functions(python_code.facts(_python_files(spark, sf_dir), ("function",))))
 
 
 @query("SELECT 'pkg/m' || p_partkey || '.py' AS src, 'pkg/m' || (p_partkey * 7 % 50 + 1) || '.py' AS dst, false AS deferred FROM part WHERE p_partkey <> p_partkey * 7 % 50 + 1 AND p_partkey * 7 % 50 + 1 IN (SELECT p_partkey FROM part)")

@@ -75,3 +75,9 @@ def test_python_imports_asks_for_its_kinds_alone(spark, parts, monkeypatch):
     asked = []
     monkeypatch.setattr(python_code, "facts", lambda files, kinds=None, f=python_code.facts: asked.append(kinds) or f(files, kinds))
     assert review.python_imports(spark, parts).count() > 0 and asked and all(asked)
+
+
+def test_python_signatures_asks_for_its_kinds_alone(spark, parts, monkeypatch):
+    asked = []
+    monkeypatch.setattr(python_code, "facts", lambda files, kinds=None, f=python_code.facts: asked.append(kinds) or f(files, kinds))
+    assert review.python_signatures(spark, parts).count() > 0 and asked and all(asked)
