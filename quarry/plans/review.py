@@ -145,7 +145,7 @@ def _python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT smell, count(*) AS files FROM (SELECT unnest(list_filter(['dead_function', CASE WHEN p_size % 2 = 0 THEN 'mutable_class_var' END, CASE WHEN p_size % 5 = 0 THEN 'silent_except' END, CASE WHEN p_size % 5 = 0 THEN 'empty_except' END, CASE WHEN p_size % 7 = 0 THEN 'deferred_import' END], lambda x: x IS NOT NULL)) AS smell FROM part) GROUP BY smell""")
 def python_tree_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = python_code.smells(python_code.facts(_python_files(spark, sf_dir)))
+    found = python_code.smells(python_code.facts(_python_files(spark, sf_dir), ("smell",)))
     return found.groupBy(F.col("smell_id").alias("smell")).agg(F.count("*").alias("files"))
 
 
