@@ -195,7 +195,7 @@ def python_stale_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'pkg/s' || p_partkey || '.py' AS path, 'AMixin' AS name, CASE WHEN p_size % 2 = 0 THEN 'a,b,c,d,e,g' ELSE 'a,b,c' END AS wanted, CASE WHEN p_size % 2 = 0 THEN 4 ELSE 3 END AS tier, CASE WHEN p_size % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM part WHERE p_partkey % 3 = 0")
 def python_mixin_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.mixin_contracts(python_code.facts(_stateful(spark, sf_dir))).select("path", "name", F.array_join("wanted", ",").alias("wanted"), "tier", "confidence")
+    return python_code.mixin_contracts(python_code.facts(_stateful(spark, sf_dir), ("mixin",))).select("path", "name", F.array_join("wanted", ",").alias("wanted"), "tier", "confidence")
 
 
 @query("""WITH f AS (SELECT 'pkg/s' || p_partkey || '.py' AS path, p_size FROM part) SELECT path, 'overwritten_key' AS kind, 'n' AS key FROM f WHERE p_size % 4 = 0 UNION ALL SELECT path, 'phantom_read', 'm' FROM f WHERE p_size % 4 = 0

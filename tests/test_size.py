@@ -87,3 +87,9 @@ def test_python_tree_smells_asks_for_its_kinds_alone(spark, parts, monkeypatch):
     asked = []
     monkeypatch.setattr(python_code, "facts", lambda files, kinds=None, f=python_code.facts: asked.append(kinds) or f(files, kinds))
     assert review.python_tree_smells(spark, parts).count() > 0 and asked and all(asked)
+
+
+def test_python_mixin_contracts_asks_for_its_kinds_alone(spark, parts, monkeypatch):
+    asked = []
+    monkeypatch.setattr(python_code, "facts", lambda files, kinds=None, f=python_code.facts: asked.append(kinds) or f(files, kinds))
+    assert review.python_mixin_contracts(spark, parts).count() > 0 and asked and all(asked)
