@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,10 +79,15 @@ def most_parameters(code: Column | str, depth: int = 6) -> Column:
 
 def longest_function(lines_: Column | str) -> Column:
     """(name, loc) of the longest Python function in an array of lines: it ends before the next line that is not blank and no deeper; the first of equally long ones. Null without functions."""
-    ls = col(lines_)
     deep = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))
-    marked = F.transform(ls, lambda x, i: F.struct(i.alias("i"), deep(x).alias("deep"), F.trim(x).alias("t"), x.rlike(r"^\s*def\s+\w").alias("def")))
-    ends = lambda d: F.coalesce(F.array_min(F.transform(F.filter(marked, lambda y: (y["i"] > d["i"]) & (y["t"] != "") & (y["deep"] <= d["deep"])), lambda y: y["i"])), F.size(ls))
-    found = F.transform(F.filter(marked, lambda x: x["def"]), lambda d: F.struct((ends(d) - d["i"]).alias("loc"), (-d["i"]).alias("i"), F.regexp_extract(d["t"], r"^def\s+(\w+)", 1).alias("name")))
-    best = F.array_max(found)
-    return F.when(best.isNotNull(), F.struct(best["name"].alias("name"), best["loc"].alias("loc")))
+    marked = lambda ls: F.transform(ls, lambda x, i: F.struct(i.alias("i"), deep(x).alias("deep"), (F.trim(x) != "").alias("full"), x.rlike(r"^\s*def\s+\w").alias("def"), x.alias("x")))
+    full = lambda m: F.filter(m, lambda y: y["full"])
+    ends = lambda m, d, n: F.coalesce(F.array_min(F.transform(F.filter(m, lambda y: (y["i"] > d["i"]) & (y["deep"] <= d["deep"])), lambda y: y["i"])), n)
+    found = lambda m, n: F.array_max(F.transform(F.filter(m, lambda x: x["def"]), lambda d: F.struct((ends(m, d, n) - d["i"]).alias("loc"), (-d["i"]).alias("i"), d["x"].alias("x"))))
+    named = lambda d: F.when(d.isNotNull(), F.struct(F.regexp_extract(F.trim(d["x"]), r"^def\s+(\w+)", 1).alias("name"), d["loc"].alias("loc")))
+    return _let(col(lines_), lambda ls: _let(full(marked(ls)), lambda m: _let(found(m, F.size(ls)), named)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)

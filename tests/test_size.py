@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import values
 from quarry.plans import review
 from quarry.sources import python_code
 
@@ -93,3 +94,16 @@ def test_python_mixin_contracts_asks_for_its_kinds_alone(spark, parts, monkeypat
     asked = []
     monkeypatch.setattr(python_code, "facts", lambda files, kinds=None, f=python_code.facts: asked.append(kinds) or f(files, kinds))
     assert review.python_mixin_contracts(spark, parts).count() > 0 and asked and all(asked)
+
+
+def test_lines_are_read_once_for_the_longest_function(spark):
+    text = "def a():\n    x\n\n    def b(p,\n          q):\n        y\n\t\n    z\ndef c():\n  1\n\n"
+    rows = spark.createDataFrame([(text.split("\n"),), (["x = 1"],), (["def a():", " 1", "def b():", " 1"],)], "ls array<string>").select(values.longest_function("ls").alias("f"))
+    assert plan(rows).count("RLIKE") == 1
+    assert [r["f"] and tuple(r["f"]) for r in rows.collect()] == [("a", 6), None, ("a", 2)]
+
+
+def test_measures_are_taken_by_many_tasks(spark, parts):
+    from quarry.plans import work
+
+    assert work.function_measures(spark, parts).rdd.getNumPartitions() > 1
