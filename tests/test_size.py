@@ -100,7 +100,7 @@ def test_lines_are_read_once_for_the_longest_function(spark):
     text = "def a():\n    x\n\n    def b(p,\n          q):\n        y\n\t\n    z\ndef c():\n  1\n\n"
     rows = spark.createDataFrame([(text.split("\n"),), (["x = 1"],), (["def a():", " 1", "def b():", " 1"],)], "ls array<string>").select(values.longest_function("ls").alias("f"))
     assert plan(rows).count("RLIKE") == 1
-    assert [r["f"] and tuple(r["f"]) for r in rows.collect()] == [("a", 6), None, ("a", 2)]
+    assert [r["f"] and tuple(r["f"]) for r in rows.collect()] == [("a", 8), None, ("a", 2)]
 
 
 def test_measures_are_taken_by_many_tasks(spark, parts):
