@@ -107,3 +107,41 @@ def test_measures_are_taken_by_many_tasks(spark, parts):
     from quarry.plans import work
 
     assert work.function_measures(spark, parts).rdd.getNumPartitions() > 1
+
+
+@pytest.mark.parametrize("t", [0.8, 2 / 3])
+def test_alike_sets_meet_and_others_hardly_do(spark, t):
+    import random
+
+    from quarry.operators import alike
+
+    rng = random.Random(3)
+    words = lambda n: {rng.getrandbits(63) if rng.random() < 0.5 else rng.randrange(40) for _ in range(n)}
+    sets = []
+    for n in (1, 2, 3, 4, 5, 8, 9, 10, 12, 20, 33, 60, 200) * 3:
+        one = words(n)
+        sets += [one, {*rng.sample(sorted(one), max(1, round(len(one) * rng.uniform(t, 1))))}, one | words(max(1, n // 9)), words(n)]
+    rows = [(i, 7, sorted(s)) for i, s in enumerate(sets)]
+    met = {(r["a"], r["b"]) for r in alike.candidates(spark.createDataFrame(rows, "id long, seed long, h array<long>"), t).collect()}
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= t * len(a | b)}
+    assert len(want) > 60 and want <= met and len(met) < len(want) + 0.1 * len(sets) ** 2
+
+
+def test_review_pairs_with_copies(spark):
+    from quarry.operators import duplicates
+
+    words = [f"w{i}" for i in range(10)]
+    rows = [(5, "d", words), (3, "d", words), (9, "d", words[:8]), (1, "e", words), (4, "d", words[:7]), (8, "d", ["w1"])]
+    got = sorted(map(tuple, duplicates.review_pairs(spark.createDataFrame(rows, "id long, dimension string, words array<string>")).collect()))
+    assert got == [("d", 3, 5, 1.0), ("d", 3, 9, 0.8), ("d", 4, 9, 7 / 8), ("d", 5, 9, 0.8)]
+
+
+def test_pairs_are_not_made_at_single_words(spark):
+    from quarry.operators import duplicates
+
+    # Sets of words that many have, each two alike to a half at most.
+    rows = spark.range(300).selectExpr("id", "'d' as dimension", "transform(sequence(0, 19), i -> concat('w', i * 16 + pmod(xxhash64(id, i), 16))) as words")
+    spark.sparkContext.setJobGroup("pairs", "made")
+    found = duplicates.review_pairs(rows)
+    joins = [x for x in plan(found).splitlines() if "Join" in x]
+    assert found.count() == 0 and joins and not any("word#" in x for x in joins)
