@@ -158,3 +158,15 @@ def test_vectors_are_multiplied_as_matrices(spark):
     pairs = v.crossJoin(asked.select(F.col("id").alias("query"), F.col("embedding").alias("q"))).select("query", "id", insight.cosine(F.col("embedding"), F.col("q")).alias("score"))
     want = insight._first(pairs, 6)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select("query", "id", "score", "rank").collect()))
+
+
+def test_components_take_few_rounds_of_ever_fewer_links(spark, monkeypatch):
+    from quarry.operators import graph
+
+    kept = []
+    monkeypatch.setattr(graph, "settled", lambda df, f=graph.settled: kept.append(f(df)) or kept[-1])
+    links = [(i, i + 1) for i in range(1, 9)] + [(100, i) for i in range(101, 110)] + [(200, 200), (302, 301), (303, 301), (303, 304)]
+    found = graph.components(spark.createDataFrame(links, "src long, dst long"))
+    want = {**dict.fromkeys(range(1, 10), 1), **dict.fromkeys(range(100, 110), 100), 200: 200, **dict.fromkeys((301, 302, 303, 304), 301)}
+    assert {r["node"]: r["component"] for r in found.collect()} == want and found.count() == len(want)
+    assert kept[-1].isEmpty() and kept[3].count() < len(links) / 2
